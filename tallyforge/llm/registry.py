@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import simhash
+from tallyforge.llm import pii, simhash, tokenfiles
 
 QUERIES = {
     "op3_simhash": simhash.op3_simhash,
+    "op9_pii": pii.op9_pii,
+    "op10_token_files": tokenfiles.op10_token_files,
 }
 ORACLES: dict[str, str] = {}

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,15 +35,17 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows are stored in the shared folder and survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+def cut(df: DataFrame, narrow: bool = True) -> DataFrame:
+    """Cut the lineage: the rows are stored in the shared folder and survive lost executors.
 
-def rows_for(size_hint: int, per_task: int, least: int = 1, most: int = 100_000) -> int:
-    """How many partitions hold ``size_hint`` rows at ``per_task`` rows each."""
-    return max(least, min(most, -(-size_hint // max(1, per_task))))
+    ``narrow`` writes two files per core at most, for tables of a few numbers per row; without it there
+    is a file for each partition, as suits rows that cost much to make.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    if narrow:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
+    return df.checkpoint(eager=True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -75,11 +77,6 @@ def slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
-def utf8(name: str) -> Column:
-    """A text column as bytes, null as empty."""
-    return F.coalesce(F.col(name), F.lit("")).cast("string")
-
-
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph, as rows (node, component): component is the smallest node.
 

@@ -106,7 +106,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     id keeps its row and is never a smallest id (a component of null ids only has none). An empty table
     gives an empty one. Ties and repeated rows get the same answer.
     """
-    rows = cut(with_fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), width=width, to="fp"))
+    rows = cut(with_fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), width=width, to="fp"), narrow=False)
     classes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     nodes = connected_components(link_edges(classes.select("fp")))
     labelled = classes.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select(

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import mixing, pii, simhash, tokenfiles, topk
+from tallyforge.llm import mixing, pii, simhash, tokenfiles, topk, vectors
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_simhash": simhash.op3_simhash,
     "op4_topk": topk.op4_topk,
+    "op8_vectors": vectors.op8_vectors,
     "op9_pii": pii.op9_pii,
     "op10_token_files": tokenfiles.op10_token_files,
 }

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import map_batches, scratch_path, slices
-from tallyforge.llm.pieces import split_pieces
+from tallyforge.llm.pieces import PieceMemo
 
 #: Ids after which a block is closed; a longer document is a block of its own.
 BLOCK_IDS = 1 << 16
@@ -26,10 +26,9 @@ BLOCK_IDS = 1 << 16
 SHARD_BYTES = 48 << 20
 #: Rows of (doc_id, hash) that the driver draws to place the shard bounds.
 BOUND_SAMPLE = 20_000
-#: Distinct pieces that one worker keeps encoded.
-CACHE_PIECES = 400_000
-#: Characters encoded at a time.
+#: Characters of texts, and of lines of words, encoded at a time.
 STEP_CHARS = 4 << 20
+LINES_CHARS = 1 << 18
 
 
 def id_width(vocabulary: int) -> int:
@@ -65,11 +64,11 @@ def unpack(payload: bytes, width: int, first: int, n: int) -> np.ndarray:
 
 
 class Encoder:
-    """A tokenizers file with a cache of encoded pieces. Strings of special tokens count as plain text."""
+    """A tokenizers file with byte-level words, each distinct one encoded once. Strings of special tokens count as plain text."""
 
-    held: dict[str, Encoder] = {}
+    held: dict[tuple[str, str], Encoder] = {}
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, pattern: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,24 +76,38 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.cache: dict[str, bytes] = {}
+        self.line = self._ids("\n")[0]
+        #: ids as they are kept until they are packed
+        self.small = np.dtype("<u2" if id_width(self.vocabulary) <= 16 else "<u4")
+        self.memo = PieceMemo(pattern, self._words, unit=self.small.itemsize)
 
     @classmethod
-    def at(cls, path: str) -> Encoder:
-        if path not in cls.held:
-            cls.held[path] = cls(path)
-        return cls.held[path]
+    def at(cls, path: str, pattern: str) -> Encoder:
+        if (path, pattern) not in cls.held:
+            cls.held[path, pattern] = cls(path, pattern)
+        return cls.held[path, pattern]
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Words without white space are encoded many to a text, a line each: a line end is always a token of its own."""
+        made: dict[str, bytes] = {}
+        plain = [w for w in words if w[w[0] == " " :].split() == [w[w[0] == " " :]]]
+        for a, b in slices([len(w) + 1 for w in plain], LINES_CHARS):
+            ids = self._ids("\n".join(plain[a:b]) + "\n")
+            ends, raw, start = np.nonzero(ids == self.line)[0].tolist(), ids.astype(self.small).tobytes(), 0
+            size = self.small.itemsize
+            if len(ends) != b - a:
+                raise ValueError("a line end isn't a token of its own in this tokenizer")
+            for w, end in zip(plain[a:b], ends):
+                made[w] = raw[size * start : size * end]
+                start = end + 1
+        return [made[w] if w in made else self._ids(w).astype(self.small).tobytes() for w in words]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit numbers."""
-        cut = [split_pieces(t) for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        new = list({p for pieces in cut for p in pieces}.difference(self.cache))
-        for piece, made in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.cache[piece] = np.array(made.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        """For each text its ids, as numbers of type ``small``."""
+        return self.memo.texts(texts)
 
 
 def _bounds(docs: DataFrame) -> list[tuple]:
@@ -111,9 +124,11 @@ def _bounds(docs: DataFrame) -> list[tuple]:
     return [keys[len(keys) * i // shards] for i in range(1, shards)]
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int = 0) -> None:
     """Encode every whole text of ``docs`` (doc_id, text), append ``end_id`` and write blocks by ascending doc_id.
 
+    ``pattern`` is what the tokenizer splits texts by.
+
     Null texts count as empty, null ids come first, rows that share an id follow each other by the hash of
     their text. An empty table writes an empty file set.
     """
@@ -123,20 +138,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def encode(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, texts, hashes = (batch.column(i).to_pylist() for i in range(3))
-        encoder, end = Encoder.at(tokenizer), np.array([end_id], "<u4").tobytes()
-        small = np.uint16 if id_width(encoder.vocabulary) <= 16 else np.uint32
+        encoder = Encoder.at(tokenizer, pattern)
+        end = np.array([end_id], encoder.small).tobytes()
         for a, b in slices([len(t) for t in texts], STEP_CHARS):
             made = [x + end for x in encoder.encode(texts[a:b])]
             shard = [bisect_right(bounds, (d is not None, d or 0, h)) for d, h in zip(ids[a:b], hashes[a:b])]
-            blobs = [
-                pa.compress(np.frombuffer(x, "<u4").astype(small).tobytes(), codec="zstd", asbytes=True) for x in made
-            ]
+            blobs = [pa.compress(x, codec="zstd", asbytes=True) for x in made]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(shard, pa.int32()),
                     pa.array(ids[a:b], pa.int64()),
                     pa.array(hashes[a:b], pa.int64()),
-                    pa.array([len(x) // 4 for x in made], pa.int64()),
+                    pa.array([len(x) // encoder.small.itemsize for x in made], pa.int64()),
                     pa.array(blobs, pa.binary()),
                 ],
                 names=["shard", "doc_id", "h", "n", "ids"],
@@ -147,9 +160,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             yield from encode(batch)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.at(tokenizer)
+        encoder = Encoder.at(tokenizer, pattern)
         width = id_width(encoder.vocabulary)
-        small = np.uint16 if width <= 16 else np.uint32
         state = {"shard": None, "ids": [], "docs": [], "ends": [], "first": 0, "block": 0, "held": 0}
 
         def close() -> pa.RecordBatch:
@@ -172,8 +184,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                     if state["held"]:
                         yield close()
                     state.update(shard=shard, first=0, block=0)
-                raw = pa.decompress(blob, n * np.dtype(small).itemsize, codec="zstd", asbytes=True)
-                state["ids"].append(np.frombuffer(raw, small))
+                raw = pa.decompress(blob, n * encoder.small.itemsize, codec="zstd", asbytes=True)
+                state["ids"].append(np.frombuffer(raw, encoder.small))
                 state["docs"].append(doc_id)
                 state["held"] += n
                 state["ends"].append(state["held"])
@@ -253,5 +265,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = scratch_path(spark, "tokens")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    write_token_files(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    write_token_files(docs, path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return read_token_files(spark, path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable
 
@@ -10,12 +11,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from tallyforge.llm.common import slices
+
 #: A blank before white space or the end: the cuts before blanks might then fall into a run of white space.
 LOOSE = (
     " (?:[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|$)"
 )
 CUT = re.compile(r"(?<=\S)(?= )")
 ENDINGS = ".,;:!?"
+#: Pieces that are joined at a time.
+GATHER = 1 << 18
 
 
 def split_pieces(text: str) -> list[str]:
@@ -27,91 +32,102 @@ def split_pieces(text: str) -> list[str]:
     return CUT.split(text) if text else []
 
 
-def gather(blobs: list[bytes], index: np.ndarray, ends: np.ndarray, unit: int = 1) -> list[bytes]:
-    """For each run of ``index`` that stops at one of ``ends``: its blobs, one after another.
+class Blobs:
+    """Many short byte strings, each a whole multiple of ``unit`` bytes, to be joined by number."""
 
-    Blobs are whole multiples of ``unit`` bytes.
-    """
-    size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // unit
-    start = np.cumsum(size) - size
-    flat = np.frombuffer(b"".join(blobs), f"V{unit}" if unit not in (1, 2, 4, 8) else f"<u{unit}")
-    n = size[index]
-    upto = np.concatenate([[0], np.cumsum(n)])
-    at = np.arange(upto[-1]) + np.repeat(start[index] - upto[:-1], n)
-    raw = flat[at].tobytes()
-    cuts = upto[np.concatenate([[0], ends])] * unit
-    return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    def __init__(self, blobs: list[bytes], unit: int = 1) -> None:
+        self.unit = unit
+        self.size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // unit
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(blobs), f"<u{unit}")
 
+    def gather(self, index: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """For each run of ``index`` that stops at one of ``ends``: its strings, one after another."""
+        n = self.size[index]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        at = np.arange(upto[-1]) + np.repeat(self.start[index] - upto[:-1], n)
+        raw = self.flat[at].tobytes()
+        cuts = (upto[np.concatenate([[0], ends])] * self.unit).tolist()
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
-class PieceMemo:
-    """Turns texts to bytes, word by word, and remembers pieces and words up to a bound.
+
+class WordMemo:
+    """Turns texts to bytes, word by word, and remembers words up to a bound.
 
     ``encode`` gives the bytes of each of some distinct words (matches of ``pattern``), in units of
-    ``unit`` bytes. What is forgotten is encoded anew; the bounds change no result.
+    ``unit`` bytes. What is forgotten is encoded anew; the bound changes no result.
     """
 
-    def __init__(
-        self,
-        pattern: str,
-        encode: Callable[[list[str]], list[bytes]],
-        unit: int = 1,
-        most_words: int = 600_000,
-        most_pieces: int = 300_000,
-    ) -> None:
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], unit: int = 1, most: int = 600_000) -> None:
         self.findall = regex.compile(pattern).findall
-        self.encode, self.unit = encode, unit
-        self.most_words, self.most_pieces = most_words, most_pieces
+        self.encode, self.unit, self.most = encode, unit, most
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    @staticmethod
-    def _forget(memo: dict[str, bytes], most: int) -> None:
-        if len(memo) > most:
-            for key in list(memo)[: len(memo) - most // 2]:
-                del memo[key]
-
-    def _words_of(self, piece: str) -> list[str]:
-        """The matches in a piece; most pieces are letters after a blank, with one kind of ending or none."""
-        stem = piece.rstrip(ENDINGS)
-        if (stem[1:] if stem[:1] == " " else stem).isalpha():
-            return [stem, piece[len(stem) :]] if len(stem) < len(piece) else [piece]
-        return self.findall(piece)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        known = self.pieces
-        new = {p: self._words_of(p) for p in pieces if p not in known}
-        unknown = list({w for words in new.values() for w in words if w not in self.words})
-        self.words.update(zip(unknown, self.encode(unknown)))
-        word = self.words.__getitem__
-        for p, words in new.items():
-            known[p] = word(p) if len(words) == 1 else b"".join(map(word, words))
-        return list(map(known.__getitem__, pieces))
+        """The bytes of each piece. Most are letters after a blank, with one kind of ending or none."""
+        known, out, open_ = self.words, [], []
+        for i, p in enumerate(pieces):
+            made = known.get(p)
+            if made is None:
+                stem = p.rstrip(ENDINGS)
+                if (stem[1:] if stem[:1] == " " else stem).isalpha():
+                    tail = p[len(stem) :]
+                    made, end = known.get(stem), known.get(tail) if tail else b""
+                    if made is None or end is None:
+                        open_.append((i, [stem, tail] if tail else [stem]))
+                        made = None
+                    else:
+                        made += end
+                else:
+                    open_.append((i, self.findall(p)))
+            out.append(made)
+        unknown = list({w for _, words in open_ for w in words if w not in known})
+        known.update(zip(unknown, self.encode(unknown)))
+        word = known.__getitem__
+        for i, words in open_:
+            out[i] = b"".join(map(word, words))
+        return out
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The bytes of each text."""
-        self._forget(self.words, self.most_words)
-        self._forget(self.pieces, self.most_pieces)
+        if len(self.words) > self.most:
+            for key in list(self.words)[: len(self.words) - self.most // 2]:
+                del self.words[key]
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and there are very many small objects
+        try:
+            return self._texts(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _texts(self, texts: list[str]) -> list[bytes]:
         whole = pa.array(texts, pa.large_string())
         loose = pc.match_substring_regex(whole, LOOSE).to_numpy(zero_copy_only=False)
         out: list[bytes] = [b""] * len(texts)
         slow = np.nonzero(loose)[0].tolist()
         cut = [split_pieces(texts[i]) for i in slow]
-        made = dict(zip(seen := list({p for pieces in cut for p in pieces}), self._pieces(seen)))
+        seen = list({p for pieces in cut for p in pieces})
+        made = dict(zip(seen, self._pieces(seen)))
         for i, pieces in zip(slow, cut):
             out[i] = b"".join(map(made.__getitem__, pieces))
         fast = np.nonzero(~loose)[0]
         if len(fast):
             runs = pc.split_pattern(whole.take(pa.array(fast)), " ")
-            ends = runs.offsets.to_numpy()[1:].astype(np.int64)
-            first = runs.offsets.to_numpy()[:-1].astype(np.int64)
-            coded = runs.values.dictionary_encode()
-            index = coded.indices.to_numpy().astype(np.int64)
-            rest = [" " + w for w in coded.dictionary.to_pylist()]
+            offsets = runs.offsets.to_numpy().astype(np.int64)
+            first = offsets[:-1]
             heads = runs.values.take(pa.array(first)).to_pylist()
+            coded = runs.values.dictionary_encode()
+            rest = coded.dictionary.to_pylist()
+            index = coded.indices.to_numpy().copy()
             index[first] = np.arange(len(heads)) + len(rest)
             used = np.zeros(len(rest) + len(heads), bool)
             used[index] = True
-            mine = [w if u else "" for w, u in zip(rest + heads, used.tolist())]
-            for i, made_of in zip(fast.tolist(), gather(self._pieces(mine), index, ends, self.unit)):
-                out[i] = made_of
+            named = [" " + w for w in rest] + heads
+            blobs = self._pieces([w if u else "" for w, u in zip(named, used.tolist())])
+            flat = Blobs(blobs, self.unit)
+            for a, b in slices(np.diff(offsets).tolist(), GATHER):
+                part = flat.gather(index[offsets[a] : offsets[b]], offsets[a + 1 : b + 1] - offsets[a])
+                for i, own in zip(fast[a:b].tolist(), part):
+                    out[i] = own
         return out

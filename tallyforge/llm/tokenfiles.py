@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import map_batches, scratch_path, slices
-from tallyforge.llm.pieces import PieceMemo
+from tallyforge.llm.pieces import WordMemo
 
 #: Ids after which a block is closed; a longer document is a block of its own.
 BLOCK_IDS = 1 << 16
@@ -27,7 +27,7 @@ SHARD_BYTES = 48 << 20
 #: Rows of (doc_id, hash) that the driver draws to place the shard bounds.
 BOUND_SAMPLE = 20_000
 #: Characters of texts, and of lines of words, encoded at a time.
-STEP_CHARS = 4 << 20
+STEP_CHARS = 8 << 20
 LINES_CHARS = 1 << 18
 
 
@@ -38,6 +38,8 @@ def id_width(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, width: int) -> bytes:
     """``ids`` at ``width`` bits each, lowest bit first."""
+    if width in (8, 16, 32):  # the same bits, without spreading them
+        return ids.astype(f"<u{width // 8}").tobytes()
     out = []
     step = 1 << 16  # a multiple of 8 ids, so that parts end on whole bytes
     for at in range(0, len(ids), step):
@@ -51,6 +53,8 @@ def unpack(payload: bytes, width: int, first: int, n: int) -> np.ndarray:
     """Ids ``first`` to ``first + n`` of a payload, as unsigned 32-bit numbers; reads their own bytes only."""
     if not n:
         return np.empty(0, np.uint32)
+    if width in (8, 16, 32):
+        return np.frombuffer(payload, f"<u{width // 8}", n, first * width // 8).astype(np.uint32)
     out, step = [], 1 << 16
     for at in range(first, first + n, step):
         k = min(step, first + n - at)
@@ -79,7 +83,7 @@ class Encoder:
         self.line = self._ids("\n")[0]
         #: ids as they are kept until they are packed
         self.small = np.dtype("<u2" if id_width(self.vocabulary) <= 16 else "<u4")
-        self.memo = PieceMemo(pattern, self._words, unit=self.small.itemsize)
+        self.memo = WordMemo(pattern, self._words, unit=self.small.itemsize)
 
     @classmethod
     def at(cls, path: str, pattern: str) -> Encoder:

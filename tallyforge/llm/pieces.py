@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,102 +32,137 @@ def split_pieces(text: str) -> list[str]:
     return CUT.split(text) if text else []
 
 
-class Blobs:
-    """Many short byte strings, each a whole multiple of ``unit`` bytes, to be joined by number."""
+class Strings:
+    """Many short strings of numbers, to be joined by number: string i is ``flat[start[i] : start[i] + size[i]]``."""
 
-    def __init__(self, blobs: list[bytes], unit: int = 1) -> None:
-        self.unit = unit
-        self.size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // unit
-        self.start = np.cumsum(self.size) - self.size
-        self.flat = np.frombuffer(b"".join(blobs), f"<u{unit}")
+    def __init__(self, flat: np.ndarray, size: np.ndarray) -> None:
+        self.flat, self.size = flat, size
+        self.start = np.cumsum(size) - size
 
-    def gather(self, index: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    @classmethod
+    def of_bytes(cls, blobs: list[bytes], kind: str = "u1") -> Strings:
+        flat = np.frombuffer(b"".join(blobs), kind)
+        return cls(flat, np.fromiter(map(len, blobs), np.int64, len(blobs)) // flat.itemsize)
+
+    def join(self, index: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
         """For each run of ``index`` that stops at one of ``ends``: its strings, one after another."""
-        n = self.size[index]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        at = np.arange(upto[-1]) + np.repeat(self.start[index] - upto[:-1], n)
-        raw = self.flat[at].tobytes()
-        cuts = (upto[np.concatenate([[0], ends])] * self.unit).tolist()
-        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        for a, b in slices((ends - begins).tolist(), GATHER):
+            part, from_ = index[begins[a] : ends[b - 1]], begins[a]
+            n = self.size[part]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            at = np.arange(upto[-1]) + np.repeat(self.start[part] - upto[:-1], n)
+            joined, cuts = self.flat[at], upto[np.concatenate([[0], ends[a:b] - from_])].tolist()
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                yield joined[lo:hi]
+
+
+def piece_table(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct pieces (a few may repeat), their numbers over all texts, and where each text's numbers end."""
+    whole = pa.array(texts, pa.large_string())
+    loose = pc.match_substring_regex(whole, LOOSE).to_numpy(zero_copy_only=False)
+    runs = pc.split_pattern(pc.if_else(pa.array(loose), "", whole), " ")
+    offsets = runs.offsets.to_numpy().astype(np.int64)
+    coded = runs.values.dictionary_encode()
+    index = coded.indices.to_numpy().astype(np.int64)
+    rest = coded.dictionary.to_pylist()
+    heads = runs.values.take(pa.array(offsets[:-1])).to_pylist()
+    index[offsets[:-1]] = np.arange(len(heads)) + len(rest)
+    used = np.zeros(len(rest), bool)
+    used[index[index < len(rest)]] = True
+    pieces = [" " + w if u else "" for w, u in zip(rest, used.tolist())] + heads
+    if not loose.any():
+        return pieces, index, offsets[1:]
+    known: dict[str, int] = {}
+    parts, ends, at = [], [], 0
+    for i, slow in enumerate(loose.tolist()):
+        if slow:
+            own = np.array([known.setdefault(p, len(pieces) + len(known)) for p in split_pieces(texts[i])], np.int64)
+        else:
+            own = index[offsets[i] : offsets[i + 1]]
+        parts.append(own)
+        ends.append(at := at + len(own))
+    return pieces + list(known), np.concatenate(parts), np.array(ends, np.int64)
+
+
+class Splitter:
+    """Splits pieces by a pattern; most are letters after a blank, with one kind of ending or none."""
+
+    def __init__(self, pattern: str) -> None:
+        self.findall = regex.compile(pattern).findall
+
+    def __call__(self, piece: str) -> list[str]:
+        stem = piece.rstrip(ENDINGS)
+        if (stem[1:] if stem[:1] == " " else stem).isalpha():
+            return [stem, piece[len(stem) :]] if len(stem) < len(piece) else [piece]
+        return self.findall(piece)
+
+
+class no_collection:  # noqa: N801
+    """Holds the garbage collector: what is made inside is not cyclic, and there is very much of it."""
+
+    def __enter__(self) -> None:
+        self.was = gc.isenabled()
+        gc.disable()
+
+    def __exit__(self, *_: object) -> None:
+        if self.was:
+            gc.enable()
+
+
+def number_words(texts: list[str], split: Splitter) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words by first appearance among the pieces, their numbers over all texts, and where each text ends."""
+    with no_collection():
+        pieces, index, ends = piece_table(texts)
+        known: dict[str, int] = {}
+        flat, size = [], []
+        for p in pieces:
+            words = split(p)
+            size.append(len(words))
+            for w in words:
+                flat.append(known.setdefault(w, len(known)))
+        strings = Strings(np.array(flat, np.int32), np.array(size, np.int64))
+        numbers = list(strings.join(index, ends))
+        count = np.array([len(x) for x in numbers], np.int64)
+        return list(known), np.concatenate(numbers) if numbers else np.empty(0, np.int32), np.cumsum(count)
 
 
 class WordMemo:
     """Turns texts to bytes, word by word, and remembers words up to a bound.
 
-    ``encode`` gives the bytes of each of some distinct words (matches of ``pattern``), in units of
-    ``unit`` bytes. What is forgotten is encoded anew; the bound changes no result.
+    ``encode`` gives the bytes of each of some distinct words (matches of ``pattern``), as numbers
+    of type ``kind``. What is forgotten is encoded anew; the bound changes no result.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], unit: int = 1, most: int = 600_000) -> None:
-        self.findall = regex.compile(pattern).findall
-        self.encode, self.unit, self.most = encode, unit, most
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], kind: str, most: int = 600_000) -> None:
+        self.split = Splitter(pattern)
+        self.encode, self.kind, self.most = encode, kind, most
         self.words: dict[str, bytes] = {}
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """The bytes of each piece. Most are letters after a blank, with one kind of ending or none."""
-        known, out, open_ = self.words, [], []
+        known, out, rest = self.words, [], []
         for i, p in enumerate(pieces):
             made = known.get(p)
             if made is None:
-                stem = p.rstrip(ENDINGS)
-                if (stem[1:] if stem[:1] == " " else stem).isalpha():
-                    tail = p[len(stem) :]
-                    made, end = known.get(stem), known.get(tail) if tail else b""
-                    if made is None or end is None:
-                        open_.append((i, [stem, tail] if tail else [stem]))
-                        made = None
-                    else:
-                        made += end
+                words = self.split(p)
+                found = [known.get(w) for w in words]
+                if None in found:
+                    rest.append((i, words))
                 else:
-                    open_.append((i, self.findall(p)))
+                    made = b"".join(found)
             out.append(made)
-        unknown = list({w for _, words in open_ for w in words if w not in known})
+        unknown = list({w for _, words in rest for w in words if w not in known})
         known.update(zip(unknown, self.encode(unknown)))
         word = known.__getitem__
-        for i, words in open_:
+        for i, words in rest:
             out[i] = b"".join(map(word, words))
         return out
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The bytes of each text."""
-        if len(self.words) > self.most:
-            for key in list(self.words)[: len(self.words) - self.most // 2]:
-                del self.words[key]
-        collecting = gc.isenabled()
-        gc.disable()  # nothing here is cyclic, and there are very many small objects
-        try:
-            return self._texts(texts)
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _texts(self, texts: list[str]) -> list[bytes]:
-        whole = pa.array(texts, pa.large_string())
-        loose = pc.match_substring_regex(whole, LOOSE).to_numpy(zero_copy_only=False)
-        out: list[bytes] = [b""] * len(texts)
-        slow = np.nonzero(loose)[0].tolist()
-        cut = [split_pieces(texts[i]) for i in slow]
-        seen = list({p for pieces in cut for p in pieces})
-        made = dict(zip(seen, self._pieces(seen)))
-        for i, pieces in zip(slow, cut):
-            out[i] = b"".join(map(made.__getitem__, pieces))
-        fast = np.nonzero(~loose)[0]
-        if len(fast):
-            runs = pc.split_pattern(whole.take(pa.array(fast)), " ")
-            offsets = runs.offsets.to_numpy().astype(np.int64)
-            first = offsets[:-1]
-            heads = runs.values.take(pa.array(first)).to_pylist()
-            coded = runs.values.dictionary_encode()
-            rest = coded.dictionary.to_pylist()
-            index = coded.indices.to_numpy().copy()
-            index[first] = np.arange(len(heads)) + len(rest)
-            used = np.zeros(len(rest) + len(heads), bool)
-            used[index] = True
-            named = [" " + w for w in rest] + heads
-            blobs = self._pieces([w if u else "" for w, u in zip(named, used.tolist())])
-            flat = Blobs(blobs, self.unit)
-            for a, b in slices(np.diff(offsets).tolist(), GATHER):
-                part = flat.gather(index[offsets[a] : offsets[b]], offsets[a + 1 : b + 1] - offsets[a])
-                for i, own in zip(fast[a:b].tolist(), part):
-                    out[i] = own
-        return out
+        with no_collection():
+            if len(self.words) > self.most:
+                for key in list(self.words)[: len(self.words) - self.most // 2]:
+                    del self.words[key]
+            pieces, index, ends = piece_table(texts)
+            return [x.tobytes() for x in Strings.of_bytes(self._pieces(pieces), self.kind).join(index, ends)]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import licenses, mixing, pii, simhash, tokenfiles, topk, vectors
+from tallyforge.llm import bpe, licenses, mixing, pii, simhash, tokenfiles, topk, vectors
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_simhash": simhash.op3_simhash,
     "op4_topk": topk.op4_topk,
     "op6_licenses": licenses.op6_licenses,
+    "op7_bpe": bpe.op7_bpe,
     "op8_vectors": vectors.op8_vectors,
     "op9_pii": pii.op9_pii,
     "op10_token_files": tokenfiles.op10_token_files,

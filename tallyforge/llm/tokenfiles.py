@@ -83,7 +83,7 @@ class Encoder:
         self.line = self._ids("\n")[0]
         #: ids as they are kept until they are packed
         self.small = np.dtype("<u2" if id_width(self.vocabulary) <= 16 else "<u4")
-        self.memo = WordMemo(pattern, self._words, unit=self.small.itemsize)
+        self.memo = WordMemo(pattern, self._words, self.small.str)
 
     @classmethod
     def at(cls, path: str, pattern: str) -> Encoder:

@@ -139,30 +139,15 @@ class WordMemo:
         self.encode, self.kind, self.most = encode, kind, most
         self.words: dict[str, bytes] = {}
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        known, out, rest = self.words, [], []
-        for i, p in enumerate(pieces):
-            made = known.get(p)
-            if made is None:
-                words = self.split(p)
-                found = [known.get(w) for w in words]
-                if None in found:
-                    rest.append((i, words))
-                else:
-                    made = b"".join(found)
-            out.append(made)
-        unknown = list({w for _, words in rest for w in words if w not in known})
-        known.update(zip(unknown, self.encode(unknown)))
-        word = known.__getitem__
-        for i, words in rest:
-            out[i] = b"".join(map(word, words))
-        return out
-
     def texts(self, texts: list[str]) -> list[bytes]:
         """The bytes of each text."""
         with no_collection():
-            if len(self.words) > self.most:
-                for key in list(self.words)[: len(self.words) - self.most // 2]:
-                    del self.words[key]
-            pieces, index, ends = piece_table(texts)
-            return [x.tobytes() for x in Strings.of_bytes(self._pieces(pieces), self.kind).join(index, ends)]
+            known = self.words
+            if len(known) > self.most:
+                for key in list(known)[: len(known) - self.most // 2]:
+                    del known[key]
+            words, numbers, ends = number_words(texts, self.split)
+            unknown = [w for w in words if w not in known]
+            known.update(zip(unknown, self.encode(unknown)))
+            strings = Strings.of_bytes(list(map(known.__getitem__, words)), self.kind)
+            return [x.tobytes() for x in strings.join(numbers, ends)]

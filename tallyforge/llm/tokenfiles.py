@@ -26,9 +26,9 @@ BLOCK_IDS = 1 << 16
 SHARD_BYTES = 48 << 20
 #: Rows of (doc_id, hash) that the driver draws to place the shard bounds.
 BOUND_SAMPLE = 20_000
-#: Characters of texts, and of lines of words, encoded at a time.
+#: Characters of texts, and words, encoded at a time.
 STEP_CHARS = 8 << 20
-LINES_CHARS = 1 << 18
+LINES = 512
 
 
 def id_width(vocabulary: int) -> int:
@@ -98,13 +98,14 @@ class Encoder:
         """Words without white space are encoded many to a text, a line each: a line end is always a token of its own."""
         made: dict[str, bytes] = {}
         plain = [w for w in words if w[w[0] == " " :].split() == [w[w[0] == " " :]]]
-        for a, b in slices([len(w) + 1 for w in plain], LINES_CHARS):
-            ids = self._ids("\n".join(plain[a:b]) + "\n")
-            ends, raw, start = np.nonzero(ids == self.line)[0].tolist(), ids.astype(self.small).tobytes(), 0
-            size = self.small.itemsize
-            if len(ends) != b - a:
+        lines = [plain[a : a + LINES] for a in range(0, len(plain), LINES)]
+        size = self.small.itemsize
+        for own, got in zip(lines, self.tokenizer.encode_batch_fast(["\n".join(x) + "\n" for x in lines], add_special_tokens=False)):
+            ids = np.array(got.ids, self.small)
+            ends, raw, start = np.nonzero(ids == self.line)[0].tolist(), ids.tobytes(), 0
+            if len(ends) != len(own):
                 raise ValueError("a line end isn't a token of its own in this tokenizer")
-            for w, end in zip(plain[a:b], ends):
+            for w, end in zip(own, ends):
                 made[w] = raw[size * start : size * end]
                 start = end + 1
         return [made[w] if w in made else self._ids(w).astype(self.small).tobytes() for w in words]

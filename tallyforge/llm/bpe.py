@@ -10,19 +10,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from tallyforge.llm.common import shuffle_partitions, slices
+from tallyforge.llm.common import slices
 from tallyforge.llm.pieces import Splitter, Strings, number_words
 
 #: Maps that the rank literal is made of: a rank is found in the map that the crc32 of its bytes names.
 MAPS = 4096
 #: Words of more bytes merge all pairs of the lowest rank at each step, not the first one only.
 LONG = 96
-#: Text of consecutive documents whose distinct words are numbered together.
-BLOCK_BYTES = 28 << 20
+#: Characters of consecutive documents whose distinct words are numbered together.
+BLOCK_CHARS = 6 << 20
+#: Text of the drawn documents whose words are folded beforehand.
+COMMON_BYTES = 192 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -59,34 +61,45 @@ def _ids(word: Column, cuts: Column, ranks: RankMap) -> Column:
 def _fold_first(word: Column, ranks: RankMap) -> Column:
     """Merge the first pair of the lowest rank until no pair has one.
 
-    The fold holds the cuts between parts, and of each pair that has a rank that rank and its three cuts, so that
-    the least of these is the pair to merge; after a merge only the two pairs beside it are looked up.
+    The fold holds the cuts between parts, and each pair that has a rank as one number (rank, then its three
+    cuts of 7 bits each), so that the least number is the pair to merge; after a merge only the two
+    pairs beside it are looked up.
     """
     n = F.length(word)
 
     def pair(a: Column, m: Column, b: Column) -> Column:
-        return F.struct(ranks.rank(_between(word, a, b)).alias("r"), a.alias("a"), m.alias("m"), b.alias("b"))
+        cuts = a * F.lit(1 << 14) + m * F.lit(1 << 7) + b
+        return ranks.rank(_between(word, a, b)).cast("long") * F.lit(1 << 21) + cuts
+
+    def last(p: Column) -> Column:
+        return p.bitwiseAND(F.lit(127).cast("long"))
 
     def ranked(pairs: Column) -> Column:
-        return F.filter(pairs, lambda p: p["r"].isNotNull())
+        return F.filter(pairs, lambda p: p.isNotNull())
 
     start = F.struct(
         F.sequence(F.lit(0), n).alias("cuts"),
         ranked(F.transform(F.sequence(F.lit(0), n - 2), lambda i: pair(i, i + 1, i + 2))).alias("pairs"),
     )
 
-    def merge(state: Column, least: Column) -> Column:
-        a, m, b = least["a"], least["m"], least["b"]
-        apart = F.filter(state["pairs"], lambda p: (p["b"] <= a) | (p["a"] >= b))
+    def merge(state: Column, at: Column) -> Column:
+        a, m, b = at["a"], at["m"], at["b"]
+        apart = F.filter(state["pairs"], lambda p: (last(p) <= a) | (last(F.shiftright(p, 14)) >= b))
         before = F.array_max(F.filter(state["cuts"], lambda c: c < a))
         after = F.array_min(F.filter(state["cuts"], lambda c: c > b))
         beside = ranked(F.array(pair(before, a, b), pair(a, b, after)))
         merged = F.struct(F.array_remove(state["cuts"], m).alias("cuts"), F.concat(apart, beside).alias("pairs"))
-        return F.when(least.isNull(), state).otherwise(merged)
+        return F.when(m.isNull(), state).otherwise(merged)
 
     def step(state: Column, _: Column) -> Column:
-        # a fold over one element binds the least pair, so that it is found once
-        return F.aggregate(F.array(F.array_min(state["pairs"])), state, merge)
+        # folds over one element bind the least pair and its cuts, so that they are found once
+        def opened(state: Column, p: Column) -> Column:
+            parts = F.struct(
+                last(F.shiftright(p, 14)).cast("int").alias("a"), last(F.shiftright(p, 7)).cast("int").alias("m"), last(p).cast("int").alias("b")
+            )
+            return F.when(p.isNull(), state).otherwise(F.aggregate(F.array(parts), state, merge))
+
+        return F.aggregate(F.array(F.array_min(state["pairs"])), state, opened)
 
     return F.aggregate(F.sequence(F.lit(2), n), start, step, lambda state: _ids(word, state["cuts"], ranks))
 
@@ -141,92 +154,157 @@ def encode_word(word: Column, ranks: RankMap) -> Column:
     )
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
-    """(block, ids, texts) of consecutive documents of a partition; the numbers are the same whenever it is read again."""
-    block, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
+class Words:
+    """Words that are encoded beforehand, found by a 64-bit hash; what a hash finds must also spell the word."""
+
+    def __init__(self, hashes: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        start = np.cumsum(size) - size
+        order = np.argsort(hashes)
+        self.hashes, self.size, self.start, self.flat = hashes[order], size[order], start[order], flat
+
+    def find(self, words: list[str], pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """For each word how many ids it has (0: not found), and these ids, one word after another."""
+        size = np.zeros(len(words), np.int64)
+        if not len(self.hashes) or not words:
+            return size, self.flat[:0]
+        asked = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+        at = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
+        hit = np.nonzero(self.hashes[at] == asked)[0]
+        strings = Strings(self.flat, self.size)
+        strings.start = self.start
+        ids = list(strings.join(at[hit], np.arange(1, len(hit) + 1)))
+        spelt = [b"".join(map(pieces.__getitem__, x)) for x in map(np.ndarray.tolist, ids)]
+        right = [s == words[i].encode("utf-8") for s, i in zip(spelt, hit.tolist())]
+        size[hit] = [len(x) * ok for x, ok in zip(ids, right)]
+        kept = [x for x, ok in zip(ids, right) if ok]
+        return size, np.concatenate(kept) if kept else self.flat[:0]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, list[str]]]:
+    """(ids, texts) of consecutive documents, about ``most`` characters at a time."""
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids.append(doc_id)
-            texts.append(text or "")
-            held += len(texts[-1])
-            if held >= BLOCK_BYTES:
-                yield block, ids, texts
-                block, ids, texts, held = block + 1, [], [], 0
-    if texts:
-        yield block, ids, texts
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (id, ids, decoded) for each whole text: its token ids as little-endian unsigned 32-bit numbers, and the bytes they decode to.
+        texts = [x or "" for x in batch.column(1).to_pylist()]
+        for a, b in slices([len(t) for t in texts], most):
+            yield batch.column(0).slice(a, b - a), texts[a:b]
+
 
-    One row per input row; a null text counts as empty and has no ids. Null ids and repeated rows are
-    kept. Special tokens are not known, so their strings are ordinary text.
+def _encoded_hex(word: Column, table: RankMap) -> Column:
+    """The ids of a word as hexadecimal digits, 8 to an id."""
+    return F.array_join(F.transform(encode_word(word, table), lambda r: F.lpad(F.hex(r), 8, "0")), "")
 
-    Blocks of consecutive documents number their distinct words. (word, block, number) rows meet by word, so that
-    each word is folded once whatever its number of occurrences, and go back by block to the documents, which
-    travel as word numbers. No group holds more than a block's words, and a word's rows are one per block, joined
-    and never gathered. ``docs`` is read twice and must give the same rows in the same partitions, as files or checkpoints do.
+
+def common_words(narrow: DataFrame, table: RankMap, pattern: str, most_bytes: int = COMMON_BYTES) -> Words:
+    """The distinct words of a drawn part of the documents, of about ``most_bytes`` at most, each folded once.
+
+    This only saves folding them again in every block. The part is bounded, and so are the words that go to the
+    driver and to the executors.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    narrow = docs.select(id_col, F.col(text).cast("string").alias("__text"))
-    n = shuffle_partitions(docs.sparkSession)
+    n, size = narrow.agg(F.count("*"), F.sum(F.octet_length("__text"))).first()
+    if not size:
+        return Words(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint32))
+    part = narrow if size <= most_bytes else narrow.where(F.rand(11) < most_bytes / size)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(pattern)
-        for block, _, texts in _blocks(batches):
-            found = number_words(texts, split)[0]
-            for a in range(0, len(found), 1 << 16):
-                part = found[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part), pa.array(np.full(len(part), block), pa.int64()), pa.array(np.arange(a, a + len(part)), pa.int32())],
-                    names=["word", "block", "number"],
-                )
+        for _, texts in _blocks(batches, BLOCK_CHARS):
+            yield pa.RecordBatch.from_arrays([pa.array(number_words(texts, split)[0], pa.string())], names=["word"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, made = batch.column(0).to_pylist(), [bytes.fromhex(x) for x in batch.column(1).to_pylist()]
+            hashes = np.fromiter(map(xxh64_intdigest, names), np.uint64, len(names))
+            size = np.fromiter(map(len, made), np.int64, len(made)) // 4
+            flat = np.frombuffer(b"".join(made), ">u4").astype("<u4")
+            columns = [pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True)], pa.binary()) for x in (hashes, size.astype("<i4"), flat)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(names)], pa.int64()), pa.array([len(flat)], pa.int64()), *columns], names=["n", "m", "h", "s", "f"])
+
+    distinct = part.select("__id", "__text").mapInArrow(words, "word string").distinct()
+    folded = distinct.select("word", _encoded_hex(F.encode("word", "utf-8"), table).alias("made"))
+    rows = folded.mapInArrow(packed, "n bigint, m bigint, h binary, s binary, f binary").collect()
+    unpack = lambda blob, k, kind: np.frombuffer(pa.decompress(blob, k * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+    return Words(
+        np.concatenate([unpack(bytes(r.h), r.n, "<u8") for r in rows]),
+        np.concatenate([unpack(bytes(r.s), r.n, "<i4") for r in rows]).astype(np.int64),
+        np.concatenate([unpack(bytes(r.f), r.m, "<u4") for r in rows]),
+    )
+
+
+def encode(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text: str = "text", digests: bool = False
+) -> DataFrame:
+    """Rows (id, ids, decoded) for each whole text: its token ids as little-endian unsigned 32-bit numbers, and the bytes they decode to.
+
+    With ``digests``: (id, n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256). One row per
+    input row; a null text counts as empty and has no ids. Null ids and repeated rows are kept. Special
+    tokens are not known, so their strings are ordinary text.
+
+    Documents are taken in blocks, whose distinct words are numbered. Words that a drawn part of the corpus
+    shares are folded once beforehand; the other words of a block are folded in its row, and its documents are
+    then spelt by word numbers. Nothing is shuffled but the words of the drawn part.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    narrow = docs.select(F.col(id_col).alias("__id"), F.col(text).cast("string").alias("__text"))
+    table = RankMap(ranks)
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        pieces[rank] = token
+    shared = docs.sparkSession.sparkContext.broadcast((common_words(narrow, table, pattern), pieces))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(pattern)
-        for block, ids, texts in _blocks(batches):
-            _, numbers, ends = number_words(texts, split)
+        common, pieces = shared.value
+        for ids, texts in _blocks(batches, BLOCK_CHARS):
+            words, numbers, ends = number_words(texts, split)
+            size, flat = common.find(words, pieces)
+            rest = [words[i].encode("utf-8") for i in np.nonzero(size == 0)[0].tolist()]
             raw = numbers.astype("<i4").tobytes()
+            offsets = pa.array([0, len(ids)], pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([block], pa.int64()),
-                    pa.array([ids], pa.list_(pa.int64()) if kind == "bigint" else None),
-                    pa.array([ends.tolist()], pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(offsets, ids),
+                    pa.array([ends.astype("<i8").tobytes()], pa.binary()),
                     pa.array([len(raw)], pa.int64()),
-                    pa.array([pa.compress(raw, codec="zstd", asbytes=True)], pa.binary()),
+                    pa.array([pa.compress(raw, codec="lz4", asbytes=True)], pa.binary()),
+                    pa.array([size.astype("<i4").tobytes()], pa.binary()),
+                    pa.array([flat.astype("<u4").tobytes()], pa.binary()),
+                    pa.array([rest], pa.list_(pa.binary())),
                 ],
-                names=["block", "ids", "ends", "size", "numbers"],
+                names=["ids", "ends", "bytes", "numbers", "size", "flat", "rest"],
             )
 
-    table = RankMap(ranks)
-    met = narrow.mapInArrow(words, "word string, block bigint, number int").repartition(n, "word")
-    distinct = met.groupBy("word").agg(F.count("block").alias("blocks"), F.count("number").alias("numbers")).where("blocks > 0 and numbers > 0")
-    big_endian = F.unhex(F.array_join(F.transform(encode_word(F.encode("word", "utf-8"), table), lambda r: F.lpad(F.hex(r), 8, "0")), ""))
-    folded = distinct.select("word", big_endian.alias("made"))
-    placed = met.join(folded.hint("shuffle_hash"), "word").select("block", "number", "made")
-    sequences = narrow.mapInArrow(numbered, f"block bigint, ids array<{kind}>, ends array<bigint>, size bigint, numbers binary")
-    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        pieces[rank] = token
-
-    def spell(docs: pa.Table, words: pa.Table) -> pa.Table:
-        order = np.argsort(words["number"].to_numpy())
-        made = words["made"].combine_chunks().take(pa.array(order)).to_pylist()
-        strings, bytes_of = Strings.of_bytes(made, ">u4"), Strings.of_bytes(pieces)
-        out_id, out_ids, out_decoded = [], [], []
-        for row in docs.to_pylist():
-            raw = pa.decompress(row["numbers"], row["size"], codec="zstd", asbytes=True)
-            joined = list(strings.join(np.frombuffer(raw, "<i4"), np.array(row["ends"], np.int64)))
-            ends = np.cumsum([len(x) for x in joined])
-            flat = np.concatenate(joined).astype("<u4") if joined else np.empty(0, "<u4")
-            out_id += row["ids"]
-            out_ids += [x.astype("<u4").tobytes() for x in joined]
-            out_decoded += [x.tobytes() for x in bytes_of.join(flat, ends)]
-        return pa.table({id_col: pa.array(out_id, pa.int64() if kind == "bigint" else None), "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_decoded, pa.binary())})
-
-    return sequences.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(
-        spell, f"`{id_col}` {kind}, ids binary, decoded binary"
-    )
+    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spell = Strings.of_bytes(shared.value[1])
+        decimal = Strings.of_bytes([b"%d," % i for i in range(len(shared.value[1]))])
+        for batch in batches:
+            for row, (bytes_, numbers, ends, size, flat, made) in enumerate(
+                zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("bytes", "numbers", "ends", "size", "flat", "made")))
+            ):
+                size = np.frombuffer(size, "<i4").astype(np.int64)
+                new = size == 0
+                size[new] = np.fromiter(map(len, made), np.int64, len(made)) // 8
+                every = np.empty(int(size.sum()), "<u4")
+                mine = np.repeat(new, size)
+                every[~mine] = np.frombuffer(flat, "<u4")
+                every[mine] = np.frombuffer(bytes.fromhex("".join(made)), ">u4")
+                sequence = np.frombuffer(pa.decompress(numbers, bytes_, codec="lz4", asbytes=True), "<i4")
+                tokens = list(Strings(every, size).join(sequence, np.frombuffer(ends, "<i8")))
+                flat_tokens = np.concatenate(tokens) if tokens else every
+                until = np.cumsum([len(x) for x in tokens])
+                id_values = batch.column(batch.schema.get_field_index("ids"))[row].values
+                if digests:
+                    out = [
+                        pa.array([len(x) for x in tokens], pa.int64()),
+                        pa.array([hashlib.sha256(x.tobytes()[:-1]).hexdigest() for x in decimal.join(flat_tokens, until)]),
+                        pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in spell.join(flat_tokens, until)]),
+                    ]
+                else:
+                    out = [pa.array([x.tobytes() for x in tokens], pa.binary()), pa.array([x.tobytes() for x in spell.join(flat_tokens, until)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([id_values, *out], names=[id_col, *(("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))])
+
+    blocks = narrow.mapInArrow(numbered, f"ids array<{kind}>, ends binary, bytes bigint, numbers binary, size binary, flat binary, rest array<binary>")
+    folded = blocks.withColumn("made", F.transform("rest", lambda w: _encoded_hex(w, table))).drop("rest")
+    result = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded binary"
+    return folded.mapInArrow(spelt, f"`{id_col}` {kind}, {result}")
 
 
 def decode(ids: bytes, pieces: list[bytes]) -> bytes:
@@ -234,31 +312,9 @@ def decode(ids: bytes, pieces: list[bytes]) -> bytes:
     return b"".join(pieces[i] for i in np.frombuffer(ids, "<u4"))
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows (id, n_tokens, ids_sha256, decoded_sha256) of what ``encode`` gives."""
-    kind = encoded.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal = Strings.of_bytes([b"%d," % i for i in range(1 << 17)])
-        for batch in batches:
-            ids = [np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()]
-            said: list[str] = []
-            for a, b in slices([len(x) for x in ids], 1 << 20):
-                flat = np.concatenate(ids[a:b])
-                ends = np.cumsum([len(x) for x in ids[a:b]])
-                said += [hashlib.sha256(x.tobytes()[:-1]).hexdigest() for x in decimal.join(flat, ends)]
-            decoded = [hashlib.sha256(x).hexdigest() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(said), pa.array(decoded)],
-                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return encoded.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-
-
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     ranks = load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return digests(encode(docs, ranks, public_tokenizers.PATTERN))
+    return encode(docs, ranks, public_tokenizers.PATTERN, digests=True)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import bpe, licenses, mixing, pii, simhash, tokenfiles, topk, vectors
+from tallyforge.llm import bpe, licenses, mixing, pii, simhash, tokenfiles, topk, toxicity, vectors
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_simhash": simhash.op3_simhash,
     "op4_topk": topk.op4_topk,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_licenses": licenses.op6_licenses,
     "op7_bpe": bpe.op7_bpe,
     "op8_vectors": vectors.op8_vectors,
@@ -15,5 +16,6 @@ QUERIES = {
     "op10_token_files": tokenfiles.op10_token_files,
 }
 ORACLES: dict[str, str] = {
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_licenses": licenses.oracle(),
 }

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tallyforge.llm.common import slices
+from tallyforge.llm.common import release_memory, slices
 from tallyforge.llm.pieces import Splitter, Strings, number_words
 
 #: Maps that the rank literal is made of: a rank is found in the map that the crc32 of its bytes names.
@@ -186,6 +186,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.A
         texts = [x or "" for x in batch.column(1).to_pylist()]
         for a, b in slices([len(t) for t in texts], most):
             yield batch.column(0).slice(a, b - a), texts[a:b]
+        release_memory()
 
 
 def _encoded_hex(word: Column, table: RankMap) -> Column:

@@ -116,8 +116,7 @@ def number_words(texts: list[str], split: Splitter) -> tuple[list[str], np.ndarr
         pieces, index, ends = piece_table(texts)
         known: dict[str, int] = {}
         flat, size = [], []
-        for p in pieces:
-            words = split(p)
+        for words in map(split, pieces):
             size.append(len(words))
             for w in words:
                 flat.append(known.setdefault(w, len(known)))
@@ -134,7 +133,7 @@ class WordMemo:
     of type ``kind``. What is forgotten is encoded anew; the bound changes no result.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], kind: str, most: int = 600_000) -> None:
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], kind: str, most: int = 450_000) -> None:
         self.split = Splitter(pattern)
         self.encode, self.kind, self.most = encode, kind, most
         self.words: dict[str, bytes] = {}

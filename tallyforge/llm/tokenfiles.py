@@ -11,13 +11,14 @@ import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import map_batches, scratch_path, slices
+from tallyforge.llm.common import map_batches, release_memory, scratch_path, slices
 from tallyforge.llm.pieces import WordMemo
 
 #: Ids after which a block is closed; a longer document is a block of its own.
@@ -26,9 +27,8 @@ BLOCK_IDS = 1 << 16
 SHARD_BYTES = 48 << 20
 #: Rows of (doc_id, hash) that the driver draws to place the shard bounds.
 BOUND_SAMPLE = 20_000
-#: Characters of texts, and words, encoded at a time.
+#: Characters of texts encoded at a time.
 STEP_CHARS = 8 << 20
-LINES = 512
 
 
 def id_width(vocabulary: int) -> int:
@@ -80,7 +80,10 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.line = self._ids("\n")[0]
+        #: the letter that byte-level vocabularies write for each byte: printable ones for themselves, the others from 256 on
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.letters = {b: chr(256 + i) for i, b in enumerate(hidden)}
         #: ids as they are kept until they are packed
         self.small = np.dtype("<u2" if id_width(self.vocabulary) <= 16 else "<u4")
         self.memo = WordMemo(pattern, self._words, self.small.str)
@@ -91,24 +94,20 @@ class Encoder:
             cls.held[path, pattern] = cls(path, pattern)
         return cls.held[path, pattern]
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
     def _words(self, words: list[str]) -> list[bytes]:
-        """Words without white space are encoded many to a text, a line each: a line end is always a token of its own."""
-        made: dict[str, bytes] = {}
-        plain = [w for w in words if w[w[0] == " " :].split() == [w[w[0] == " " :]]]
-        lines = [plain[a : a + LINES] for a in range(0, len(plain), LINES)]
-        size = self.small.itemsize
-        for own, got in zip(lines, self.tokenizer.encode_batch_fast(["\n".join(x) + "\n" for x in lines], add_special_tokens=False)):
-            ids = np.array(got.ids, self.small)
-            ends, raw, start = np.nonzero(ids == self.line)[0].tolist(), ids.tobytes(), 0
-            if len(ends) != len(own):
-                raise ValueError("a line end isn't a token of its own in this tokenizer")
-            for w, end in zip(own, ends):
-                made[w] = raw[size * start : size * end]
-                start = end + 1
-        return [made[w] if w in made else self._ids(w).astype(self.small).tobytes() for w in words]
+        """Each word is one match of the pattern, so it goes to the tokenizer's model without its splitter, in byte-level letters."""
+        tokenize, small, spell = self.tokenizer.model.tokenize, self.small, self.letters
+        blank = spell[ord(" ")]
+        made = []
+        for w in words:
+            if w.isascii() and w.isprintable():
+                w = w.replace(" ", blank)
+            else:
+                w = w.encode("utf-8", "replace").decode("latin-1").translate(spell)
+            made.append([t.id for t in tokenize(w)])
+        size = np.fromiter(map(len, made), np.int64, len(made)) * small.itemsize
+        raw, ends = np.fromiter(chain.from_iterable(made), small).tobytes(), np.cumsum(size).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as numbers of type ``small``."""
@@ -163,6 +162,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, pattern: str,
     def encode_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from encode(batch)
+            release_memory()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.at(tokenizer, pattern)

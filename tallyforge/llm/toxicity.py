@@ -21,12 +21,14 @@ from tallyforge.llm.common import slices
 from tallyforge.llm.pieces import no_collection, number_words
 
 #: Labelled documents of each class that are learned from, and the text they may hold in all.
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 48 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 2500, 32 << 20
 #: Words of a window, and from one window's start to the next one's.
 WINDOW, STRIDE = 48, 32
 #: Units of each direction, and inputs of a word.
 HIDDEN, INPUTS = 6, 4
 TABLE_BITS = 20
+#: Training steps at least, where there are few labels.
+LEAST_STEPS = 400
 GRAMS = (3, 4, 5, 6)
 MIN_LOG_ODDS, MAX_LOG_ODDS = -3.0, 6.0
 #: Characters of text, and windows, that are scored at a time.
@@ -137,8 +139,8 @@ class Network:
         for d in "01":
             self.p["w" + d] = (rng.standard_normal((INPUTS, 3 * h)) * 0.4).astype(f32)
             self.p["u" + d] = (rng.standard_normal((h, 3 * h)) * 0.3).astype(f32)
-        #: score = sigmoid(scale * highest window + shift)
-        self.scale, self.shift = 1.0, 0.0
+        #: score = sigmoid(scale * highest window + shift); a text without words scores as the share of toxic labels
+        self.scale, self.shift, self.share = 1.0, 0.0, 0.0
 
     def forward(self, table: np.ndarray, rows: np.ndarray, keep: bool = False):
         """Logits of windows. table: inputs of each word number, the last one being blank; rows: windows of numbers."""
@@ -221,7 +223,9 @@ class Model:
         rows, owner = windows(numbers, ends, len(words))
         high = np.full(len(texts), -np.inf)
         np.maximum.at(high, owner, self.network.logits(table, rows))
-        return _sigmoid(self.network.scale * high + self.network.shift)
+        scores = _sigmoid(self.network.scale * high + self.network.shift)
+        scores[np.diff(ends, prepend=0) == 0] = self.network.share
+        return scores
 
 
 def _holders(words: list[str], numbers: np.ndarray, ends: np.ndarray, mine: np.ndarray) -> np.ndarray:
@@ -232,9 +236,12 @@ def _holders(words: list[str], numbers: np.ndarray, ends: np.ndarray, mine: np.n
     return np.bincount(pairs % max(1, len(words)), minlength=len(words)).astype(np.float64)
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int = 5) -> Model:
+def train(texts: list[str], labels: np.ndarray, share: float | None = None, epochs: int = 8, seed: int = 5) -> Model:
     """Fit codes and network. With one class only (or no text) every score is near that class's side.
 
+    ``share`` is the part of toxic ones among all labelled documents, to which scores are calibrated (the
+    sample's own if not given).
+
     Each half of the documents is coded by what the other half says. A toxic document teaches by its highest window (at first
     by codes, then by the network's own logits), a clean one by its highest and some others.
     """
@@ -244,6 +251,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int = 5)
     size = 1 << TABLE_BITS
     if len(set(labels.tolist())) < 2:
         network.scale, network.shift = 0.0, -3.0 if not labels.any() else 3.0
+        network.share = float(_sigmoid(np.float64(network.shift)))
         return Model(Codes(np.zeros(size, np.float32), np.zeros(size, np.float32)), network)
     words, numbers, ends = number_words(texts, words_of)
     half = rng.random(len(texts)) < 0.5
@@ -266,7 +274,13 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int = 5)
     signal = table[:, 0] + table[:, 1]
     high = np.sort(signal[rows], axis=1)[:, -3:].sum(axis=1)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
-    ticks = 0
+    own = labels.mean()
+    share = own if share is None else min(max(share, 0.001), 0.999)
+    network.share = float(share)
+    ticks, taught = 0, len(labels) + int((labels == 0).sum())
+    batch = int(np.clip(taught // 24, 16, 256))
+    epochs = int(np.clip(-(-LEAST_STEPS * batch // taught), epochs, 40))
+    balance = (taught - labels.sum()) / labels.sum()  # both classes weigh the same
     for epoch in range(epochs):
         if epoch:
             high = network.logits(table, rows)
@@ -276,10 +290,10 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int = 5)
         drawn = starts[labels == 0]  # rows are in drawn order within a document
         chosen = np.concatenate([best, drawn])
         rng.shuffle(chosen)
-        for a in range(0, len(chosen), 256):
-            some = chosen[a : a + 256]
+        for a in range(0, len(chosen), batch):
+            some = chosen[a : a + batch]
             target = labels[owner[some]]
-            importance = np.ones(len(some))
+            importance = np.where(target == 1, balance, 1.0)
             g = network.gradients(table, rows[some], target, importance)
             ticks += 1
             rate = 0.02 * (1 - 0.7 * epoch / epochs)
@@ -289,17 +303,17 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int = 5)
                 q += 0.01 * (g[k] ** 2 - q)
                 v -= (rate * (m / (1 - 0.9**ticks)) / (np.sqrt(q / (1 - 0.99**ticks)) + 1e-6)).astype(np.float32)
     top = np.maximum.reduceat(network.logits(table, rows), starts)
-    network.scale, network.shift = _calibrate(top, labels)
+    network.scale, network.shift = _calibrate(top, labels, np.where(labels == 1, share / own, (1 - share) / (1 - own)))
     return Model(learn(np.ones(len(texts), bool)), network)
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
     """Scale and shift of a logistic fit with a weak pull to (1, 0), by Newton's steps."""
     a, b = 1.0, 0.0
     for _ in range(rounds):
         p = _sigmoid(a * x + b)
-        w = p * (1 - p)
-        g = np.array([((p - y) * x).sum() + 5 * (a - 1), (p - y).sum() + 0.5 * b])
+        w, e = weight * p * (1 - p), weight * (p - y)
+        g = np.array([(e * x).sum() + 5 * (a - 1), e.sum() + 0.5 * b])
         m = np.array([[(w * x * x).sum() + 5, (w * x).sum()], [(w * x).sum(), w.sum() + 0.5]])
         step = np.linalg.solve(m, g)
         step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
@@ -312,8 +326,8 @@ def _calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, f
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, keep, id_col: str = "doc_id", text: str = "text",
     rows: int = SAMPLE_ROWS, limit_bytes: int = SAMPLE_BYTES, extra: tuple[str, ...] = (),
-) -> list:
-    """At most ``rows`` labelled documents of each class, as rows (text, y, extra...), and at most about ``limit_bytes`` of text.
+) -> tuple[list, float]:
+    """(sample, share of label 1 among all admitted labels). The sample has at most ``rows`` labelled documents of each class, as rows (text, y, extra...), and at most about ``limit_bytes`` of text.
 
     Drawn by a hash of the id among the labelled ids that ``keep`` admits, in a fixed order. An id with
     several labels takes the highest, documents that share an id take its label. Null ids, labels and texts are left out. The ids (a bounded number) are broadcast to find the texts.
@@ -324,19 +338,20 @@ def labelled_sample(
     picked = []
     for y in (0, 1):
         picked += asked.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(rows).collect()
+    share = asked.agg(F.avg("__y")).first()[0] or 0.0
     if not picked:
-        return []
+        return [], share
     small = spark.createDataFrame([(r["__id"], int(r["__y"])) for r in picked], "__id long, __y int")
     met = docs.select(F.col(id_col).alias("__id"), F.col(text).cast("string").alias("text"), *(F.col(c) for c in extra)).join(F.broadcast(small), "__id")
     met = met.where("text is not null").withColumnRenamed("__y", "y")
     sized = met.select("__id", "y", F.octet_length("text").alias("b"))
     total = sized.agg(F.sum("b"), F.count("*")).first()
     if not total[1]:
-        return []
-    share = min(1.0, limit_bytes / max(1, total[0]), 4 * rows / total[1])
-    if share < 1:
-        met = met.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return met.orderBy("__id", F.xxhash64("text")).drop("__id").collect()
+        return [], share
+    fits = min(1.0, limit_bytes / max(1, total[0]), 4 * rows / total[1])
+    if fits < 1:
+        met = met.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(fits * (1 << 20)))
+    return met.orderBy("__id", F.xxhash64("text")).drop("__id").collect(), share
 
 
 def not_held_out(modulus: int, remainder: int):
@@ -345,8 +360,8 @@ def not_held_out(modulus: int, remainder: int):
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Train on labelled documents whose crc32(id) mod 5 is not 0."""
-    sample = labelled_sample(docs, labels, "toxic", not_held_out(5, 0), rows=rows)
-    return train([r.text for r in sample], np.array([r.y for r in sample]))
+    sample, share = labelled_sample(docs, labels, "toxic", not_held_out(5, 0), rows=rows)
+    return train([r.text for r in sample], np.array([r.y for r in sample]), share)
 
 
 def with_scores(docs: DataFrame, model, to: str = "score", id_only: str | None = None, text: str = "text") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import bpe, licenses, mixing, pii, simhash, tokenfiles, topk, toxicity, vectors
+from tallyforge.llm import bpe, licenses, mixing, pii, quality, simhash, tokenfiles, topk, toxicity, vectors
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_quality": quality.op2_quality,
     "op3_simhash": simhash.op3_simhash,
     "op4_topk": topk.op4_topk,
     "op5_toxicity": toxicity.op5_toxicity,

@@ -15,16 +15,17 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tallyforge.llm.common import release_memory, slices
-from tallyforge.llm.pieces import Splitter, Strings, number_words
+from tallyforge.llm.pieces import Strings, no_collection
+from tallyforge.llm.pretokens import split
 
 #: Maps that the rank literal is made of: a rank is found in the map that the crc32 of its bytes names.
 MAPS = 4096
 #: Words of more bytes merge all pairs of the lowest rank at each step, not the first one only.
 LONG = 96
 #: Characters of consecutive documents whose distinct words are numbered together.
-BLOCK_CHARS = 6 << 20
+BLOCK_CHARS = 3 << 20
 #: Text of the drawn documents whose words are folded beforehand.
-COMMON_BYTES = 192 << 20
+COMMON_BYTES = 128 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -158,11 +159,11 @@ class Words:
     """Words that are encoded beforehand, found by a 64-bit hash; what a hash finds must also spell the word."""
 
     def __init__(self, hashes: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
-        start = np.cumsum(size) - size
+        start = (np.cumsum(size, dtype=np.int64) - size).astype(np.uint32)
         order = np.argsort(hashes)
-        self.hashes, self.size, self.start, self.flat = hashes[order], size[order], start[order], flat
+        self.hashes, self.size, self.start, self.flat = hashes[order], size[order].astype(np.uint32), start[order], flat
 
-    def find(self, words: list[str], pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, words: list[bytes], pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """For each word how many ids it has (0: not found), and these ids, one word after another."""
         size = np.zeros(len(words), np.int64)
         if not len(self.hashes) or not words:
@@ -170,14 +171,16 @@ class Words:
         asked = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
         at = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
         hit = np.nonzero(self.hashes[at] == asked)[0]
-        strings = Strings(self.flat, self.size)
-        strings.start = self.start
-        ids = list(strings.join(at[hit], np.arange(1, len(hit) + 1)))
-        spelt = [b"".join(map(pieces.__getitem__, x)) for x in map(np.ndarray.tolist, ids)]
-        right = [s == words[i].encode("utf-8") for s, i in zip(spelt, hit.tolist())]
-        size[hit] = [len(x) * ok for x, ok in zip(ids, right)]
-        kept = [x for x, ok in zip(ids, right) if ok]
-        return size, np.concatenate(kept) if kept else self.flat[:0]
+        n, start = self.size[at[hit]].astype(np.int64), self.start[at[hit]].astype(np.int64)
+        upto = np.cumsum(n)
+        flat = self.flat[np.arange(n.sum()) + np.repeat(start - (upto - n), n)]
+        ids, spelt, a = flat.tolist(), [], 0
+        for b in upto.tolist():
+            spelt.append(b"".join(map(pieces.__getitem__, ids[a:b])))
+            a = b
+        right = np.array([s == words[i] for s, i in zip(spelt, hit.tolist())], bool)
+        size[hit] = n * right
+        return size, flat[np.repeat(right, n)]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, list[str]]]:
@@ -194,7 +197,7 @@ def _encoded_hex(word: Column, table: RankMap) -> Column:
     return F.array_join(F.transform(encode_word(word, table), lambda r: F.lpad(F.hex(r), 8, "0")), "")
 
 
-def common_words(narrow: DataFrame, table: RankMap, pattern: str, most_bytes: int = COMMON_BYTES) -> Words:
+def common_words(narrow: DataFrame, table: RankMap, most_bytes: int = COMMON_BYTES) -> Words:
     """The distinct words of a drawn part of the documents, of about ``most_bytes`` at most, each folded once.
 
     This only saves folding them again in every block. The part is bounded, and so are the words that go to the
@@ -206,9 +209,8 @@ def common_words(narrow: DataFrame, table: RankMap, pattern: str, most_bytes: in
     part = narrow if size <= most_bytes else narrow.where(F.rand(11) < most_bytes / size)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(pattern)
         for _, texts in _blocks(batches, BLOCK_CHARS):
-            yield pa.RecordBatch.from_arrays([pa.array(number_words(texts, split)[0], pa.string())], names=["word"])
+            yield pa.RecordBatch.from_arrays([pa.array(split(texts)[0], pa.binary())], names=["word"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,8 +221,8 @@ def common_words(narrow: DataFrame, table: RankMap, pattern: str, most_bytes: in
             columns = [pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True)], pa.binary()) for x in (hashes, size.astype("<i4"), flat)]
             yield pa.RecordBatch.from_arrays([pa.array([len(names)], pa.int64()), pa.array([len(flat)], pa.int64()), *columns], names=["n", "m", "h", "s", "f"])
 
-    distinct = part.select("__id", "__text").mapInArrow(words, "word string").distinct()
-    folded = distinct.select("word", _encoded_hex(F.encode("word", "utf-8"), table).alias("made"))
+    distinct = part.select("__id", "__text").mapInArrow(words, "word binary").distinct()
+    folded = distinct.select("word", _encoded_hex(F.col("word"), table).alias("made"))
     rows = folded.mapInArrow(packed, "n bigint, m bigint, h binary, s binary, f binary").collect()
     unpack = lambda blob, k, kind: np.frombuffer(pa.decompress(blob, k * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
     return Words(
@@ -231,13 +233,13 @@ def common_words(narrow: DataFrame, table: RankMap, pattern: str, most_bytes: in
 
 
 def encode(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text: str = "text", digests: bool = False
+    docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text: str = "text", digests: bool = False
 ) -> DataFrame:
     """Rows (id, ids, decoded) for each whole text: its token ids as little-endian unsigned 32-bit numbers, and the bytes they decode to.
 
     With ``digests``: (id, n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256). One row per
     input row; a null text counts as empty and has no ids. Null ids and repeated rows are kept. Special
-    tokens are not known, so their strings are ordinary text.
+    tokens are not known, so their strings are ordinary text. Texts are split by ``pretokens.PATTERN``.
 
     Documents are taken in blocks, whose distinct words are numbered. Words that a drawn part of the corpus
     shares are folded once beforehand; the other words of a block are folded in its row, and its documents are
@@ -249,15 +251,15 @@ def encode(
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token
-    shared = docs.sparkSession.sparkContext.broadcast((common_words(narrow, table, pattern), pieces))
+    context = docs.sparkSession.sparkContext
+    shared, spelling = context.broadcast(common_words(narrow, table)), context.broadcast(pieces)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(pattern)
-        common, pieces = shared.value
         for ids, texts in _blocks(batches, BLOCK_CHARS):
-            words, numbers, ends = number_words(texts, split)
-            size, flat = common.find(words, pieces)
-            rest = [words[i].encode("utf-8") for i in np.nonzero(size == 0)[0].tolist()]
+            with no_collection():
+                words, numbers, ends = split(texts)
+                size, flat = shared.value.find(words, spelling.value)
+                rest = [words[i] for i in np.nonzero(size == 0)[0].tolist()]
             raw = numbers.astype("<i4").tobytes()
             offsets = pa.array([0, len(ids)], pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -274,8 +276,8 @@ def encode(
             )
 
     def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = Strings.of_bytes(shared.value[1])
-        decimal = Strings.of_bytes([b"%d," % i for i in range(len(shared.value[1]))])
+        spell = Strings.of_bytes(spelling.value)
+        decimal = Strings.of_bytes([b"%d," % i for i in range(len(spelling.value))])
         for batch in batches:
             for row, (bytes_, numbers, ends, size, flat, made) in enumerate(
                 zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("bytes", "numbers", "ends", "size", "flat", "made")))
@@ -318,4 +320,4 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     ranks = load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return encode(docs, ranks, public_tokenizers.PATTERN, digests=True)
+    return encode(docs, ranks, digests=True)

@@ -1,4 +1,4 @@
-"""Texts cut at places where byte-level tokenizers always cut, so that each distinct word is encoded once."""
+"""Texts taken by their distinct words, so that what is done to a word is done once."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 
 from tallyforge.llm.common import slices
 
@@ -18,7 +17,6 @@ LOOSE = (
     " (?:[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|$)"
 )
 CUT = re.compile(r"(?<=\S)(?= )")
-ENDINGS = ".,;:!?"
 #: Pieces that are joined at a time.
 GATHER = 1 << 18
 
@@ -85,19 +83,6 @@ def piece_table(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return pieces + list(known), np.concatenate(parts), np.array(ends, np.int64)
 
 
-class Splitter:
-    """Splits pieces by a pattern; most are letters after a blank, with one kind of ending or none."""
-
-    def __init__(self, pattern: str) -> None:
-        self.findall = regex.compile(pattern).findall
-
-    def __call__(self, piece: str) -> list[str]:
-        stem = piece.rstrip(ENDINGS)
-        if (stem[1:] if stem[:1] == " " else stem).isalpha():
-            return [stem, piece[len(stem) :]] if len(stem) < len(piece) else [piece]
-        return self.findall(piece)
-
-
 class no_collection:  # noqa: N801
     """Holds the garbage collector: what is made inside is not cyclic, and there is very much of it."""
 
@@ -110,7 +95,7 @@ class no_collection:  # noqa: N801
             gc.enable()
 
 
-def number_words(texts: list[str], split: Splitter) -> tuple[list[str], np.ndarray, np.ndarray]:
+def number_words(texts: list[str], split: Callable[[str], list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words by first appearance among the pieces, their numbers over all texts, and where each text ends."""
     with no_collection():
         pieces, index, ends = piece_table(texts)
@@ -129,14 +114,14 @@ def number_words(texts: list[str], split: Splitter) -> tuple[list[str], np.ndarr
 class WordMemo:
     """Turns texts to bytes, word by word, and remembers words up to a bound.
 
-    ``encode`` gives the bytes of each of some distinct words (matches of ``pattern``), as numbers
-    of type ``kind``. What is forgotten is encoded anew; the bound changes no result.
+    ``split`` gives distinct words, their numbers over all texts, and each text's end; ``encode``
+    the bytes of each of some distinct words, as numbers of type ``kind``. What is forgotten is
+    encoded anew; the bound changes no result.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], kind: str, most: int = 450_000) -> None:
-        self.split = Splitter(pattern)
-        self.encode, self.kind, self.most = encode, kind, most
-        self.words: dict[str, bytes] = {}
+    def __init__(self, split: Callable, encode: Callable[[list[bytes]], list[bytes]], kind: str, most: int = 450_000) -> None:
+        self.split, self.encode, self.kind, self.most = split, encode, kind, most
+        self.words: dict[bytes, bytes] = {}
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The bytes of each text."""
@@ -145,7 +130,7 @@ class WordMemo:
             if len(known) > self.most:
                 for key in list(known)[: len(known) - self.most // 2]:
                     del known[key]
-            words, numbers, ends = number_words(texts, self.split)
+            words, numbers, ends = self.split(texts)
             unknown = [w for w in words if w not in known]
             known.update(zip(unknown, self.encode(unknown)))
             strings = Strings.of_bytes(list(map(known.__getitem__, words)), self.kind)

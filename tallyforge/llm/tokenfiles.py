@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import map_batches, release_memory, scratch_path, slices
 from tallyforge.llm.pieces import WordMemo
+from tallyforge.llm.pretokens import split
 
 #: Ids after which a block is closed; a longer document is a block of its own.
 BLOCK_IDS = 1 << 16
@@ -70,9 +71,9 @@ def unpack(payload: bytes, width: int, first: int, n: int) -> np.ndarray:
 class Encoder:
     """A tokenizers file with byte-level words, each distinct one encoded once. Strings of special tokens count as plain text."""
 
-    held: dict[tuple[str, str], Encoder] = {}
+    held: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -86,25 +87,23 @@ class Encoder:
         self.letters = {b: chr(256 + i) for i, b in enumerate(hidden)}
         #: ids as they are kept until they are packed
         self.small = np.dtype("<u2" if id_width(self.vocabulary) <= 16 else "<u4")
-        self.memo = WordMemo(pattern, self._words, self.small.str)
+        self.memo = WordMemo(split, self._words, self.small.str)
 
     @classmethod
-    def at(cls, path: str, pattern: str) -> Encoder:
-        if (path, pattern) not in cls.held:
-            cls.held[path, pattern] = cls(path, pattern)
-        return cls.held[path, pattern]
+    def at(cls, path: str) -> Encoder:
+        if path not in cls.held:
+            cls.held[path] = cls(path)
+        return cls.held[path]
 
-    def _words(self, words: list[str]) -> list[bytes]:
+    def _words(self, words: list[bytes]) -> list[bytes]:
         """Each word is one match of the pattern, so it goes to the tokenizer's model without its splitter, in byte-level letters."""
         tokenize, small, spell = self.tokenizer.model.tokenize, self.small, self.letters
         blank = spell[ord(" ")]
         made = []
         for w in words:
-            if w.isascii() and w.isprintable():
-                w = w.replace(" ", blank)
-            else:
-                w = w.encode("utf-8", "replace").decode("latin-1").translate(spell)
-            made.append([t.id for t in tokenize(w)])
+            letters = w.decode("latin-1")
+            letters = letters.replace(" ", blank) if w.isascii() and letters.isprintable() else letters.translate(spell)
+            made.append([t.id for t in tokenize(letters)])
         size = np.fromiter(map(len, made), np.int64, len(made)) * small.itemsize
         raw, ends = np.fromiter(chain.from_iterable(made), small).tobytes(), np.cumsum(size).tolist()
         return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
@@ -128,10 +127,10 @@ def _bounds(docs: DataFrame) -> list[tuple]:
     return [keys[len(keys) * i // shards] for i in range(1, shards)]
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int = 0) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """Encode every whole text of ``docs`` (doc_id, text), append ``end_id`` and write blocks by ascending doc_id.
 
-    ``pattern`` is what the tokenizer splits texts by.
+    The tokenizer is a byte-level one that splits texts by ``pretokens.PATTERN``.
 
     Null texts count as empty, null ids come first, rows that share an id follow each other by the hash of
     their text. An empty table writes an empty file set.
@@ -142,7 +141,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, pattern: str,
 
     def encode(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, texts, hashes = (batch.column(i).to_pylist() for i in range(3))
-        encoder = Encoder.at(tokenizer, pattern)
+        encoder = Encoder.at(tokenizer)
         end = np.array([end_id], encoder.small).tobytes()
         for a, b in slices([len(t) for t in texts], STEP_CHARS):
             made = [x + end for x in encoder.encode(texts[a:b])]
@@ -165,7 +164,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, pattern: str,
             release_memory()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.at(tokenizer, pattern)
+        encoder = Encoder.at(tokenizer)
         width = id_width(encoder.vocabulary)
         state = {"shard": None, "ids": [], "docs": [], "ends": [], "first": 0, "block": 0, "held": 0}
 
@@ -270,5 +269,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = scratch_path(spark, "tokens")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    write_token_files(docs, path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    write_token_files(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
     return read_token_files(spark, path)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tallyforge.llm.common import slices
+from tallyforge.llm.common import release_memory, slices
 from tallyforge.llm.pieces import no_collection, number_words
 
 #: Labelled documents of each class that are learned from, and the text they may hold in all.
@@ -380,12 +380,29 @@ def with_scores(docs: DataFrame, model, to: str = "score", id_only: str | None =
                     scores = held.value.score(texts[a:b])
                 part = [batch.column(i).slice(a, b - a) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*part, pa.array(scores, pa.float64())], names=[*(f.name for f in kept), to])
+            release_memory()
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{to}` double"])
     names = [F.col(f"`{f.name}`") for f in kept]
     return docs.select(*names, F.col(text).cast("string").alias("__text")).mapInArrow(run, ddl)
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose whole text scores ``threshold`` or more. Columns stay as they are."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x or "" for x in batch.column(at).to_pylist()]
+            for a, b in slices([len(t) for t in texts], STEP_CHARS):
+                with no_collection():
+                    clean = held.value.score(texts[a:b]) < threshold
+                yield batch.slice(a, b - a).filter(pa.array(clean))
+            release_memory()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")

@@ -6,7 +6,7 @@ import base64
 import hashlib
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +18,14 @@ from tallyforge.llm.common import release_memory, slices
 from tallyforge.llm.pieces import Strings, no_collection
 from tallyforge.llm.pretokens import split
 
-#: Maps that the rank literal is made of: a rank is found in the map that the crc32 of its bytes names.
+#: Maps that the rank literal is made of: a rank is found in the map that the crc32 of its bytes names (a power of 2).
 MAPS = 4096
-#: Words of more bytes merge all pairs of the lowest rank at each step, not the first one only.
+#: Words of more bytes merge all pairs of the lowest rank at each step, not the first one only; the cuts of others fit 7 bits.
 LONG = 96
 #: Characters of consecutive documents whose distinct words are numbered together.
 BLOCK_CHARS = 3 << 20
 #: Text of the drawn documents whose words are folded beforehand.
-COMMON_BYTES = 128 << 20
+COMMON_BYTES = 192 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -34,6 +34,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+Rank = Callable[[Column], Column]
+
+
 class RankMap:
     """The ranks as a literal: an array of small maps from hexadecimal bytes to ranks, folded to a constant by the optimizer."""
 
@@ -41,71 +44,85 @@ class RankMap:
         maps: list[dict[str, int]] = [{} for _ in range(MAPS)]
         for token, rank in ranks.items():
             maps[zlib.crc32(token) % MAPS][token.hex().upper()] = rank
-        text = json.dumps(maps, separators=(",", ":"))
-        self.literal = F.from_json(F.lit(text), "array<map<string,int>>")
+        self.text = json.dumps(maps, separators=(",", ":"))
+
+    def bind(self, kind: str, body: Callable[[Rank], Column]) -> Column:
+        """``body``, of type ``kind``, given a function that finds the rank of some bytes (null if they are no token).
+
+        A fold over one element binds the literal to a name, so that a plan holds it once however often it is used.
+        """
 
-    def rank(self, token: Column) -> Column:
-        """The rank of some bytes, null if they are no token."""
-        return F.element_at(F.get(self.literal, (F.crc32(token) % MAPS).cast("int")), F.hex(token))
+        def within(_: Column, table: Column) -> Column:
+            return body(lambda token: F.element_at(F.get(table, F.crc32(token).bitwiseAND(F.lit(MAPS - 1)).cast("int")), F.hex(token)))
+
+        literal = F.from_json(F.lit(self.text), "array<map<string,int>>")
+        return F.aggregate(F.array(literal), F.array().cast(kind), within)
 
 
 def _between(word: Column, start: Column, end: Column) -> Column:
     return F.substring(word, start + 1, end - start)
 
 
-def _ids(word: Column, cuts: Column, ranks: RankMap) -> Column:
+def _ids(word: Column, cuts: Column, rank: Rank) -> Column:
     """The ranks of the parts between consecutive ``cuts``."""
     starts = F.slice(cuts, F.lit(1), F.size(cuts) - 1)
-    return F.transform(starts, lambda a, i: ranks.rank(_between(word, a, F.get(cuts, i + 1))))
+    return F.transform(starts, lambda a, i: rank(_between(word, a, F.get(cuts, i + 1))))
 
 
-def _fold_first(word: Column, ranks: RankMap) -> Column:
+def _fold_first(word: Column, rank: Rank) -> Column:
     """Merge the first pair of the lowest rank until no pair has one.
 
     The fold holds the cuts between parts, and each pair that has a rank as one number (rank, then its three
-    cuts of 7 bits each), so that the least number is the pair to merge; after a merge only the two
-    pairs beside it are looked up.
+    cuts of 7 bits each), so that the least number is the pair to merge. Steps go by twos: one notes the cuts of the least
+    pair, the next removes its middle cut and looks up the two pairs beside it. (Noting them in the state is
+    far cheaper than nested folds, each of which copies the state.)
     """
     n = F.length(word)
 
     def pair(a: Column, m: Column, b: Column) -> Column:
         cuts = a * F.lit(1 << 14) + m * F.lit(1 << 7) + b
-        return ranks.rank(_between(word, a, b)).cast("long") * F.lit(1 << 21) + cuts
+        return rank(_between(word, a, b)).cast("long") * F.lit(1 << 21) + cuts
 
-    def last(p: Column) -> Column:
-        return p.bitwiseAND(F.lit(127).cast("long"))
+    def cut(p: Column, shift: int) -> Column:
+        return (F.shiftright(p, shift) if shift else p).bitwiseAND(F.lit(127).cast("long")).cast("int")
 
     def ranked(pairs: Column) -> Column:
         return F.filter(pairs, lambda p: p.isNotNull())
 
+    nothing = F.lit(None).cast("int")
     start = F.struct(
         F.sequence(F.lit(0), n).alias("cuts"),
         ranked(F.transform(F.sequence(F.lit(0), n - 2), lambda i: pair(i, i + 1, i + 2))).alias("pairs"),
+        nothing.alias("a"),
+        nothing.alias("m"),
+        nothing.alias("b"),
     )
 
-    def merge(state: Column, at: Column) -> Column:
-        a, m, b = at["a"], at["m"], at["b"]
-        apart = F.filter(state["pairs"], lambda p: (last(p) <= a) | (last(F.shiftright(p, 14)) >= b))
+    def note(state: Column) -> Column:
+        least = F.array_min(state["pairs"])
+        held = (state["cuts"].alias("cuts"), state["pairs"].alias("pairs"))
+        return F.struct(*held, cut(least, 14).alias("a"), cut(least, 7).alias("m"), cut(least, 0).alias("b"))
+
+    def merge(state: Column) -> Column:
+        a, m, b = state["a"], state["m"], state["b"]
+        wide_a, wide_b = a.cast("long"), b * F.lit(1 << 14).cast("long")
+        low, middle = F.lit(127).cast("long"), F.lit(127 << 14).cast("long")
+        apart = F.filter(state["pairs"], lambda p: (p.bitwiseAND(low) <= wide_a) | (p.bitwiseAND(middle) >= wide_b))
         before = F.array_max(F.filter(state["cuts"], lambda c: c < a))
         after = F.array_min(F.filter(state["cuts"], lambda c: c > b))
-        beside = ranked(F.array(pair(before, a, b), pair(a, b, after)))
-        merged = F.struct(F.array_remove(state["cuts"], m).alias("cuts"), F.concat(apart, beside).alias("pairs"))
-        return F.when(m.isNull(), state).otherwise(merged)
-
-    def step(state: Column, _: Column) -> Column:
-        # folds over one element bind the least pair and its cuts, so that they are found once
-        def opened(state: Column, p: Column) -> Column:
-            parts = F.struct(
-                last(F.shiftright(p, 14)).cast("int").alias("a"), last(F.shiftright(p, 7)).cast("int").alias("m"), last(p).cast("int").alias("b")
-            )
-            return F.when(p.isNull(), state).otherwise(F.aggregate(F.array(parts), state, merge))
+        both = F.array_append(F.array_append(apart, pair(before, a, b)), pair(a, b, after))
+        return F.struct(
+            F.array_remove(state["cuts"], m).alias("cuts"), ranked(both).alias("pairs"),
+            a.alias("a"), m.alias("m"), b.alias("b"),
+        )
 
-        return F.aggregate(F.array(F.array_min(state["pairs"])), state, opened)
+    def step(state: Column, i: Column) -> Column:
+        return F.when(F.size(state["pairs"]) == 0, state).when(i.bitwiseAND(F.lit(1)) == 1, note(state)).otherwise(merge(state))
 
-    return F.aggregate(F.sequence(F.lit(2), n), start, step, lambda state: _ids(word, state["cuts"], ranks))
+    return F.aggregate(F.sequence(F.lit(1), 2 * n - 2), start, step, lambda state: _ids(word, state["cuts"], rank))
 
 
-def _fold_all(word: Column, ranks: RankMap) -> Column:
+def _fold_all(word: Column, rank: Rank) -> Column:
     """Merge at each step all pairs of the lowest rank, from the left and without overlap.
 
     Gives the same ids wherever every token is what its own bytes merge to, as in any trained vocabulary: a merge then
@@ -115,7 +132,7 @@ def _fold_all(word: Column, ranks: RankMap) -> Column:
 
     def step(cuts: Column, _: Column) -> Column:
         inner = F.slice(cuts, F.lit(1), F.greatest(F.size(cuts) - 2, F.lit(0)))
-        found = F.transform(inner, lambda a, i: ranks.rank(_between(word, a, F.get(cuts, i + 2))))
+        found = F.transform(inner, lambda a, i: rank(_between(word, a, F.get(cuts, i + 2))))
 
         def merge(cuts: Column, found: Column) -> Column:
             def marked(cuts: Column, least: Column) -> Column:
@@ -140,18 +157,18 @@ def _fold_all(word: Column, ranks: RankMap) -> Column:
         moved = F.struct(step(state["cuts"], i).alias("cuts"), F.size(state["cuts"]).alias("was"))
         return F.when(F.size(state["cuts"]) == state["was"], state).otherwise(moved)
 
-    return F.aggregate(F.sequence(F.lit(1), n), start, guarded, lambda state: _ids(word, state["cuts"], ranks))
+    return F.aggregate(F.sequence(F.lit(1), n), start, guarded, lambda state: _ids(word, state["cuts"], rank))
 
 
-def encode_word(word: Column, ranks: RankMap) -> Column:
+def encode_word(word: Column, rank: Rank) -> Column:
     """The ids of one word's bytes (a match of the pattern), as array<int>; of null or no bytes: empty."""
-    whole = ranks.rank(word)
+    whole = rank(word)
     n = F.length(word)
     return (
         F.when(F.coalesce(n, F.lit(0)) == 0, F.array().cast("array<int>"))
         .when(whole.isNotNull(), F.array(whole))
-        .when(n <= LONG, _fold_first(word, ranks))
-        .otherwise(_fold_all(word, ranks))
+        .when(n <= LONG, _fold_first(word, rank))
+        .otherwise(_fold_all(word, rank))
     )
 
 
@@ -192,9 +209,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.A
         release_memory()
 
 
-def _encoded_hex(word: Column, table: RankMap) -> Column:
-    """The ids of a word as hexadecimal digits, 8 to an id."""
-    return F.array_join(F.transform(encode_word(word, table), lambda r: F.lpad(F.hex(r), 8, "0")), "")
+def _lists(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and joined numbers of a column of number lists."""
+    offsets = lists.offsets.to_numpy()
+    return np.diff(offsets), lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype("<u4")
 
 
 def common_words(narrow: DataFrame, table: RankMap, most_bytes: int = COMMON_BYTES) -> Words:
@@ -214,15 +232,14 @@ def common_words(narrow: DataFrame, table: RankMap, most_bytes: int = COMMON_BYT
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, made = batch.column(0).to_pylist(), [bytes.fromhex(x) for x in batch.column(1).to_pylist()]
+            names = batch.column(0).to_pylist()
             hashes = np.fromiter(map(xxh64_intdigest, names), np.uint64, len(names))
-            size = np.fromiter(map(len, made), np.int64, len(made)) // 4
-            flat = np.frombuffer(b"".join(made), ">u4").astype("<u4")
+            size, flat = _lists(batch.column(1))
             columns = [pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True)], pa.binary()) for x in (hashes, size.astype("<i4"), flat)]
             yield pa.RecordBatch.from_arrays([pa.array([len(names)], pa.int64()), pa.array([len(flat)], pa.int64()), *columns], names=["n", "m", "h", "s", "f"])
 
     distinct = part.select("__id", "__text").mapInArrow(words, "word binary").distinct()
-    folded = distinct.select("word", _encoded_hex(F.col("word"), table).alias("made"))
+    folded = distinct.select("word", table.bind("array<int>", lambda rank: encode_word(F.col("word"), rank)).alias("made"))
     rows = folded.mapInArrow(packed, "n bigint, m bigint, h binary, s binary, f binary").collect()
     unpack = lambda blob, k, kind: np.frombuffer(pa.decompress(blob, k * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
     return Words(
@@ -279,21 +296,22 @@ def encode(
         spell = Strings.of_bytes(spelling.value)
         decimal = Strings.of_bytes([b"%d," % i for i in range(len(spelling.value))])
         for batch in batches:
-            for row, (bytes_, numbers, ends, size, flat, made) in enumerate(
-                zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("bytes", "numbers", "ends", "size", "flat", "made")))
+            column = lambda name, held=batch: held.column(held.schema.get_field_index(name))
+            for row, (bytes_, numbers, ends, size, flat) in enumerate(
+                zip(*(column(c).to_pylist() for c in ("bytes", "numbers", "ends", "size", "flat")))
             ):
                 size = np.frombuffer(size, "<i4").astype(np.int64)
                 new = size == 0
-                size[new] = np.fromiter(map(len, made), np.int64, len(made)) // 8
+                size[new], made = _lists(column("made")[row].values)
                 every = np.empty(int(size.sum()), "<u4")
                 mine = np.repeat(new, size)
                 every[~mine] = np.frombuffer(flat, "<u4")
-                every[mine] = np.frombuffer(bytes.fromhex("".join(made)), ">u4")
+                every[mine] = made
                 sequence = np.frombuffer(pa.decompress(numbers, bytes_, codec="lz4", asbytes=True), "<i4")
                 tokens = list(Strings(every, size).join(sequence, np.frombuffer(ends, "<i8")))
                 flat_tokens = np.concatenate(tokens) if tokens else every
                 until = np.cumsum([len(x) for x in tokens])
-                id_values = batch.column(batch.schema.get_field_index("ids"))[row].values
+                id_values = column("ids")[row].values
                 if digests:
                     out = [
                         pa.array([len(x) for x in tokens], pa.int64()),
@@ -305,7 +323,7 @@ def encode(
                 yield pa.RecordBatch.from_arrays([id_values, *out], names=[id_col, *(("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))])
 
     blocks = narrow.mapInArrow(numbered, f"ids array<{kind}>, ends binary, bytes bigint, numbers binary, size binary, flat binary, rest array<binary>")
-    folded = blocks.withColumn("made", F.transform("rest", lambda w: _encoded_hex(w, table))).drop("rest")
+    folded = blocks.withColumn("made", table.bind("array<array<int>>", lambda rank: F.transform("rest", lambda w: encode_word(w, rank)))).drop("rest")
     result = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded binary"
     return folded.mapInArrow(spelt, f"`{id_col}` {kind}, {result}")
 

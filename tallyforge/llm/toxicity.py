@@ -32,7 +32,9 @@ LEAST_STEPS = 400
 GRAMS = (3, 4, 5, 6)
 MIN_LOG_ODDS, MAX_LOG_ODDS = -3.0, 6.0
 #: Characters of text, and windows, that are scored at a time.
-STEP_CHARS, STEP_WINDOWS = 8 << 20, 8192
+STEP_CHARS, STEP_WINDOWS = 8 << 20, 4096
+#: Words whose n-grams are held at a time.
+WORDS_STEP = 1 << 15
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~…“”‘’«»¡¿"
 
 
@@ -84,19 +86,21 @@ class Codes:
             return np.clip(value, MIN_LOG_ODDS, MAX_LOG_ODDS).astype(np.float32)
 
         size = 1 << TABLE_BITS
-        w = word_codes(words)
-        g, owner = gram_codes(words)
-        return cls(
-            log_odds(np.bincount(w, toxic, size), np.bincount(w, clean, size)),
-            log_odds(np.bincount(g, toxic[owner], size), np.bincount(g, clean[owner], size)),
-        )
+        counts = np.zeros((4, size))
+        for a in range(0, len(words), WORDS_STEP):
+            part = words[a : a + WORDS_STEP]
+            t, c, w = toxic[a : a + WORDS_STEP], clean[a : a + WORDS_STEP], word_codes(part)
+            g, owner = gram_codes(part)
+            for row, (at, weight) in enumerate(((w, t), (w, c), (g, t[owner]), (g, c[owner]))):
+                counts[row] += np.bincount(at, weight, size)
+        return cls(log_odds(counts[0], counts[1]), log_odds(counts[2], counts[3]))
 
     def inputs(self, words: list[str]) -> np.ndarray:
         """What the network sees of each word: the word's own code, the highest and mean code of its n-grams, and 1."""
         out = np.zeros((len(words), INPUTS), np.float32)
         out[:, 3] = 1
-        for a in range(0, len(words), 1 << 16):
-            part = words[a : a + (1 << 16)]
+        for a in range(0, len(words), WORDS_STEP):
+            part = words[a : a + WORDS_STEP]
             rows = out[a : a + len(part)]
             rows[:, 0] = self.word[word_codes(part)]
             codes, owner = gram_codes(part)
@@ -267,7 +271,7 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, epoc
     table = np.vstack([*inputs, np.zeros((1, INPUTS), np.float32)])
     rows, owner = windows(numbers, ends, len(words))
     blank = rows == len(words)
-    rows = np.where(blank, len(table) - 1, rows + np.where(half[owner], 0, len(words))[:, None])
+    rows = np.where(blank, len(table) - 1, rows + np.where(half[owner], 0, len(words))[:, None]).astype(np.int32)
     order = np.lexsort((rng.random(len(rows)), owner))
     rows, owner = rows[order], owner[order]
     starts = np.nonzero(np.diff(owner, prepend=-1))[0]
@@ -361,7 +365,10 @@ def not_held_out(modulus: int, remainder: int):
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Train on labelled documents whose crc32(id) mod 5 is not 0."""
     sample, share = labelled_sample(docs, labels, "toxic", not_held_out(5, 0), rows=rows)
-    return train([r.text for r in sample], np.array([r.y for r in sample]), share)
+    model = train([r.text for r in sample], np.array([r.y for r in sample]), share)
+    del sample
+    release_memory()
+    return model
 
 
 def with_scores(docs: DataFrame, model, to: str = "score", id_only: str | None = None, text: str = "text") -> DataFrame:

@@ -56,6 +56,7 @@ class QueryBlock:
             bound[at] = np.abs(q).astype(object).sum(axis=1) * top + 1
         #: sums of products below this are exact in doubles, which multiply far faster
         self.exact = max(bound, default=0) < 1 << 53
+        bound = np.minimum(bound, 1 << 61)  # scores are 64-bit numbers
         self.low = np.array([-b for b in bound], np.int64)
         self.width = np.array([-(-(2 * b + 1) // BINS) for b in bound], np.int64)
         self.need = np.full(len(rows), k, np.int64)

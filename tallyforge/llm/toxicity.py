@@ -29,6 +29,8 @@ HIDDEN, INPUTS = 6, 4
 TABLE_BITS = 20
 #: Training steps at least, where there are few labels.
 LEAST_STEPS = 400
+#: Share of words whose own code is hidden in an epoch of training.
+HIDE_WORDS = 0.3
 GRAMS = (3, 4, 5, 6)
 MIN_LOG_ODDS, MAX_LOG_ODDS = -3.0, 6.0
 #: Characters of text, and windows, that are scored at a time.
@@ -294,11 +296,13 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, epoc
         drawn = starts[labels == 0]  # rows are in drawn order within a document
         chosen = np.concatenate([best, drawn])
         rng.shuffle(chosen)
+        shown = table.copy()  # words unseen so far must be known by their n-grams alone
+        shown[rng.random(len(table)) < HIDE_WORDS, 0] = 0
         for a in range(0, len(chosen), batch):
             some = chosen[a : a + batch]
             target = labels[owner[some]]
             importance = np.where(target == 1, balance, 1.0)
-            g = network.gradients(table, rows[some], target, importance)
+            g = network.gradients(shown, rows[some], target, importance)
             ticks += 1
             rate = 0.02 * (1 - 0.7 * epoch / epochs)
             for k, v in network.p.items():

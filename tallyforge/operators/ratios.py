@@ -67,7 +67,11 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> dict[str, Column]:
     p, zz = k.cast("double") / n_, z * z
     centre = (p + zz / (2 * n_)) / (1 + zz / n_)
     half = z * F.sqrt(p * (1 - p) / n_ + zz / (4 * n_ * n_)) / (1 + zz / n_)
-    return {"rate": p, "low": F.greatest(F.lit(0.0), centre - half), "high": F.least(F.lit(1.0), centre + half)}
+    return {
+        "rate": p,
+        "low": F.when(ok, F.greatest(F.lit(0.0), centre - half)),
+        "high": F.when(ok, F.least(F.lit(1.0), centre + half)),
+    }
 
 
 def mean(df: DataFrame, value: Column, by: list[str] | None = None) -> DataFrame:

@@ -392,23 +392,23 @@ def object_left_join(spark, sf_dir):
     return out.select("o_orderkey", day("ship_first").alias("first_ship"), day("ship_last").alias("last_ship"), F.col("ship_count").alias("n_lines"))
 
 
-@query("""WITH r AS (SELECT *, (l_linenumber, l_partkey, l_suppkey) AS o FROM lineitem)
+@query("""WITH r AS (SELECT *, (l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS o FROM lineitem)
     SELECT CAST(l_orderkey AS VARCHAR) AS key, count(*) AS n_rows, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total, CAST(max(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS most,
     CAST(min(CAST(l_tax AS DECIMAL(18,2))) AS DOUBLE) AS least, arg_min(l_returnflag, o) AS first_flag, arg_max(l_linestatus, o) AS last_status, count(DISTINCT l_suppkey) AS n_suppliers FROM r GROUP BY l_orderkey""")
 def agg_methods(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").withColumns({c: dec(c) for c in ("l_extendedprice", "l_quantity", "l_tax")})
     plan = {"l_extendedprice": "sum", "l_quantity": "max", "l_tax": "min", "l_returnflag": "first", "l_linestatus": "last", "l_suppkey": "nunique"}
-    out = reconcile.aggregate(lines, F.col("l_orderkey"), plan, ["l_linenumber", "l_partkey", "l_suppkey"], number=lambda c: c)
+    out = reconcile.aggregate(lines, F.col("l_orderkey"), plan, ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"], number=lambda c: c)
     return out.select(
         "key", "n_rows", num("l_extendedprice").alias("total"), num("l_quantity").alias("most"), num("l_tax").alias("least"),
         F.col("l_returnflag").alias("first_flag"), F.col("l_linestatus").alias("last_status"), F.col("l_suppkey").alias("n_suppliers"),
     )
 
 
-@query("""WITH f AS (SELECT l_orderkey, l_shipdate, l_returnflag, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_shipdate, l_partkey, l_suppkey) AS rn, l_partkey, l_suppkey FROM lineitem)
-    SELECT CAST(l_orderkey AS VARCHAR) AS key, string_agg(l_returnflag, '/' ORDER BY l_shipdate, l_partkey, l_suppkey) FILTER (rn = 1) AS flags FROM f GROUP BY l_orderkey""")
+@query("""WITH f AS (SELECT l_orderkey, l_shipdate, l_returnflag, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice) AS rn, l_partkey, l_suppkey, l_extendedprice FROM lineitem)
+    SELECT CAST(l_orderkey AS VARCHAR) AS key, string_agg(l_returnflag, '/' ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice) FILTER (rn = 1) AS flags FROM f GROUP BY l_orderkey""")
 def agg_list(spark, sf_dir):
-    out = reconcile.aggregate(table(spark, sf_dir, "lineitem"), F.col("l_orderkey"), {"l_returnflag": "list"}, ["l_shipdate", "l_partkey", "l_suppkey"])
+    out = reconcile.aggregate(table(spark, sf_dir, "lineitem"), F.col("l_orderkey"), {"l_returnflag": "list"}, ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"])
     return out.select("key", F.col("l_returnflag").alias("flags"))
 
 
@@ -445,19 +445,19 @@ def partition_rows(spark, sf_dir):
     return reconcile.partition_rows(p, "p_type", "head")
 
 
-@query("""WITH r AS (SELECT CAST(l_extendedprice AS DECIMAL(18,2)) AS v, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS rn,
+@query("""WITH r AS (SELECT CAST(l_extendedprice AS DECIMAL(18,2)) AS v, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS rn,
     count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem)
     SELECT count(*) AS n_rows, count(*) FILTER (rn = 1) AS n_unique, count(*) FILTER (rn = 1 AND n > 1) AS n_repeated_keys, count(*) FILTER (rn > 1) AS n_extra_rows,
     CAST(sum(v) AS DOUBLE) AS sum_before, CAST(sum(v) FILTER (rn = 1) AS DOUBLE) AS sum_after FROM r""")
 def dedupe_keys(spark, sf_dir):
-    out = reconcile.dedupe_check(table(spark, sf_dir, "lineitem"), [F.col("l_orderkey"), F.col("l_linenumber")], ["l_partkey", "l_suppkey"], dec("l_extendedprice"))
+    out = reconcile.dedupe_check(table(spark, sf_dir, "lineitem"), [F.col("l_orderkey"), F.col("l_linenumber")], ["l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"], dec("l_extendedprice"))
     return nums(out, ["sum_before", "sum_after"])
 
 
 @query("""SELECT l_returnflag, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey
-    ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem) WHERE rn = 1 GROUP BY 1""")
+    ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS rn FROM lineitem) WHERE rn = 1 GROUP BY 1""")
 def keep_first(spark, sf_dir):
-    first = reconcile.keep_first(table(spark, sf_dir, "lineitem"), [F.col("l_orderkey")], ["l_linenumber", "l_partkey", "l_suppkey"])
+    first = reconcile.keep_first(table(spark, sf_dir, "lineitem"), [F.col("l_orderkey")], ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"])
     return first.groupBy("l_returnflag").agg(F.count("*").alias("n"), num(F.sum(dec("l_extendedprice"))).alias("total"))
 
 

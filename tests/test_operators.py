@@ -1,5 +1,6 @@
 """Ratios, distributions, audits, cohorts, guards on small fixtures with known answers."""
 
+import math
 from datetime import datetime
 from decimal import Decimal
 
@@ -45,7 +46,10 @@ def test_standardised(spark):
 def test_wilson(spark):
     df = spark.createDataFrame([(30, 100), (1, 0), (5, 3)], "k int, n int")
     out = df.withColumns(ratios.wilson(F.col("k"), F.col("n"))).collect()
-    assert (round(out[0].low, 4), round(out[0].high, 4)) == (0.2189, 0.3959) and out[1].low is None and out[2].high is None
+    p, n, z = 0.3, 100, 1.96
+    centre, half = (p + z * z / (2 * n)) / (1 + z * z / n), z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
+    assert abs(out[0].low - (centre - half)) < 1e-12 and abs(out[0].high - (centre + half)) < 1e-12
+    assert out[1].low is None and out[2].high is None
 
 
 def test_distribution(spark):

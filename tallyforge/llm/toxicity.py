@@ -21,7 +21,7 @@ from tallyforge.llm.common import release_memory, slices
 from tallyforge.llm.pieces import no_collection, number_words
 
 #: Labelled documents of each class that are learned from, and the text they may hold in all.
-SAMPLE_ROWS, SAMPLE_BYTES = 2500, 32 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 2000, 24 << 20
 #: Words of a window, and from one window's start to the next one's.
 WINDOW, STRIDE = 48, 32
 #: Units of each direction, and inputs of a word.
@@ -34,9 +34,9 @@ HIDE_WORDS = 0.3
 GRAMS = (3, 4, 5, 6)
 MIN_LOG_ODDS, MAX_LOG_ODDS = -3.0, 6.0
 #: Characters of text, and windows, that are scored at a time.
-STEP_CHARS, STEP_WINDOWS = 8 << 20, 4096
+STEP_CHARS, STEP_WINDOWS = 3 << 20, 2048
 #: Words whose n-grams are held at a time.
-WORDS_STEP = 1 << 15
+WORDS_STEP = 1 << 14
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~…“”‘’«»¡¿"
 
 
@@ -260,6 +260,7 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, epoc
         network.share = float(_sigmoid(np.float64(network.shift)))
         return Model(Codes(np.zeros(size, np.float32), np.zeros(size, np.float32)), network)
     words, numbers, ends = number_words(texts, words_of)
+    release_memory()
     half = rng.random(len(texts)) < 0.5
 
     def learn(mine: np.ndarray) -> Codes:
@@ -269,6 +270,7 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, epoc
         )
 
     inputs = [learn(~half).inputs(words), learn(half).inputs(words)]  # of documents in half, and of the others
+    release_memory()
     # one table for both: the words of the second half's documents are numbered after the first's
     table = np.vstack([*inputs, np.zeros((1, INPUTS), np.float32)])
     rows, owner = windows(numbers, ends, len(words))
@@ -311,6 +313,8 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, epoc
                 q += 0.01 * (g[k] ** 2 - q)
                 v -= (rate * (m / (1 - 0.9**ticks)) / (np.sqrt(q / (1 - 0.99**ticks)) + 1e-6)).astype(np.float32)
     top = np.maximum.reduceat(network.logits(table, rows), starts)
+    del table, shown, rows, inputs
+    release_memory()
     network.scale, network.shift = _calibrate(top, labels, np.where(labels == 1, share / own, (1 - share) / (1 - own)))
     return Model(learn(np.ones(len(texts), bool)), network)
 
@@ -405,11 +409,13 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x or "" for x in batch.column(at).to_pylist()]
+            clean = []
             for a, b in slices([len(t) for t in texts], STEP_CHARS):
                 with no_collection():
-                    clean = held.value.score(texts[a:b]) < threshold
-                yield batch.slice(a, b - a).filter(pa.array(clean))
+                    clean.append(held.value.score(texts[a:b]) < threshold)
+            del texts
             release_memory()
+            yield batch.filter(pa.array(np.concatenate(clean))) if clean else batch
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -94,7 +94,8 @@ def link_edges(fps: DataFrame, segments: int = 2) -> DataFrame:
     no list of pairs forms: members link to the smallest of their entry, and each link's whole distance
     is verified.
     """
-    probes = fps.select("fp", F.explode(_ball(F.col("fp"), segments)).alias("entry"))
+    spread = fps.repartition(shuffle_partitions(fps.sparkSession))  # each row becomes 65
+    probes = spread.select("fp", F.explode(_ball(F.col("fp"), segments)).alias("entry"))
     met = probes.groupBy("entry").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z")
     found = met.select("a", F.explode(_ball(F.col("entry"), segments)).alias("fp"))
     verified = F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= 2
@@ -209,7 +210,8 @@ def _entries(classes: DataFrame, bits: int, tables: int) -> DataFrame:
                 every = np.repeat(np.arange(len(raw)), tables * (bits + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(entry.ravel()), fs.take(pa.array(every))], names=["entry", "f"])
 
-    return classes.select("f").mapInArrow(run, "entry bigint, f binary")
+    spread = classes.select("f").repartition(shuffle_partitions(classes.sparkSession))  # each row becomes hundreds
+    return spread.mapInArrow(run, "entry bigint, f binary")
 
 
 def _closest(entries: DataFrame) -> DataFrame:

@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a few numbers that one checkpoint file holds at least, where their count is known.
+ROWS_PER_FILE = 100_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
@@ -37,16 +41,18 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, narrow: bool = True) -> DataFrame:
+def cut(df: DataFrame, narrow: bool = True, rows: int | None = None) -> DataFrame:
     """Cut the lineage: the rows are stored in the shared folder and survive lost executors.
 
-    ``narrow`` writes two files per core at most, for tables of a few numbers per row; without it there
-    is a file for each partition, as suits rows that cost much to make.
+    ``narrow`` writes two files per core at most, for tables of a few numbers per row, and no more than one for each
+    ROWS_PER_FILE if ``rows`` says about how many there are; without it there is a file for each partition, as suits rows that cost
+    much to make.
     """
     spark = df.sparkSession
     shared_dir(spark)
     if narrow:
-        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
+        files = 2 * spark.sparkContext.defaultParallelism
+        df = df.coalesce(files if rows is None else max(1, min(files, -(-rows // ROWS_PER_FILE))))
     return df.checkpoint(eager=True)
 
 
@@ -100,7 +106,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if not state[0]:
             break
-        e = cut(_small_star(_large_star(e)))
+        e = cut(_small_star(_large_star(e)), rows=state[0])
         new = _fingerprint(e)
         if new == state:
             break

@@ -88,12 +88,13 @@ def _key(epoch: Column | int) -> list[Column]:
 def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> MixPlan:
     """Virtual finish times of all copies, sorted over the whole table and cut at the total of all sizes."""
     rows = cut(_rows(docs, [], id_col, text, source), narrow=False)
+    n = rows.count()
     per_run = rows.groupBy("__source", "__run").agg(F.sum("__size").alias("__words"))
-    per_run = cut(per_run)
+    per_run = cut(per_run, rows=n // 8)
     sized = targets(per_run.groupBy("__source").agg(F.sum("__words").alias("__source_size")))
     before = Window.partitionBy("__source").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_run.withColumn("__before", F.coalesce(F.sum("__words").over(before), F.lit(0)))
-    runs = cut(_joined(offsets, sized, "__source").drop("__words"))
+    runs = cut(_joined(offsets, sized, "__source").drop("__words"), rows=n // 8)
     budget = per_run.agg(F.sum("__words")).first()[0] or 0
     copies = (
         _queued(rows, runs)
@@ -106,9 +107,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: st
     f, s, p, i = _key(F.col("__epoch"))
     keys = copies.select(f.alias("f"), s.alias("s"), p.alias("p"), i.alias("i"), F.col("__size").alias("n"))
     order = ["f", F.col("s").asc_nulls_first(), "p", F.col("i").asc_nulls_first()]
-    sorted_runs = cut(
-        cut(keys).repartitionByRange(shuffle_partitions(docs.sparkSession), *order).withColumn("part", F.spark_partition_id())
-    )
+    keys = cut(keys, rows=n)
+    ranges = keys.repartitionByRange(shuffle_partitions(docs.sparkSession), *order)
+    sorted_runs = cut(ranges.withColumn("part", F.spark_partition_id()), rows=n)
     part, held = None, 0
     for r in sorted(sorted_runs.groupBy("part").agg(F.sum("n").alias("n")).collect()):  # one row per task
         if held + r.n > budget:

@@ -41,7 +41,7 @@ def contract(spark: SparkSession, paths: Sequence[str], as_json: bool = False) -
         grains = profile.grain(columns)
         day = names.file_date(t.name)
         notes = t.notes + ([f"文件名日期：{day}"] if day else [])
-        parts.append(sinks.to_json({"table": t.name, "columns": columns, "grain": grains}) if as_json else report.contract_report(t.name, columns, grains, notes))
+        parts.append(sinks.to_json({"table": t.name, "columns": columns, "grain": grains}) if as_json else report.contract_report(t.name, columns, grains, notes, profile.answers(columns, grains)))
     return "\n\n".join(parts), failed
 
 

@@ -188,3 +188,13 @@ def grain(columns: list[dict]) -> list[dict]:
         stores = [c["column"] for c in columns if names.STORE.search(c["column"])]
         found.append({"grain": "一行一天一门店" if stores else "一行一天", "column": days[0]["column"], "confidence": "高" if days[0]["unique"] else "中", "duplicates": days[0]["n_rows"] - days[0]["distinct"]})
     return sorted(found, key=lambda g: "高中低".index(g["confidence"]))
+
+
+def answers(columns: list[dict], grains: list[dict]) -> dict[str, list[str]]:
+    """What the table can answer and what it can't, three of each at most, by the kinds of its columns."""
+    has = {c["kind"] for c in columns}
+    can, cannot = [], []
+    (can if {"金额", "时间"} <= has else cannot).append("金额随时间的变化")
+    (can if "ID" in has else cannot).append("按对象去重计数")
+    (can if any(g["grain"] == "一行一张券" for g in grains) else cannot).append("核销率与核销时间")
+    return {"can": can[:3], "cannot": cannot[:3]}

@@ -36,6 +36,12 @@ def pooled_roi(df: DataFrame, spend: Column, gmv: Column, roi: Column, by: list[
     return pooled_ratio(df, F.coalesce(gmv, spend * roi).cast(SUM), spend, by)
 
 
+def attribution_roi(df: DataFrame, gmv: Column, spend: Column, model: str = "", window: str = "") -> DataFrame:
+    """What a platform attributes to spend, with the model and window that it depends on: no gain that spend caused."""
+    out = pooled_ratio(df, gmv, spend)
+    return out.withColumn("scope", F.lit(f"平台归因，模型：{model or '未说明'}，窗口：{window or '未说明'}；不等于新增"))
+
+
 def standardised_ratio(groups: DataFrame, weight: Column, numerator: Column, denominator: Column) -> DataFrame:
     """Sum of weight times ratio over groups. Weights must sum to 1; with a group that has no denominator the whole isn't
     computable, and the sum over the others stands beside it as ``partial``."""

@@ -29,7 +29,7 @@ def exit_code(verdict: str) -> int:
     return 2 if verdict == FAIL else 0
 
 
-def contract_report(name: str, columns: list[dict], grains: list[dict], notes: Sequence[str] = ()) -> str:
+def contract_report(name: str, columns: list[dict], grains: list[dict], notes: Sequence[str] = (), answers: dict | None = None) -> str:
     """What a table holds: columns with their kinds and counts, and what a row may stand for."""
     rows = [[c["column"], c["kind"], c["n_rows"], c["blank"], c["marked"], c["distinct"], "是" if c["unique"] else ""] for c in columns]
     parts = [f"# 数据契约：{name}", md_table(("列", "类型", "行数", "空", "缺失符号", "唯一值", "唯一"), rows)]
@@ -38,6 +38,9 @@ def contract_report(name: str, columns: list[dict], grains: list[dict], notes: S
         if some:
             parts += [f"## {kind}列", md_table(("列", *keys), [[c["column"], *(c.get(k) for k in keys)] for c in some])]
     parts += ["## 粒度（需人工确认）", *(f"- {g['grain']}：{g['column']}，把握 {g['confidence']}，重复 {g['duplicates']} 行" for g in grains)]
+    for title, key in (("可以回答", "can"), ("不能回答", "cannot")):
+        if answers and answers[key]:
+            parts += [f"## {title}", "\n".join(f"- {x}" for x in answers[key])]
     return "\n\n".join([*parts, *(f"> {n}" for n in notes)])
 
 

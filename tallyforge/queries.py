@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import cells
-from tallyforge.operators import cohort, distribution, profile, ratios, reconcile
+from tallyforge.operators import cohort, columns, distribution, profile, ratios, reconcile
 from tallyforge.plans import guards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -298,6 +298,34 @@ def partial_last_day(spark, sf_dir):
     )
 
 
+@query("""WITH c AS (SELECT CASE WHEN o_orderkey % 9 = 0 THEN 1 ELSE 0 END AS m, CASE WHEN o_orderkey % 9 = 6 THEN 1 ELSE 0 END AS b FROM orders)
+    SELECT 'amount' AS "column", count(*) AS n_rows, CAST(sum(m) AS BIGINT) AS missing, CAST(sum(b) AS BIGINT) AS bad, CAST(count(*) - sum(m) - sum(b) AS BIGINT) AS parsed,
+    round(CAST(count(*) - sum(m) - sum(b) AS DOUBLE) / (count(*) - sum(m)), 6) AS numeric_share, false AS looks_like_date, false AS looks_like_id FROM c
+    UNION ALL SELECT 'day', count(*), 0, 0, count(*), 1.0, true, false FROM orders
+    UNION ALL SELECT 'code', count(*), 0, 0, count(*), 1.0, false, true FROM orders
+    UNION ALL SELECT 'status', count(*), 0, count(*), 0, 0.0, false, false FROM orders""")
+def column_stats(spark, sf_dir):
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 300).cast("int")), "yyyyMMdd")
+    rows = table(spark, sf_dir, "orders").select(
+        _dirty_money().alias("amount"), day.alias("day"), (F.col("o_orderkey") + 7000000000000).cast("string").alias("code"), F.col("o_orderstatus").alias("status")
+    )
+    out = columns.column_stats(rows, rows.columns)
+    return nums(out.select("column", "n_rows", "missing", "bad", "parsed", "numeric_share", "looks_like_date", "looks_like_id"), ["numeric_share"])
+
+
+@query("""SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS numerator, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS denominator,
+    round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE), 4) AS ratio,
+    '平台归因，模型：末次点击，窗口：7天；不等于新增' AS scope FROM lineitem""")
+def attribution_roi(spark, sf_dir):
+    out = ratios.attribution_roi(table(spark, sf_dir, "lineitem"), dec("l_extendedprice"), dec("l_quantity"), "末次点击", "7天")
+    return out.select(num("numerator").alias("numerator"), num("denominator").alias("denominator"), num("ratio", 4).alias("ratio"), "scope")
+
+
+@query("""SELECT '订单数' AS label, count(DISTINCT l_orderkey) AS n_keys, count(*) AS n_rows FROM lineitem""")
+def key_report(spark, sf_dir):
+    return columns.key_report(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("订单ID")), "订单ID")
+
+
 # --- joins -------------------------------------------------------------------------------------------------------------
 
 

@@ -20,10 +20,11 @@ ID_DIGITS, ID_VALUES = 10, 3
 def column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A row per column, from one pass: cells, missing, bad and parsed ones, the parsed share of what is there, and what speaks
     for dates (8 digits from 2020 to 2030) or ids (long, mostly unique digits)."""
-    sums = []
+    parsed, sums = [], []
     for i, name in enumerate(columns):
         c = F.col(f"`{name}`")
-        number, text = strict_number(c), bare(F.coalesce(c.cast("string"), F.lit("")))
+        parsed += [strict_number(c).alias(f"x{i}"), bare(F.coalesce(c.cast("string"), F.lit(""))).alias(f"s{i}")]
+        number, text = F.col(f"x{i}"), F.col(f"s{i}")
         there = text != ""
         sums += [
             F.count_if(number["is_missing"]).alias(f"missing{i}"),
@@ -34,7 +35,7 @@ def column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             F.count_if(text.rlike(rf"^\d{{{ID_DIGITS},}}$")).alias(f"digits{i}"),
             F.count_distinct(F.when(there, text)).alias(f"distinct{i}"),
         ]
-    wide = df.agg(F.count("*").alias("n_rows"), *sums)
+    wide = df.select(*parsed).agg(F.count("*").alias("n_rows"), *sums)
     kinds = ("missing", "bad", "parsed", "there", "dates", "digits", "distinct")
     row = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), *(F.col(f"{k}{i}").alias(k) for k in kinds)) for i, c in enumerate(columns))))
     tall = wide.select("n_rows", row.alias("x")).select("x.column", "n_rows", *(f"x.{k}" for k in kinds))

@@ -150,24 +150,27 @@ def profile(df: DataFrame, order: list[str] = ()) -> list[dict]:
     """Every column's counts and kind, from one wide aggregate and one pass over the first rows."""
     guessed = looks_like_time(df, [c for c in df.columns if names.kind(c) in ("数量", "文本")], order)
     kinds = {c: names.kind(c, guessed.get(c, False)) for c in df.columns}
-    sums = [F.count("*").alias("n_rows")]
+    parsed, sums = [], [F.count("*").alias("n_rows")]
     for i, name in enumerate(df.columns):
-        c = F.col(f"`{name}`").cast("string")
+        text = F.col(f"`{name}`").cast("string")
+        parsed.append(text.alias(f"c{i}"))
+        c = F.col(f"c{i}")
         sums += [
             F.count_if(is_blank(c)).alias(f"blank{i}"),
             F.count_if(~is_blank(c) & is_missing(c, "contract")).alias(f"marked{i}"),
             F.count_distinct(F.coalesce(c, F.lit(""))).alias(f"distinct{i}"),
         ]
+        v = F.col(f"v{i}")  # parsed once, used by several sums
         if kinds[name] in ("金额", "数量"):
-            v = parse_number(c)
+            parsed.append(parse_number(text).alias(f"v{i}"))
             sums += [F.sum(v).cast(MONEY).alias(f"total{i}"), F.count(v).alias(f"numeric{i}"), F.count_if(v < 0).alias(f"negative{i}"), F.count_if(v == 0).alias(f"zero{i}")]
         if kinds[name] == "时间":
-            t = parse_time_format(c)["value"]
-            sums += [F.count(t).alias(f"parsed{i}"), F.min(t).alias(f"first{i}"), F.max(t).alias(f"last{i}")]
+            parsed.append(parse_time_format(text)["value"].alias(f"v{i}"))
+            sums += [F.count(v).alias(f"parsed{i}"), F.min(v).alias(f"first{i}"), F.max(v).alias(f"last{i}")]
         if kinds[name] == "ID":
-            text = half_width(F.trim(c))
-            sums += [F.count_if(text.rlike(SCIENTIFIC)).alias(f"scientific{i}"), F.count_if(text.rlike("^0[0-9]+$")).alias(f"leading_zero{i}")]
-    r = df.agg(*sums).first().asDict()
+            parsed.append(half_width(F.trim(text)).alias(f"v{i}"))
+            sums += [F.count_if(v.rlike(SCIENTIFIC)).alias(f"scientific{i}"), F.count_if(v.rlike("^0[0-9]+$")).alias(f"leading_zero{i}")]
+    r = df.select(*parsed).agg(*sums).first().asDict()
     out = []
     for i, name in enumerate(df.columns):
         own = {k.removesuffix(str(i)): v for k, v in r.items() if k.endswith(str(i)) and k.removesuffix(str(i)).isidentifier() and not k.removesuffix(str(i))[-1].isdigit()}

@@ -18,5 +18,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op5_toxicity": toxicity.op5_toxicity,
+    "op4_topk": topk.ORACLE,
     "op6_licenses": licenses.oracle(),
+    "op8_vectors": vectors.ORACLE,
 }

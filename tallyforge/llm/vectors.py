@@ -22,13 +22,14 @@ TILE = 1024
 PACK = 4096
 
 
-def _unit(blobs: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1)
+def _unit(blobs: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors in double precision, of packed numbers of type ``kind``."""
+    x = np.frombuffer(b"".join(blobs), kind).astype(np.float64).reshape(len(blobs), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _rows(vectors: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
-    """Rows (id, label, dim, digest, v): digest and v are null for a row that links with nothing."""
+def _rows(vectors: DataFrame, id_col: str, vector: str, label: str, kind: str) -> DataFrame:
+    """Rows (id, label, digest, v): v packs the vector as it came; digest and v are null for a row that links with nothing."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         digests, blobs = [], []
@@ -38,8 +39,8 @@ def _rows(vectors: DataFrame, id_col: str, vector: str, label: str) -> DataFrame
                 v = np.array(x, np.float64)
                 norm = np.linalg.norm(v)
                 v = v if np.isfinite(norm) and norm > 0 else None
-            digests.append(None if v is None else hashlib.sha256(f"{k}|{len(v)}|".encode() + v.tobytes()).digest()[:16])
-            blobs.append(None if v is None else v.tobytes())
+            blobs.append(None if v is None else v.astype(kind).tobytes())
+            digests.append(None if v is None else hashlib.sha256(f"{k}|{len(v)}|".encode() + blobs[-1]).digest()[:16])
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(blobs, pa.binary())],
             names=["id", "label", "digest", "v"],
@@ -51,19 +52,19 @@ def _rows(vectors: DataFrame, id_col: str, vector: str, label: str) -> DataFrame
     return map_batches(narrow, run, "id bigint, label string, digest binary, v binary")
 
 
-def _signatures(classes: DataFrame, passes: int, seed: int) -> DataFrame:
+def _signatures(classes: DataFrame, passes: int, seed: int, kind: str) -> DataFrame:
     """A row for each class and pass: its sign hashes in that pass, concatenated to one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
             blobs = batch.column(2).to_pylist()
-            dims = np.array([len(b) // 8 for b in blobs], np.int64)
+            dims = np.array([len(b) // np.dtype(kind).itemsize for b in blobs], np.int64)
             for d in np.unique(dims):
                 mine = np.nonzero(dims == d)[0]
                 if d not in planes:
                     planes[d] = np.random.default_rng((seed, int(d))).standard_normal((int(d), passes * HASHES))
-                signs = (_unit([blobs[i] for i in mine]) @ planes[d] > 0).reshape(len(mine), passes, HASHES)
+                signs = (_unit([blobs[i] for i in mine], kind) @ planes[d] > 0).reshape(len(mine), passes, HASHES)
                 sig = signs.astype(np.int64) @ (1 << np.arange(HASHES - 1, -1, -1, dtype=np.int64))
                 part = batch.take(pa.array(mine))
                 for p in range(passes):
@@ -102,7 +103,7 @@ def _local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _window_edges(table: pa.Table, cosine: float, window: int) -> pa.Table:
+def _window_edges(table: pa.Table, cosine: float, window: int, kind: str) -> pa.Table:
     """Edges that connect what links verified within the windows of one block; its rows are in sorted order."""
     table = table.sort_by("rank")
     key = np.array(table["pass"].to_pylist()), np.array(table["label"].to_pylist(), object)
@@ -112,7 +113,7 @@ def _window_edges(table: pa.Table, cosine: float, window: int) -> pa.Table:
     a, b = [], []
     for d in np.unique(dims):
         at = np.nonzero(dims == d)[0]
-        x = _unit([blobs[i] for i in at])
+        x = _unit([blobs[i] for i in at], kind)
         for step in range(1, min(window, len(at) - 1) + 1):
             near = np.einsum("ij,ij->i", x[:-step], x[step:]) >= cosine
             i, j = at[:-step][near], at[step:][near]
@@ -125,10 +126,10 @@ def _window_edges(table: pa.Table, cosine: float, window: int) -> pa.Table:
     return pa.table({"a": pa.array(cid[root[moved]], pa.int64()), "b": pa.array(cid[moved], pa.int64())})
 
 
-def _passes(classes: DataFrame, cosine: float, passes: int, window: int, seed: int) -> DataFrame:
+def _passes(classes: DataFrame, cosine: float, passes: int, window: int, seed: int, kind: str) -> DataFrame:
     """Edges from all passes. Each is sorted over the whole table and dealt in blocks of equal length."""
     n = shuffle_partitions(classes.sparkSession)
-    placed = cut(_signatures(classes, passes, seed), narrow=False).repartitionByRange(n, "pass", "label", "sig", "cid")
+    placed = _signatures(classes, passes, seed, kind).repartitionByRange(n, "pass", "label", "sig", "cid")
     placed = _numbered(placed.sortWithinPartitions("pass", "label", "sig", "cid")).withColumn("part", F.spark_partition_id())
     placed = cut(placed)
     counts = dict(placed.groupBy("part").count().collect())  # one number per task
@@ -144,11 +145,11 @@ def _passes(classes: DataFrame, cosine: float, passes: int, window: int, seed: i
     # a row also follows the block before its own if that block's last rows reach it
     own = F.when((F.col("rank") % BLOCK < window) & (F.col("rank") >= BLOCK), F.array(block, block - 1)).otherwise(F.array(block))
     dealt = ranked.withColumn("block", F.explode(own)).select("block", "pass", "label", "cid", "v", "rank")
-    edges = dealt.groupBy("block").applyInArrow(lambda t: _window_edges(t, cosine, window), "a bigint, b bigint")
+    edges = dealt.groupBy("block").applyInArrow(lambda t: _window_edges(t, cosine, window, kind), "a bigint, b bigint")
     return edges.distinct()
 
 
-def _counted(table: pa.Table, cosine: float) -> pa.Table:
+def _counted(table: pa.Table, cosine: float, kind: str) -> pa.Table:
     """For each member of a group of components its links to members of its own, copies counted."""
     comp = table["component"].to_numpy()
     cid, n = table["cid"].to_numpy(), table["n"].to_numpy()
@@ -159,7 +160,7 @@ def _counted(table: pa.Table, cosine: float) -> pa.Table:
     for at in np.split(order, np.nonzero(np.diff(comp[order]))[0] + 1):
         if len({len(blobs[i]) for i in at}) > 1:  # of other dimensions: never linked, so never here
             raise ValueError("a component mixes dimensions")
-        x = _unit([blobs[i] for i in at])
+        x = _unit([blobs[i] for i in at], kind)
         first = side[at] == left[at]
         if left[at[0]] == right[at[0]]:
             links = (x @ x.T >= cosine) * n[at][None, :]
@@ -175,7 +176,7 @@ def _counted(table: pa.Table, cosine: float) -> pa.Table:
     return pa.table({"cid": pa.array(np.concatenate(out_id), pa.int64()), "links": pa.array(np.concatenate(out_n), pa.int64())})
 
 
-def _links(members: DataFrame, cosine: float) -> DataFrame:
+def _links(members: DataFrame, cosine: float, kind: str) -> DataFrame:
     """(cid, links) within each component, all its pairs compared in tiles; only counts leave a tile.
 
     A component of more than TILE members is dealt in hashed tiles, each pair of tiles being one
@@ -195,7 +196,7 @@ def _links(members: DataFrame, cosine: float) -> DataFrame:
         }
     )
     found = rows.select("pack", "t1", "t2", "component", "cid", "n", "v", "tile").groupBy("pack", "t1", "t2").applyInArrow(
-        lambda t: _counted(t, cosine), "cid bigint, links bigint"
+        lambda t: _counted(t, cosine, kind), "cid bigint, links bigint"
     )
     return found.groupBy("cid").agg(F.sum("links").alias("links"))
 
@@ -221,15 +222,16 @@ def near_duplicates(
     link with nothing: n_links 0, their own id as component. Repeated rows are copies of each other. An
     empty table gives an empty one. Vectors of different lengths don't link.
     """
-    rows = cut(_rows(vectors, id_col, vector, label), narrow=False)
+    kind = "<f4" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
+    rows = cut(_rows(vectors, id_col, vector, label, kind), narrow=False)
     grouped = rows.where("digest is not null").groupBy("digest").agg(
         F.min("id").alias("least"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")
     )
     classes = cut(grouped.withColumn("cid", F.monotonically_increasing_id()))
-    nodes = connected_components(_passes(classes, cosine, passes, window, seed))
+    nodes = connected_components(_passes(classes, cosine, passes, window, seed, kind))
     members = cut(classes.join(nodes.withColumnRenamed("node", "cid"), "cid"))
     roots = members.groupBy("component").agg(F.min("least").alias("root"))
-    linked = members.select("cid", "component").join(roots, "component").join(_links(members, cosine), "cid", "left")
+    linked = members.select("cid", "component").join(roots, "component").join(_links(members, cosine, kind), "cid", "left")
     by_class = (
         classes.select("cid", "digest", "least", "n")
         .join(linked, "cid", "left")

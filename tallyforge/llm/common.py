@@ -76,6 +76,7 @@ def map_batches(
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None and out.num_rows:
                 yield out
+        release_memory()
 
     return df.mapInArrow(run, schema)
 

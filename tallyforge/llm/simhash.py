@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tallyforge.llm.common import connected_components, cut, map_batches, shuffle_partitions
+from tallyforge.llm.common import connected_components, cut, map_batches, release_memory, shuffle_partitions
 
 BITS = 64
 #: Shingles whose bits are counted at once: bounds the memory for one very long text.
@@ -137,6 +137,8 @@ SKETCH = 128
 NEIGHBOURS = 16
 #: Differing bits of 256 up to which two fingerprints are candidates: similarity 0.8 has 39 on average, 6 being one deviation.
 NEAR_BITS = 58
+#: The same for one word of 64: similarity 0.8 has 10 on average, 3 being one deviation.
+NEAR_WORD_BITS = 19
 
 
 def wide_fingerprint(unique: np.ndarray) -> np.ndarray:
@@ -193,63 +195,70 @@ def table_shape(n: int) -> tuple[int, int]:
 
 
 def _entries(classes: DataFrame, bits: int, tables: int) -> DataFrame:
-    """For each fingerprint and table the ball of radius 1 around its segment, as rows (entry, f).
+    """For each fingerprint and table the ball of radius 1 around its segment, as rows (entry, word, cid).
 
-    Two fingerprints share an entry if their segments differ in at most 2 bits.
+    Two fingerprints share an entry if their segments differ in at most 2 bits. ``word`` is the last 64 bits, which
+    judge neighbours before whole distances do.
     """
     flips = np.concatenate([[0], 1 << np.arange(bits, dtype=np.int64)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                fs = batch.column(0).slice(a, 2048)
-                raw = np.frombuffer(b"".join(fs.to_pylist()), np.uint8).reshape(-1, 8 * WORDS)
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WORDS)
                 wide = np.unpackbits(raw, axis=1, bitorder="little")[:, : bits * tables].reshape(-1, tables, bits)
                 segment = wide.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
                 entry = (segment[:, :, None] ^ flips) + (np.arange(tables, dtype=np.int64) << 32)[None, :, None]
-                every = np.repeat(np.arange(len(raw)), tables * (bits + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(entry.ravel()), fs.take(pa.array(every))], names=["entry", "f"])
+                each = tables * (bits + 1)
+                word = np.repeat(raw.view("<i8")[:, -1], each)
+                cid = np.repeat(part.column(0).to_numpy(), each)
+                yield pa.RecordBatch.from_arrays([pa.array(entry.ravel()), pa.array(word), pa.array(cid)], names=["entry", "word", "cid"])
+            release_memory()
 
-    spread = classes.select("f").repartition(shuffle_partitions(classes.sparkSession))  # each row becomes hundreds
-    return spread.mapInArrow(run, "entry bigint, f binary")
+    spread = classes.select("cid", "f").repartition(shuffle_partitions(classes.sparkSession))  # each row becomes hundreds
+    return spread.mapInArrow(run, "entry bigint, word bigint, cid bigint")
 
 
 def _closest(entries: DataFrame) -> DataFrame:
-    """Pairs (a, b): each fingerprint with the closest of its next neighbours in an entry, if near enough.
+    """Pairs (a, b): each fingerprint with the closest of its next neighbours in an entry, if its last word is near enough.
 
     A pair for each row at most, whatever the size of a group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, raws = np.empty(0, np.int64), np.empty((0, WORDS), "<u8")
+        rows = np.empty((0, 3), np.int64)
         for batch in batches:
-            got = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, WORDS)
-            keys, raws = np.concatenate([keys, batch.column(0).to_numpy()]), np.concatenate([raws, got])
-            best, other = np.full(len(keys), BITS * WORDS), np.zeros(len(keys), np.int64)
-            for step in range(1, min(NEIGHBOURS, len(keys) - 1) + 1):
-                same = np.nonzero(keys[step:] == keys[:-step])[0]
-                apart = np.bitwise_count(raws[same] ^ raws[same + step]).sum(axis=1, dtype=np.int64)
+            rows = np.concatenate([rows, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
+            key, word, cid = rows.T
+            word = word.view(np.uint64) if word.flags.contiguous else np.ascontiguousarray(word).view(np.uint64)
+            best, other = np.full(len(key), BITS), np.zeros(len(key), np.int64)
+            for step in range(1, min(NEIGHBOURS, len(key) - 1) + 1):
+                same = np.nonzero(key[step:] == key[:-step])[0]
+                apart = np.bitwise_count(word[same] ^ word[same + step]).astype(np.int64)
                 nearer = apart < best[same]
                 best[same[nearer]], other[same[nearer]] = apart[nearer], same[nearer] + step
-            hit = np.nonzero(best <= NEAR_BITS)[0]
-            pairs = {(raws[i].tobytes(), raws[j].tobytes()) for i, j in zip(hit.tolist(), other[hit].tolist())}
-            if pairs:
-                a, b = zip(*(sorted(p) for p in pairs))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-            keys, raws = keys[-NEIGHBOURS:], raws[-NEIGHBOURS:]  # neighbours that the next batch may hold
+            hit = np.nonzero(best <= NEAR_WORD_BITS)[0]
+            a, b = cid[hit], cid[other[hit]]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            rows = rows[-NEIGHBOURS:].copy()  # neighbours that the next batch may hold
 
-    return entries.mapInArrow(run, "a binary, b binary")
+    return entries.mapInArrow(run, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Of ``pairs`` those whose shingle sets are similar enough, as edges between class numbers."""
-    left = classes.select(F.col("f").alias("a"), F.col("cid").alias("u"), F.col("sketch").alias("s"))
-    right = classes.select(F.col("f").alias("b"), F.col("cid").alias("v"), F.col("sketch").alias("t"))
-    both = pairs.distinct().join(left, "a").join(right, "b").select("u", "v", "s", "t")
+    """Of ``pairs`` those whose whole distance is near and whose shingle sets are similar enough, as edges (u, v)."""
+    left = classes.select(F.col("cid").alias("u"), F.col("f").alias("f"), F.col("sketch").alias("s"))
+    right = classes.select(F.col("cid").alias("v"), F.col("f").alias("g"), F.col("sketch").alias("t"))
+    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct().join(left, "u").join(right, "v").select("u", "v", "f", "g", "s", "t")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        s, t = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        ok = [similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= least for x, y in zip(s, t)]
+        f, g = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, WORDS) for c in (2, 3))
+        near = np.bitwise_count(f ^ g).sum(axis=1, dtype=np.int64) <= NEAR_BITS
+        s, t = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+        ok = [bool(n) and similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= least for n, x, y in zip(near, s, t)]
         return batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return map_batches(both, run, "u bigint, v bigint")
@@ -273,7 +282,7 @@ def distinct_documents(docs: DataFrame, width: int = 5, least: float = 0.8, id_c
     )
     bits, tables = table_shape(classes.count())
     n = shuffle_partitions(docs.sparkSession)
-    entries = _entries(classes, bits, tables).repartition(n, "entry").sortWithinPartitions("entry", "f")
+    entries = _entries(classes, bits, tables).repartition(n, "entry").sortWithinPartitions("entry", "word", "cid")
     edges = _verified(_closest(entries), classes, least)
     nodes = connected_components(edges, "u", "v").withColumnRenamed("node", "cid")
     grouped = classes.select("cid", "first").join(nodes, "cid", "left").select(F.coalesce("component", "cid").alias("component"), "first")

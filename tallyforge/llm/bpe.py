@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tallyforge.llm.common import release_memory, slices
+from tallyforge.llm.common import release_memory, slices, small_batches
 from tallyforge.llm.pieces import Strings, no_collection
 from tallyforge.llm.pretokens import split
 
@@ -23,9 +23,9 @@ MAPS = 4096
 #: Words of more bytes merge all pairs of the lowest rank at each step, not the first one only; the cuts of others fit 7 bits.
 LONG = 96
 #: Characters of consecutive documents whose distinct words are numbered together.
-BLOCK_CHARS = 3 << 20
+BLOCK_CHARS = 4 << 20
 #: Text of the drawn documents whose words are folded beforehand.
-COMMON_BYTES = 192 << 20
+COMMON_BYTES = 96 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -263,7 +263,7 @@ def encode(
     then spelt by word numbers. Nothing is shuffled but the words of the drawn part.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    narrow = docs.select(F.col(id_col).alias("__id"), F.col(text).cast("string").alias("__text"))
+    narrow = small_batches(docs.select(F.col(id_col).alias("__id"), F.col(text).cast("string").alias("__text")))
     table = RankMap(ranks)
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a few numbers that one checkpoint file holds at least, where their count is known.
 ROWS_PER_FILE = 100_000
+#: Bytes of rows that Python gets at a time.
+ARROW_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,6 +69,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session set to hand Python no more than ARROW_BYTES at a time (one longer row goes alone).
+
+    Each task holds a batch twice outside the heap and once in Python, which for whole texts is what fills an executor.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
 ) -> DataFrame:
@@ -78,7 +89,7 @@ def map_batches(
                 yield out
         release_memory()
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tallyforge.llm.common import release_memory, slices
+from tallyforge.llm.common import release_memory, slices, small_batches
 from tallyforge.llm.pieces import no_collection, number_words
 from tallyforge.llm.toxicity import labelled_sample, not_held_out, words_of
 
@@ -200,7 +200,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "t
             release_memory()
 
     narrow = docs.select(F.col(id_col), F.col(text).cast("string").alias("__text"), F.col(n_chars).cast("long").alias("__n"))
-    return narrow.mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return small_batches(narrow).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

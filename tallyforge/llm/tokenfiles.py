@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import map_batches, release_memory, scratch_path, slices
+from tallyforge.llm.common import map_batches, release_memory, scratch_path, slices, small_batches
 from tallyforge.llm.pieces import WordMemo
 from tallyforge.llm.pretokens import split
 
@@ -135,7 +135,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     Null texts count as empty, null ids come first, rows that share an id follow each other by the hash of
     their text. An empty table writes an empty file set.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("h", F.xxhash64("text"))
     bounds = _bounds(docs)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tallyforge.llm.common import release_memory, slices
+from tallyforge.llm.common import release_memory, slices, small_batches
 from tallyforge.llm.pieces import no_collection, number_words
 
 #: Labelled documents of each class that are learned from, and the text they may hold in all.
@@ -399,7 +399,7 @@ def with_scores(docs: DataFrame, model, to: str = "score", id_only: str | None =
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{to}` double"])
     names = [F.col(f"`{f.name}`") for f in kept]
-    return docs.select(*names, F.col(text).cast("string").alias("__text")).mapInArrow(run, ddl)
+    return small_batches(docs).select(*names, F.col(text).cast("string").alias("__text")).mapInArrow(run, ddl)
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
@@ -417,7 +417,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text: s
             release_memory()
             yield batch.filter(pa.array(np.concatenate(clean))) if clean else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
-"""SimHash fingerprints of word shingles, and near-duplicate groups by multi-index hashing."""
+"""SimHash fingerprints of word shingles, near-duplicate groups by multi-index hashing, and groups of similar shingle sets."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import repeat
-from math import ceil, comb, log
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tallyforge.llm.common import connected_components, cut, map_batches, release_memory, shuffle_partitions
+from tallyforge.llm.common import connected_components, cut, map_batches, release_memory, shuffle_partitions, slices, small_batches
 
 BITS = 64
 #: Shingles whose bits are counted at once: bounds the memory for one very long text.
@@ -126,165 +127,348 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fingerprint_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-# --- groups of similar documents: wide fingerprints, tables of segment balls, similarity of shingle sets -------------
+# --- groups of similar documents: signatures of parts of shingle sets, every pair that shares one, whole sets ---------
 
-#: 64-bit words of a wide fingerprint, and odd multipliers that derive each word's bits from a shingle's hash.
+#: 64-bit words of the parity bits of a set.
 WORDS = 4
-MULTIPLIERS = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-#: Smallest shingle hashes that a sketch holds: the whole set of a shorter text.
-SKETCH = 128
-#: Neighbours within a table entry that a fingerprint is compared with.
-NEIGHBOURS = 16
-#: Differing bits of 256 up to which two fingerprints are candidates: similarity 0.8 has 39 on average, 6 being one deviation.
-NEAR_BITS = 58
-#: The same for one word of 64: similarity 0.8 has 10 on average, 3 being one deviation.
-NEAR_WORD_BITS = 19
-
-
-def wide_fingerprint(unique: np.ndarray) -> np.ndarray:
-    """256 bits over distinct shingle hashes, as 4 unsigned words."""
-    n = len(unique)
-    ones = np.zeros(WORDS * BITS, np.int64)
-    for at in range(0, n, CHUNK // WORDS):
-        h = unique[at : at + CHUNK // WORDS, None] * MULTIPLIERS[None, :]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8 * WORDS), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int32 if n < 1 << 30 else np.int64)
-    return np.packbits(ones * 2 > n, bitorder="little").view("<u8").copy()
-
-
-def _sketched(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (row, id, f, sketch) of docs (row, id, text): f is the wide fingerprint as 32 bytes."""
+#: Members of one entry that meet in one tile.
+TILE = 1024
+#: Small entries are compared together, in groups of about so many rows.
+PACK = 16384
+#: Shingles whose parts are summed at once.
+PARTS_AT_ONCE = 1 << 20
+#: Bits of the map that says which sets are compared.
+MARKS = 1 << 22
+
+
+def mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """The finaliser of SplitMix64 over ``h`` and a seed."""
+    h = h + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def parity(unique: np.ndarray) -> np.ndarray:
+    """64 * WORDS bits, each the parity of the shingles that fall on it, as unsigned words.
+
+    The bits of two sets differ in no more places than the sets differ in members.
+    """
+    at = mixed(unique, 1) % np.uint64(64 * WORDS)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * WORDS) & 1, bitorder="little").view("<u8").copy()
+
+
+def most_apart(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Members in which sets of ``a`` and ``b`` members may differ at most, at a Jaccard similarity of ``least`` or more."""
+    return np.floor((a + b) * (1 - least) / (1 + least) + 1e-9).astype(np.int64)
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct shingles of a text as sorted 32-bit hashes."""
+    return np.unique((shingle_hashes(text, width) >> np.uint64(32)).astype("<u4"))
+
+
+def set_id(shingles: np.ndarray) -> int:
+    """A signed 64-bit number that stands for a set."""
+    return int.from_bytes(blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """Rows (row, id, cid, n, bits) of docs (row, id, text): the number of each text's set, its size and parity bits."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps, sketches = [], []
-        for x in batch.column(2):
-            unique = np.unique(shingle_hashes(x.as_py(), width))
-            fps.append(wide_fingerprint(unique).tobytes())
-            sketches.append((unique[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
+        sets = [shingle_set(x.as_py(), width) for x in batch.column(2)]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sketches, pa.binary())],
-            names=["row", "id", "f", "sketch"],
+            [
+                batch.column(0),
+                batch.column(1),
+                pa.array([set_id(s) for s in sets], pa.int64()),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([parity(s.astype(np.uint64)).tobytes() for s in sets], pa.binary()),
+            ],
+            names=["row", "id", "cid", "n", "bits"],
         )
 
-    return map_batches(docs, run, "row bigint, id bigint, f binary, sketch binary")
+    return map_batches(docs, run, "row bigint, id bigint, cid bigint, n bigint, bits binary")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """The Jaccard similarity of two sets by their smallest hashes; exact if the sets are no larger than a sketch."""
+    """The Jaccard similarity of two sets, given as sorted distinct hashes."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    if len(a) < SKETCH and len(b) < SKETCH:
-        both = len(np.intersect1d(a, b))
-        return both / (len(a) + len(b) - both)
-    least = np.union1d(a, b)[:SKETCH]
-    return len(np.intersect1d(np.intersect1d(a, b), least)) / len(least)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
 
 
-def table_shape(n: int) -> tuple[int, int]:
-    """(bits of a segment, tables) for ``n`` fingerprints: entries hold about 4 of unrelated ones, and pairs at similarity
-    0.8, which differ in 15% of bits, share an entry of some table 19 times in 20."""
-    bits = 12
-    while bits < 30 and n * (bits + 1) / 2**bits > 4:
-        bits += 1
-    p = 0.151
-    share = sum(comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
-    return bits, max(1, min(WORDS * BITS // bits, ceil(log(0.05) / log(1 - share))))
+def size_bounds(least: float, upto: int) -> list[int]:
+    """The least sizes of the classes of set sizes, past ``upto``: similar sets are in one class or in neighbouring ones."""
+    bounds = [1]
+    while bounds[-1] <= upto or len(bounds) < 3:
+        bounds.append(max(bounds[-1] + 1, ceil(bounds[-1] / least - 1e-9)))
+    return [*bounds, max(bounds[-1] + 1, ceil(bounds[-1] / least - 1e-9)), 1 << 62]
 
 
-def _entries(classes: DataFrame, bits: int, tables: int) -> DataFrame:
-    """For each fingerprint and table the ball of radius 1 around its segment, as rows (entry, word, cid).
+def part_shapes(least: float, upto: int) -> list[tuple[int, int, int, int]]:
+    """(group, class, parts, spare) for every class of sizes up to ``upto``; a group is a class and the next one.
 
-    Two fingerprints share an entry if their segments differ in at most 2 bits. ``word`` is the last 64 bits, which
-    judge neighbours before whole distances do.
+    Two similar sets of a group differ in at most parts - 1 - spare members, so that more than ``spare`` of their parts are equal.
     """
-    flips = np.concatenate([[0], 1 << np.arange(bits, dtype=np.int64)])
+    bounds, out = size_bounds(least, upto), []
+    for c in range(len(bounds) - 3):
+        low, high = bounds[c + 1] - 1, bounds[c + 2] - 1
+        apart = int(most_apart(np.array(low), np.array(min(high, int(low / least + 1e-9))), least))
+        spare = 1 + ceil(0.05 * apart)
+        if apart:  # else only equal sets are similar, and those are one class already
+            out += [(c, member, apart + 1 + spare, spare) for member in (c, c + 1)]
+    return out
+
+
+def part_entries(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, index of the set) for the parts of each set: similar sets that differ share an entry, always.
+
+    The hashes deal members in parts; an entry is the sum over one part's mixed members. Sets that differ in fewer members than
+    there are parts have an equal part. That may be an empty one, which is an entry only for sets with more than ``spare`` of them.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    longest = int(sizes.max(initial=0))
+    owner_class = np.searchsorted(size_bounds(least, longest), sizes, side="right") - 1
+    entries, owners = [], []
+    for group, c, parts, spare in part_shapes(least, longest):
+        mine = np.nonzero((owner_class == c) & (sizes > 0))[0]
+        for a, b in slices(sizes[mine].tolist(), PARTS_AT_ONCE):
+            at = mine[a:b]
+            h = np.concatenate([sets[i] for i in at]).astype(np.uint64)
+            own = np.repeat(np.arange(len(at)), sizes[at])
+            cell = own * parts + (mixed(h, 2) % np.uint64(parts)).astype(np.int64)
+            sums, held = np.zeros(len(at) * parts, np.uint64), np.bincount(cell, minlength=len(at) * parts)
+            np.add.at(sums, cell, mixed(h, 3))
+            part = np.tile(np.arange(parts, dtype=np.uint64), len(at))
+            keep = (held > 0) | np.repeat((held.reshape(-1, parts) == 0).sum(axis=1) > spare, parts)
+            entry = mixed(sums + mixed(part + np.uint64(group << 32), 4), 5)
+            entries.append(entry[keep].view(np.int64))
+            owners.append(np.repeat(at, parts)[keep])
+    if not entries:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(entries), np.concatenate(owners)
+
+
+def _entries(texts: DataFrame, width: int, least: float) -> DataFrame:
+    """Rows (entry, cid) of the parts of the sets of ``texts`` (text), once for each copy of a set in another batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WORDS)
-                wide = np.unpackbits(raw, axis=1, bitorder="little")[:, : bits * tables].reshape(-1, tables, bits)
-                segment = wide.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
-                entry = (segment[:, :, None] ^ flips) + (np.arange(tables, dtype=np.int64) << 32)[None, :, None]
-                each = tables * (bits + 1)
-                word = np.repeat(raw.view("<i8")[:, -1], each)
-                cid = np.repeat(part.column(0).to_numpy(), each)
-                yield pa.RecordBatch.from_arrays([pa.array(entry.ravel()), pa.array(word), pa.array(cid)], names=["entry", "word", "cid"])
-            release_memory()
-
-    spread = classes.select("cid", "f").repartition(shuffle_partitions(classes.sparkSession))  # each row becomes hundreds
-    return spread.mapInArrow(run, "entry bigint, word bigint, cid bigint")
-
-
-def _closest(entries: DataFrame) -> DataFrame:
-    """Pairs (a, b): each fingerprint with the closest of its next neighbours in an entry, if its last word is near enough.
-
-    A pair for each row at most, whatever the size of a group.
+            sets = {set_id(s): s for s in (shingle_set(x.as_py(), width) for x in batch.column(0))}
+            cid = np.fromiter(sets, np.int64, len(sets))
+            entry, owner = part_entries(list(sets.values()), least)
+            for a in range(0, len(entry), 1 << 17):
+                e, o = entry[a : a + (1 << 17)], owner[a : a + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(cid[o])], names=["entry", "cid"])
+        release_memory()
+
+    return small_batches(texts).mapInArrow(run, "entry bigint, cid bigint")
+
+
+def _shared(entries: DataFrame) -> DataFrame:
+    """The rows of ``entries`` (sorted by entry and cid) whose entry another set has too, without repeats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, waits = None, None  # the row before, and whether it still waits for a row of its entry
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            entry, cid = (c.to_numpy() for c in batch.columns)
+            if last is not None:
+                entry, cid = np.concatenate([[last[0]], entry]), np.concatenate([[last[1]], cid])
+            new = np.concatenate([[True], (entry[1:] != entry[:-1]) | (cid[1:] != cid[:-1])])
+            entry, cid = entry[new], cid[new]
+            equal = entry[1:] == entry[:-1]
+            given = last is not None and not waits
+            twin = np.concatenate([[given], equal]) | np.concatenate([equal, [False]])
+            out = np.nonzero(twin)[0][int(given) :]
+            waits = not twin[-1]
+            last = entry[-1], cid[-1]
+            if len(out):
+                yield pa.RecordBatch.from_arrays([pa.array(entry[out]), pa.array(cid[out])], names=["entry", "cid"])
+        release_memory()
+
+    return entries.mapInArrow(run, "entry bigint, cid bigint")
+
+
+def _words(blobs: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs.to_pylist()), "<u8").reshape(-1, WORDS)
+
+
+def may_be_similar(f: np.ndarray, g: np.ndarray, n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets with parity bits ``f``, ``g`` and sizes ``n``, ``m`` can be similar; never False for two that are."""
+    return np.bitwise_count(f ^ g).sum(axis=-1, dtype=np.int64) <= most_apart(n, m, least)
+
+
+def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _hub_pairs(members: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of the member of an entry that is nearest to the middle of all and each other one, if they may be similar.
+
+    ``members`` (entry, cid, n, bits) is sorted by entry. A group around one text is linked by these, a pair for each row at most.
     """
 
+    def pairs(entry: np.ndarray, cid: np.ndarray, n: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        starts = np.concatenate([[0], np.nonzero(np.diff(entry))[0] + 1])
+        count = np.diff([*starts, len(entry)])
+        ones = np.add.reduceat(np.unpackbits(f.view(np.uint8), axis=1), starts, axis=0, dtype=np.int32)
+        middle = np.packbits(ones * 2 > count[:, None], axis=1).view("<u8")
+        own = np.repeat(np.arange(len(starts)), count)
+        off = np.bitwise_count(f ^ middle[own]).sum(axis=1, dtype=np.int64)
+        hub = np.lexsort((cid, off, own))[starts][own]
+        ok = (cid != cid[hub]) & may_be_similar(f, f[hub], n, n[hub], least)
+        return pa.RecordBatch.from_arrays([pa.array(cid[hub[ok]]), pa.array(cid[ok])], names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = np.empty((0, 3), np.int64)
+        held: list[list[np.ndarray]] = []  # pieces of the last entry, which the next batch may go on with
         for batch in batches:
-            rows = np.concatenate([rows, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
-            key, word, cid = rows.T
-            word = word.view(np.uint64) if word.flags.contiguous else np.ascontiguousarray(word).view(np.uint64)
-            best, other = np.full(len(key), BITS), np.zeros(len(key), np.int64)
-            for step in range(1, min(NEIGHBOURS, len(key) - 1) + 1):
-                same = np.nonzero(key[step:] == key[:-step])[0]
-                apart = np.bitwise_count(word[same] ^ word[same + step]).astype(np.int64)
-                nearer = apart < best[same]
-                best[same[nearer]], other[same[nearer]] = apart[nearer], same[nearer] + step
-            hit = np.nonzero(best <= NEAR_WORD_BITS)[0]
-            a, b = cid[hit], cid[other[hit]]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-            rows = rows[-NEIGHBOURS:].copy()  # neighbours that the next batch may hold
-
-    return entries.mapInArrow(run, "a bigint, b bigint")
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Of ``pairs`` those whose whole distance is near and whose shingle sets are similar enough, as edges (u, v)."""
-    left = classes.select(F.col("cid").alias("u"), F.col("f").alias("f"), F.col("sketch").alias("s"))
-    right = classes.select(F.col("cid").alias("v"), F.col("f").alias("g"), F.col("sketch").alias("t"))
-    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct().join(left, "u").join(right, "v").select("u", "v", "f", "g", "s", "t")
+            if not batch.num_rows:
+                continue
+            now = [*(batch.column(i).to_numpy() for i in range(3)), _words(batch.column(3))]
+            cut_at = int(np.searchsorted(now[0], now[0][-1]))
+            if cut_at == 0 and held and held[0][0][0] == now[0][0]:
+                held.append(now)
+                continue
+            if cut_at:
+                done = [np.concatenate(c) for c in zip(*held, [c[:cut_at] for c in now])]
+                yield pairs(*done)
+            elif held:
+                yield pairs(*(np.concatenate(c) for c in zip(*held)))
+            held = [[c[cut_at:].copy() for c in now]]
+        if held:
+            yield pairs(*(np.concatenate(c) for c in zip(*held)))
+        release_memory()
+
+    return small_batches(members).mapInArrow(run, "a bigint, b bigint")
+
+
+def _tile_pairs(table: pa.Table, least: float) -> pa.Table:
+    """The pairs within the entries of one group of small entries, or between two tiles of a large one, that have different labels and may be similar."""
+    table = table.sort_by([("entry", "ascending"), ("cid", "ascending")])
+    entry, cid, label, n, tile, left = (table[c].to_numpy() for c in ("entry", "cid", "label", "n", "tile", "t1"))
+    f, a, b = _words(table["bits"]), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        ok = may_be_similar(f[i], f[j], n[i], n[j], least)
+        a.append(cid[i[ok]])
+        b.append(cid[j[ok]])
+
+    if (table["t2"].to_numpy() != left).any():
+        first, second = np.nonzero(tile == left)[0], np.nonzero(tile != left)[0]
+        for i in first:
+            add(np.full(len(second), i), second)
+    else:
+        i, step = np.arange(len(entry)), 1
+        while len(i := i[i + step < len(entry)]) and len(i := i[entry[i] == entry[i + step]]):
+            add(i, i + step)
+            step += 1
+    return pa.Table.from_batches([_pair_batch(np.concatenate(a), np.concatenate(b))])
+
+
+def _other_pairs(members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of all members (entry, cid, label) that share an entry, have different labels and may be similar.
+
+    Entries of more than TILE members are dealt in hashed tiles that meet by twos, so a task holds no more than two.
+    """
+    sizes = cut(
+        members.groupBy("entry").agg(F.count("*").alias("m"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("entry", "m")
+    )
+    total = sizes.agg(F.sum("m")).first()[0] or 0
+    rows = members.join(sizes, "entry").join(classes, "cid").withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns(
+        {
+            "t1": F.least("tile", "other"),
+            "t2": F.greatest("tile", "other"),
+            # the first number says which kind the second is of, so that an entry never meets a pack
+            "kind": F.when(F.col("tiles") == 1, 0).otherwise(1),
+            "pack": F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("entry"), F.lit(max(1, -(-total // PACK))))).otherwise(F.col("entry")),
+        }
+    )
+    narrow = rows.select("kind", "pack", "t1", "t2", "tile", "entry", "cid", "label", "n", "bits")
+    return narrow.groupBy("kind", "pack", "t1", "t2").applyInArrow(lambda t: _tile_pairs(t, least), "a bigint, b bigint").distinct()
+
+
+def _wanted(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Rows (cid, shingles) of the whole sets that occur in ``pairs``, and of few others.
+
+    The texts are read again, and a bitmap of a fixed size says which sets pairs name, so that the others never move.
+    """
+    marks = pairs.select(F.explode(F.array("a", "b")).alias("cid")).select(F.pmod("cid", F.lit(MARKS)).alias("at")).distinct()
+    named = np.zeros(MARKS, bool)
+    named[marks.toArrow().column(0).to_numpy()] = True
+    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(named))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        f, g = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, WORDS) for c in (2, 3))
-        near = np.bitwise_count(f ^ g).sum(axis=1, dtype=np.int64) <= NEAR_BITS
-        s, t = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-        ok = [bool(n) and similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= least for n, x, y in zip(near, s, t)]
-        return batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+        sets = {set_id(s): s for s in (shingle_set(x.as_py(), width) for x in batch.column(0))}
+        at = {c: c % MARKS for c in sets}
+        held = [c for c, k in at.items() if shared.value[k >> 3] >> (7 - (k & 7)) & 1]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(held, pa.int64()), pa.array([sets[c].tobytes() for c in held], pa.binary())], names=["cid", "shingles"]
+        )
+
+    found = map_batches(texts, run, "cid bigint, shingles binary")
+    return cut(found.groupBy("cid").agg(F.first("shingles").alias("shingles")), narrow=False)
 
-    return map_batches(both, run, "u bigint, v bigint")
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """Of ``pairs`` (a, b) those whose whole shingle sets are similar enough."""
+    sets = _wanted(pairs, texts, width)
+    left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("s"))
+    right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("t"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        s, t = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        ok = [similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= least for x, y in zip(s, t)]
+        return batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return cut(map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t"), run, "a bigint, b bigint"))
+
+
+def _components(classes: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """Components (node, component) of classes (cid, n, bits) linked where their sets are similar; those without a link are left out.
+
+    A first round links each set to the hub that it meets most often. What is not in one component then is compared pair by pair.
+    """
+    n = shuffle_partitions(classes.sparkSession)
+    shared = cut(_shared(_entries(texts, width, least).repartition(n, "entry").sortWithinPartitions("entry", "cid")))
+    seen = classes.select("cid", "n", "bits")
+    members = shared.join(seen, "cid").select("entry", "cid", "n", "bits")
+    met = _hub_pairs(members.repartition(n, "entry").sortWithinPartitions("entry", "cid"), least).groupBy("a", "b").count()
+    pairs = cut(met.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select("best.a", "b"))
+    edges = _verified(pairs, texts, width, least)
+    nodes = cut(connected_components(edges))
+    labelled = shared.join(nodes.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid"))
+    others = cut(_other_pairs(cut(labelled.select("entry", "cid", "label")), seen, least))
+    if others.isEmpty():
+        return nodes
+    more = _verified(others, texts, width, least)
+    return nodes if more.isEmpty() else connected_components(edges.unionByName(more))
 
 
 def distinct_documents(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one with the smallest id (null ids last).
 
-    Documents are linked if the sets of their ``width``-word shingles have a Jaccard similarity of ``least`` or more (estimated
-    from 128 smallest hashes where a set is larger). Candidates come from 256-bit SimHash fingerprints by multi-index hashing:
-    balls around each segment, matched in tables, verified by whole distances. Equal fingerprints are one class, so texts without words
+    Documents are linked if the whole sets of their ``width``-word shingles have a Jaccard similarity of ``least`` or more. Shingles
+    are 32-bit hashes. Each set is dealt in more parts than two similar sets can differ in members, so similar ones have an equal part;
+    of those that share one, all pairs that links don't connect yet are compared. Equal sets are one class, so texts without words
     (null, empty) are one group; of repeated rows one stays. All columns are kept, whatever their names. An empty
-    table stays empty. ``docs`` is read twice and must give the same rows in the same partitions, as files do.
+    table stays empty. ``docs`` is read several times and must give the same rows in the same partitions, as files do.
     """
     numbered = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    rows = cut(_sketched(slim, width), narrow=False)
+    rows = cut(_sets(slim, width), narrow=False)
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
-    classes = cut(
-        rows.groupBy("f").agg(F.min(order).alias("first"), F.first("sketch").alias("sketch")).withColumn("cid", F.monotonically_increasing_id())
-    )
-    bits, tables = table_shape(classes.count())
-    n = shuffle_partitions(docs.sparkSession)
-    entries = _entries(classes, bits, tables).repartition(n, "entry").sortWithinPartitions("entry", "word", "cid")
-    edges = _verified(_closest(entries), classes, least)
-    nodes = connected_components(edges, "u", "v").withColumnRenamed("node", "cid")
+    classes = cut(rows.groupBy("cid").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    nodes = _components(classes, slim.select("text"), width, least).withColumnRenamed("node", "cid")
     grouped = classes.select("cid", "first").join(nodes, "cid", "left").select(F.coalesce("component", "cid").alias("component"), "first")
     kept = grouped.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     return numbered.join(kept, "row", "left_semi").select("doc.*")

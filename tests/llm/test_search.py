@@ -109,6 +109,46 @@ def test_one_of_each_group_stays(spark, docs):
     assert simhash.distinct_documents(docs([])).count() == 0
 
 
+def kept_by_brute_force(texts, width=5, least=0.8):
+    """Ids that stay, all pairs of whole shingle sets compared."""
+    sets = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if (w := t.split()) else set() for t in texts]
+    number = {x: k for k, x in enumerate({x for s in sets for x in s})}
+    table = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        table[i, [number[x] for x in s]] = 1
+    both, size = table @ table.T, table.sum(axis=1)
+    near = np.argwhere(np.triu(both >= least * (size[:, None] + size[None, :] - both) - 1e-6, 1))
+    roots = components(range(len(texts)), near.tolist())
+    return sorted(i for i, root in roots.items() if root == i)
+
+
+def test_star_of_near_copies_is_one_group(spark, docs):
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    base = r.choices(vocabulary, k=124)
+    copies = []
+    for _ in range(1000):  # two words replaced: 10 of 120 shingles, similarity 0.846 to the base, about 0.72 to each other
+        w = list(base)
+        for at in r.sample(range(4, 120, 5), 2):
+            w[at] = f"new{r.randrange(10**6)}"
+        copies.append(" ".join(w))
+    texts = [*copies[:500], " ".join(base), *copies[500:], *(" ".join(r.choices(vocabulary, k=60)) for _ in range(200))]
+    want = kept_by_brute_force(texts)
+    assert len(want) == 201
+    assert sorted(x.doc_id for x in simhash.distinct_documents(docs(list(enumerate(texts)))).collect()) == want
+
+
+def test_large_entries_meet_in_tiles(spark, docs, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 16)
+    r = random.Random(11)
+    passage, vocabulary = [f"p{i}" for i in range(120)], [f"w{i}" for i in range(4000)]
+    shared = [[*passage, *r.choices(vocabulary, k=30)] for _ in range(150)]  # one passage, mutual similarity about 0.65
+    texts = [" ".join(w) for w in shared] + [edited(w, 0.014, r) for w in shared[:60]]
+    want = kept_by_brute_force(texts)
+    assert 140 <= len(want) <= 200
+    assert sorted(x.doc_id for x in simhash.distinct_documents(docs(list(enumerate(texts)))).collect()) == want
+
+
 def test_sketch_similarity():
     a, b = np.arange(100, dtype="<u4"), np.arange(20, 120, dtype="<u4")
     assert simhash.similarity(a, b) == 80 / 120 and simhash.similarity(a[:0], b) == 0 and simhash.similarity(a[:0], a[:0]) == 1

@@ -28,6 +28,20 @@ SPELLINGS = (
     ("—", " "),
 )
 COPYRIGHT_LINE = r"(?m)^[\t #*/;-]*(copyright|\(c\)|all rights reserved)[^\n]*$"
+#: Where a notice ends on its line at the latest: the first words of a licence. What may stand before a notice on its line.
+BODIES = (
+    "permission is hereby granted", "permission to use, copy", "redistribution and use in", "this software is provided",
+    "this is free and unencumbered", "licensed under", "this program is free", "this work is licensed", "released under",
+)
+TITLES = r"(?:the )?(?:mit|isc|zlib|bsd zero clause|bsd [23]-clause) licen[cs]e(?: \(mit\))?"
+#: A real notice: copyright followed by a sign or a year. A body's line that begins with copyright is none.
+NOTICE = (
+    rf"(?m)^([\t #*/;-]*(?:{TITLES})?)[\t #*/;-]*(?:(?:copyright[\t ]*)?(?:\(c\)|©)|copyright[\t ]+[0-9]{{4}})"
+    rf"[^\n]*?(?=$|{'|'.join(BODIES)})"
+)
+RESERVED = r"(?m)^[\t #*/;-]*all rights reserved[\t .#*/;-]*"
+#: Blanks, and what stands before the words of a comment's next line: spellings of two words are found across it.
+GAP = r"[\t ]*\n[\t\n #*/;-]*|[\t ]+"
 NOT_WORD = r"[^a-z0-9\x{80}-\x{10ffff}]+"
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
@@ -144,6 +158,15 @@ def canonical_text(text: str) -> str:
     return PY_NOT_WORD.sub(" ", text).strip(" ")
 
 
+def unwrapped_text(text: str) -> str:
+    """What a text is compared by wherever its lines end: as ``canonical_text``, but only real notices are dropped."""
+    text = text.translate(str.maketrans(UPPER, LOWER)).replace("\r", "\n")
+    text = re.sub(GAP, " ", re.sub(RESERVED, "", re.sub(NOTICE, r"\1 ", text)))
+    for a, b in SPELLINGS:
+        text = text.replace(a, b)
+    return PY_NOT_WORD.sub(" ", text).strip(" ")
+
+
 def digest(text: str) -> str:
     return hashlib.sha256(canonical_text(text).encode()).hexdigest()
 
@@ -152,25 +175,43 @@ def known_digests() -> dict[str, str]:
     return {digest(t): name for name, texts in KNOWN.items() for t in texts}
 
 
-def canonical(text: Column) -> Column:
-    """``canonical_text`` as Spark functions."""
-    text = F.translate(text, UPPER + "\r", LOWER + "\n")
-    text = F.regexp_replace(text, COPYRIGHT_LINE, "")
+def unwrapped_digests() -> dict[str, str]:
+    return {hashlib.sha256(unwrapped_text(t).encode()).hexdigest(): name for name, texts in KNOWN.items() for t in texts}
+
+
+def _plain(text: Column) -> Column:
     for a, b in SPELLINGS:
         text = F.replace(text, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(text, NOT_WORD, " "))
 
 
+def canonical(text: Column) -> Column:
+    """``canonical_text`` as Spark functions."""
+    text = F.translate(text, UPPER + "\r", LOWER + "\n")
+    return _plain(F.regexp_replace(text, COPYRIGHT_LINE, ""))
+
+
+def unwrapped(text: Column) -> Column:
+    """``unwrapped_text`` as Spark functions."""
+    text = F.translate(text, UPPER + "\r", LOWER + "\n")
+    return _plain(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, NOTICE, "$1 "), RESERVED, ""), GAP, " "))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, digest, license): the digest of every whole text and the licence whose text it is, else null.
 
-    One row per input row. A null text counts as empty, with the digest of nothing and no licence. Null ids, repeated rows and
-    other columns of any name are harmless. The known digests are a fixed list of a few dozen, and so
-    are broadcast.
+    The licence is looked up by the digest and, since that depends on which words begin a line, by one of the text
+    without its lines, from which only real notices are dropped. One row per input row. A null text counts as empty, with the digest
+    of nothing and no licence. Null ids, repeated rows and other columns of any name are harmless. The known digests are a fixed
+    list of a few dozen, and so are broadcast.
     """
-    known = docs.sparkSession.createDataFrame(sorted(known_digests().items()), "digest string, license string")
-    rows = docs.select(F.col(id_col), F.sha2(canonical(F.coalesce(F.col(text), F.lit(""))), 256).alias("digest"))
-    return rows.join(F.broadcast(known), "digest", "left").select(id_col, "digest", "license")
+    spark = docs.sparkSession
+    known = spark.createDataFrame(sorted(known_digests().items()), "digest string, by_line string")
+    other = spark.createDataFrame(sorted(unwrapped_digests().items()), "whole string, by_words string")
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(id_col), F.sha2(canonical(body), 256).alias("digest"), F.sha2(unwrapped(body), 256).alias("whole"))
+    found = rows.join(F.broadcast(known), "digest", "left").join(F.broadcast(other), "whole", "left")
+    return found.select(id_col, "digest", F.coalesce("by_line", "by_words").alias("license"))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -144,6 +145,27 @@ def test_licences(spark, docs):
     assert licenses.scan(docs([])).count() == 0
 
 
+def test_licences_in_any_wrap(docs):
+    bodies = {"MIT": licenses.MIT, "BSD-2-Clause": licenses.BSD_TWO + licenses.BSD_WARRANTY, "BSD-3-Clause": licenses.BSD_TWO + licenses.BSD_THREE + licenses.BSD_WARRANTY}
+    rows, want = [], {}
+    for name, body in bodies.items():
+        words = body.split()
+        at = next(i for i, w in enumerate(words) if w == "COPYRIGHT")
+        wraps = [textwrap.fill(" ".join(words), width) for width in (40, 60, 72, 78, 100, 120, 10**6)] + [" ".join(words[:at]) + "\n" + " ".join(words[at:])]
+        for wrap in wraps:
+            title = name.replace("BSD-", "BSD ") + " License"
+            one_line = f"{title} Copyright (c) 2020 Me. All rights reserved. " + wrap if "\n" not in wrap else wrap
+            for text in (wrap, "Copyright (c) 2019-2021 Me & You\nCopyright 2022 X\nAll rights reserved.\n\n" + wrap, "Copyright (c) 2020 Me " + wrap, one_line):
+                want[len(rows)] = name
+                rows.append((len(rows), text))
+    for text in (licenses.MIT + " And more.", "Copyright (c) 2020 Me. A text of another kind.", "copyright holders", " ".join(licenses.MIT.split()).replace("COPYRIGHT HOLDERS BE LIABLE", "")):
+        want[len(rows)] = None
+        rows.append((len(rows), text))
+    assert {r.doc_id: r.license for r in licenses.scan(docs(rows)).collect()} == want
+    for _, text in rows[:8]:
+        assert licenses.unwrapped_text(text) == licenses.unwrapped_text(licenses.MIT)
+
+
 def labelled(n, mark, seed):
     r = random.Random(seed)
     syllables = ["ti", "on", "er", "an", "th", "re", "es", "nd", "ou", "ha"]

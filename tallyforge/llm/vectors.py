@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ PASSES, HASHES, WINDOW = 8, 60, 48
 BLOCK = 2048
 #: Members of a component that meet in one tile.
 TILE = 1024
+#: Members of a run of equal signature prefixes, on average, and rows of a block that are compared at once.
+RUN, ROWS_AT_ONCE = 256, 512
 #: Small components are counted together, in groups of about so many members.
 PACK = 4096
 
@@ -103,9 +106,8 @@ def _local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _window_edges(table: pa.Table, cosine: float, window: int, kind: str) -> pa.Table:
-    """Edges that connect what links verified within the windows of one block; its rows are in sorted order."""
-    table = table.sort_by("rank")
+def _block_edges(table: pa.Table, cosine: float, kind: str) -> pa.Table:
+    """Edges that connect what links verified among all pairs of one block, of the same pass and label."""
     key = np.array(table["pass"].to_pylist()), np.array(table["label"].to_pylist(), object)
     cid = table["cid"].to_numpy()
     blobs = table["v"].to_pylist()
@@ -114,9 +116,10 @@ def _window_edges(table: pa.Table, cosine: float, window: int, kind: str) -> pa.
     for d in np.unique(dims):
         at = np.nonzero(dims == d)[0]
         x = _unit([blobs[i] for i in at], kind)
-        for step in range(1, min(window, len(at) - 1) + 1):
-            near = np.einsum("ij,ij->i", x[:-step], x[step:]) >= cosine
-            i, j = at[:-step][near], at[step:][near]
+        for start in range(0, len(at), ROWS_AT_ONCE):
+            i, j = np.nonzero(x[start : start + ROWS_AT_ONCE] @ x[start:].T >= cosine)
+            upper = i < j
+            i, j = at[start + i[upper]], at[start + j[upper]]
             same = (key[0][i] == key[0][j]) & (key[1][i] == key[1][j])
             a.append(i[same])
             b.append(j[same])
@@ -127,7 +130,10 @@ def _window_edges(table: pa.Table, cosine: float, window: int, kind: str) -> pa.
 
 
 def _passes(classes: DataFrame, cosine: float, passes: int, window: int, seed: int, kind: str) -> DataFrame:
-    """Edges from all passes. Each is sorted over the whole table and dealt in blocks of equal length."""
+    """Edges from all passes. Each is sorted over the whole table and dealt in blocks of equal length, all pairs of which are compared.
+
+    So are, in tiles, those of a run of equal signature prefixes that is longer than the window and lies in several blocks.
+    """
     n = shuffle_partitions(classes.sparkSession)
     placed = _signatures(classes, passes, seed, kind).repartitionByRange(n, "pass", "label", "sig", "cid")
     placed = _numbered(placed.sortWithinPartitions("pass", "label", "sig", "cid")).withColumn("part", F.spark_partition_id())
@@ -144,9 +150,18 @@ def _passes(classes: DataFrame, cosine: float, passes: int, window: int, seed: i
     block = F.floor(F.col("rank") / BLOCK).cast("long")
     # a row also follows the block before its own if that block's last rows reach it
     own = F.when((F.col("rank") % BLOCK < window) & (F.col("rank") >= BLOCK), F.array(block, block - 1)).otherwise(F.array(block))
-    dealt = ranked.withColumn("block", F.explode(own)).select("block", "pass", "label", "cid", "v", "rank")
-    edges = dealt.groupBy("block").applyInArrow(lambda t: _window_edges(t, cosine, window, kind), "a bigint, b bigint")
-    return edges.distinct()
+    dealt = ranked.withColumn("block", F.explode(own)).select("block", "pass", "label", "cid", "v")
+    edges = dealt.groupBy("block").applyInArrow(lambda t: _block_edges(t, cosine, kind), "a bigint, b bigint")
+    bits = min(HASHES, max(0, ceil(log2(at / passes / RUN))))
+    run = ["pass", "label", "prefix"]
+    ranked = ranked.withColumn("prefix", F.shiftright("sig", HASHES - bits))
+    spans = ranked.groupBy(*run).agg(F.count("*").alias("m"), F.min(block).alias("low"), F.max(block).alias("high"))
+    long = spans.where((F.col("m") > window) & (F.col("high") > F.col("low"))).select(*run, F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
+    rows = ranked.join(long, run).withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.withColumns({"t1": F.least("tile", "other"), "t2": F.greatest("tile", "other")}).select(*run, "t1", "t2", "cid", "v")
+    tiled = rows.groupBy(*run, "t1", "t2").applyInArrow(lambda t: _block_edges(t, cosine, kind), "a bigint, b bigint")
+    return edges.unionByName(tiled).distinct()
 
 
 def _counted(table: pa.Table, cosine: float, kind: str) -> pa.Table:
@@ -214,8 +229,8 @@ def near_duplicates(
     """Rows (id, n_links, component, kept) for every vector; only vectors with equal labels compare.
 
     Equal vectors collapse to one class first, so copies never fill a window. Each pass orders
-    the classes by label and concatenated random hashes and compares every one with its ``window`` next
-    neighbours; verified links of all passes are united. Links are then counted over all pairs
+    the classes by label and concatenated random hashes and compares all pairs of a block of neighbours and of any
+    longer run of equal hashes; verified links of all passes are united. Links are then counted over all pairs
     of a component, in tiles, so that a group larger than a window loses none.
 
     Rows whose id, label or vector is null, or whose vector is empty, zero or holds a null or non-finite component,

@@ -189,6 +189,23 @@ def test_big_component_counts_in_tiles(spark, monkeypatch):
     assert hot[0] >= 75 and hot[1] <= 90
 
 
+@pytest.mark.parametrize("dims, cosine, copies", [(64, 0.9815, 3000), (256, 0.985, 2000)])
+def test_star_larger_than_all_windows(spark, dims, cosine, copies):
+    g = np.random.default_rng(7)
+    base = g.standard_normal(dims)
+    base /= np.linalg.norm(base)
+    noise = g.standard_normal((copies, dims))
+    noise -= (noise @ base)[:, None] * base
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    every = np.concatenate([[base], cosine * base + (1 - cosine**2) ** 0.5 * noise, g.standard_normal((500, dims))])
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(every)]
+    out = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert sum(r.component_id == 0 for r in out) >= copies * 0.999 and sum(r.kept for r in out) <= 501 + copies * 0.001
+    assert sum(r.n_links != links[r.vec_id] for r in out) <= 1 + copies * 0.001
+
+
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
     g = np.random.default_rng(1)

@@ -149,6 +149,24 @@ def test_large_entries_meet_in_tiles(spark, docs, monkeypatch):
     assert sorted(x.doc_id for x in simhash.distinct_documents(docs(list(enumerate(texts)))).collect()) == want
 
 
+def test_similar_sets_always_share_an_entry():
+    g = np.random.default_rng(3)
+    tried = 0
+    for n in (4, 5, 6, 8, 9, 10, 12, 16, 20, 31, 45, 100, 300, 1000, 5000):
+        for _ in range(100 if n < 400 else 10):
+            a = np.unique(g.integers(0, 2**32, n, dtype=np.uint64).astype("<u4"))
+            new = g.integers(0, 2**32, g.integers(0, n // 4 + 2), dtype=np.uint64).astype("<u4")
+            b = np.unique(np.concatenate([a[g.integers(0, n // 4 + 1) :], new]))
+            if np.array_equal(a, b) or simhash.similarity(a, b) < 0.8:
+                continue
+            entry, owner = simhash.part_entries([a, b], 0.8)
+            assert np.intersect1d(entry[owner == 0], entry[owner == 1]).size, (len(a), len(b))
+            bits = [simhash.parity(x.astype(np.uint64)) for x in (a, b)]
+            assert simhash.may_be_similar(bits[0], bits[1], np.array(len(a)), np.array(len(b)), 0.8)
+            tried += 1
+    assert tried > 400
+
+
 def test_sketch_similarity():
     a, b = np.arange(100, dtype="<u4"), np.arange(20, 120, dtype="<u4")
     assert simhash.similarity(a, b) == 80 / 120 and simhash.similarity(a[:0], b) == 0 and simhash.similarity(a[:0], a[:0]) == 1

@@ -167,6 +167,16 @@ def test_similar_sets_always_share_an_entry():
     assert tried > 400
 
 
+def test_whole_sets_decide():
+    g = np.random.default_rng(4)
+    for both, each, near in ((1600, 199, True), (1600, 201, False)):  # similarity 0.8008 and 0.7992
+        made = np.unique(g.integers(0, 2**32, 4000, dtype=np.uint64).astype("<u4"))
+        made = g.permutation(made)[: both + 2 * each]
+        a, b = np.sort(made[: both + each]), np.sort(np.concatenate([made[:both], made[both + each :]]))
+        assert simhash.similarity(a, b) == both / (both + 2 * each)
+        assert (simhash.similarity(a, b) >= 0.8) == near
+
+
 def test_sketch_similarity():
     a, b = np.arange(100, dtype="<u4"), np.arange(20, 120, dtype="<u4")
     assert simhash.similarity(a, b) == 80 / 120 and simhash.similarity(a[:0], b) == 0 and simhash.similarity(a[:0], a[:0]) == 1

@@ -241,6 +241,8 @@ def common_words(narrow: DataFrame, table: RankMap, most_bytes: int = COMMON_BYT
     distinct = part.select("__id", "__text").mapInArrow(words, "word binary").distinct()
     folded = distinct.select("word", table.bind("array<int>", lambda rank: encode_word(F.col("word"), rank)).alias("made"))
     rows = folded.mapInArrow(packed, "n bigint, m bigint, h binary, s binary, f binary").collect()
+    if not rows:  # the draw can miss all of a few long documents
+        return Words(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint32))
     unpack = lambda blob, k, kind: np.frombuffer(pa.decompress(blob, k * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
     return Words(
         np.concatenate([unpack(bytes(r.h), r.n, "<u8") for r in rows]),

@@ -87,6 +87,12 @@ def test_documents_encode_and_decode(spark, docs, tik):
     assert bpe.encode(docs([]), ranks).count() == 0
 
 
+def test_an_empty_draw_has_no_words(spark):
+    narrow = spark.createDataFrame([(1, "some long words " * 50)], "__id long, __text string")
+    words = bpe.common_words(narrow, bpe.RankMap(bpe.load_ranks(RANKS)), most_bytes=1e-9)
+    assert words.find([b"some"], [])[0].tolist() == [0]
+
+
 def test_what_a_hash_finds_must_spell_the_word():
     words = bpe.Words(np.array([bpe.xxh64_intdigest(b"ab"), bpe.xxh64_intdigest(b"zz")], np.uint64), np.array([1, 1]), np.array([0, 1], np.uint32))
     size, flat = words.find([b"ab", b"zz", b"q"], [b"ab", b"other"])

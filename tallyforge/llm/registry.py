@@ -17,7 +17,6 @@ QUERIES = {
     "op10_token_files": tokenfiles.op10_token_files,
 }
 ORACLES: dict[str, str] = {
-    "op5_toxicity": toxicity.op5_toxicity,
     "op4_topk": topk.ORACLE,
     "op6_licenses": licenses.oracle(),
     "op8_vectors": vectors.ORACLE,

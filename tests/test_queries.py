@@ -40,6 +40,12 @@ def test_every_query_has_sql():
     assert queries.QUERIES.keys() == queries.ORACLES.keys()
 
 
+def test_all_sql_is_text():
+    import __spark_entry__ as entry
+
+    assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 ROWS_PER_FILE = 100_000
 #: Bytes of rows that Python gets at a time.
 ARROW_BYTES = 4 << 20
+#: A node with more edges than this, and than one in HUB_SHARE of all, is a hub: there are 2 * HUB_SHARE hubs at most.
+HUB_EDGES, HUB_SHARE = 256, 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -104,12 +107,47 @@ def slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], arrays: Callable[[pa.RecordBatch], list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """The columns that ``arrays`` makes of batches sorted by the first of them, cut where it changes: no run of a value is torn."""
+    held: list[list[np.ndarray]] = []  # pieces of the last run, which the next batch may go on with
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = arrays(batch)
+        at = int(np.searchsorted(now[0], now[0][-1]))
+        if at == 0 and held and held[0][0][0] == now[0][0]:
+            held.append([c.copy() for c in now])
+            continue
+        if at:
+            yield [np.concatenate(c) for c in zip(*held, [c[:at] for c in now])]
+        elif held:
+            yield [np.concatenate(c) for c in zip(*held)]
+        held = [[c[at:].copy() for c in now]]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def least_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the smallest that the links (i, j) reach from it."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph, as rows (node, component): component is the smallest node.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each round is a
     min-aggregation and a join on the node, so nothing is gathered per node, and the number of
-    rounds grows with the logarithm of the longest path. Rounds are cut by checkpoints. Nodes without
+    rounds grows with the logarithm of the longest path. The edges of a hub don't meet in one task: the few hubs that there
+    can be are broadcast with their least neighbours. Rounds are cut by checkpoints. Nodes without
     an edge are not returned; edges that hold a null are ignored; an empty table gives an empty one.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
@@ -118,7 +156,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if not state[0]:
             break
-        e = cut(_small_star(_large_star(e)), rows=state[0])
+        e = cut(_small_star(_large_star(e, state[0]), state[0]), rows=state[0])
         new = _fingerprint(e)
         if new == state:
             break
@@ -134,18 +172,24 @@ def _fingerprint(e: DataFrame) -> tuple:
     return tuple(r)
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+    """``rows`` with column m of ``least`` (u, m, n). ``n`` rows have this u; those of hubs aren't shuffled by it."""
+    hubs = F.broadcast(least.where(F.col("n") > max(HUB_EDGES, edges // HUB_SHARE)).select("u", F.col("m").alias("hub_m")))
+    marked = rows.join(hubs, "u", "left")
+    of_hubs = marked.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m"))
+    return of_hubs.unionByName(marked.where("hub_m is null").select("u", "v").join(least.select("u", "m"), "u"))
+
+
+def _large_star(e: DataFrame, edges: int) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node of its neighbourhood."""
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return (
-        both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-    )
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    return _with_least(both.where("v > u"), least, edges).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, edges: int) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them (here u > v always holds)."""
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _with_least(e, least, edges).select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = least.select("u", F.col("m").alias("v"))
     return moved.unionByName(own).where("u <> v").distinct()

@@ -13,11 +13,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tallyforge.llm.common import connected_components, cut, map_batches, release_memory, shuffle_partitions, slices, small_batches
+from tallyforge.llm.common import (
+    connected_components, cut, least_roots, map_batches, release_memory, shuffle_partitions, slices, small_batches, whole_runs,
+)
 
 BITS = 64
 #: Shingles whose bits are counted at once: bounds the memory for one very long text.
 CHUNK = 1 << 15
+#: Rows that a table entry is compared with as it is; how often fuller ones are indexed again (64 bits halved); pairs compared at once.
+ENTRY, LEVELS, PAIRS_AT_ONCE = 1024, 3, 1 << 20
+#: Full entries whose 8-byte keys are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 100_000
 
 
 def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
@@ -72,35 +78,92 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _ball(value: Column, segments: int) -> Column:
-    """``value`` and what one flipped bit inside each of its segments makes of it.
+def _deal(rows: DataFrame, level: int) -> DataFrame:
+    """Rows (key, fp, free, own) of the tables at one level, from rows (key, fp, free, own) of the level above.
 
-    The probe keeps the other segments as they are, so a table match shares them exactly.
+    The part of a fingerprint that is still free (from bit ``free`` on, the whole of it at level 0) is split in two segments,
+    each of which is a table of its own. For either segment, a row goes to the entry of its own value (where it is ``own``, it is
+    found) and, as a probe, to every other value of the Hamming ball of radius 1 around it. The other segment is free on the next level.
     """
-    width = BITS // segments
-    members = [F.array(value)]
-    for s in range(segments):
-        bits = F.sequence(F.lit(s * width), F.lit((s + 1) * width - 1 if s < segments - 1 else BITS - 1))
-        members.append(F.transform(bits, lambda i: value.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    return F.concat(*members)
+    half = BITS >> (level + 1)
+    width, mask = F.lit(half), F.lit((1 << half) - 1).cast("long")
+    bits = F.sequence(F.lit(0), F.lit(half - 1))
+    ball = F.concat(F.array(F.lit(0).cast("long")), F.transform(bits, lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    sides = F.explode(F.array(F.lit(0), F.lit(1))).alias("side")
+    parts = rows.select("key", "fp", "free", "own", sides).select("*", F.explode(ball).alias("flip"))
+    segment = F.call_function("shiftrightunsigned", F.col("fp"), F.col("free") + F.col("side") * width).bitwiseAND(mask)
+    return parts.select(
+        F.xxhash64("key", F.lit(level), "side", segment.bitwiseXOR(F.col("flip"))).alias("key"),
+        "fp",
+        (F.col("free") + (1 - F.col("side")) * width).cast("int").alias("free"),
+        (F.col("own") & (F.col("flip") == 0)).alias("own"),
+    )
+
+
+def _matched(rows: DataFrame, distance: int = 2) -> DataFrame:
+    """Edges (a, b) that connect what is within ``distance`` in the entries of ``rows`` (key, fp, own), sorted by key.
+
+    Every probe of an entry is compared with every fingerprint found there, by all bits. Links are thinned to a forest.
+    """
+
+    def edges(key: np.ndarray, fp: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+        starts = np.concatenate([[0], np.nonzero(np.diff(key))[0] + 1])
+        count = np.diff([*starts, len(key)])
+        first, many = np.repeat(starts, count), np.repeat(count, count)
+        held = np.nonzero(own & (many > 1))[0]
+        first, many = first[held], many[held]
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for a, b in slices(many.tolist(), PAIRS_AT_ONCE):
+            i = np.repeat(held[a:b], many[a:b])
+            j = np.arange(len(i)) - np.repeat(np.cumsum(many[a:b]) - many[a:b], many[a:b]) + np.repeat(first[a:b], many[a:b])
+            near = (np.bitwise_count(fp[i] ^ fp[j]) <= distance) & (fp[i] != fp[j])
+            left.append(i[near])
+            right.append(j[near])
+        nodes, at = np.unique(fp[np.concatenate(left + right)], return_inverse=True)
+        i, j = np.split(at, 2)
+        root = least_roots(len(nodes), i, j)
+        moved = np.nonzero(root != np.arange(len(nodes)))[0]
+        return pa.RecordBatch.from_arrays([pa.array(nodes[root[moved]].view(np.int64)), pa.array(nodes[moved].view(np.int64))], names=["a", "b"])
+
+    def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in whole_runs(batches, arrays):
+            yield edges(*one)
+        release_memory()
 
-def link_edges(fps: DataFrame, segments: int = 2) -> DataFrame:
+    return small_batches(rows.select("key", "fp", "own")).mapInArrow(run, "a bigint, b bigint")
+
+
+def link_edges(fps: DataFrame, full: int = ENTRY) -> DataFrame:
     """Edges (a, b) between distinct ``fps`` (column fp) that connect all at 2 or fewer differing bits.
 
-    Multi-index hashing: for each segment of a fingerprint its Hamming ball of radius 1 is enumerated
-    and the probes are matched in a table. Two fingerprints at a distance of 2 or less share a probe
-    (flip in the one, in its segment, the first of the bits that differ), and two that share one are at
-    most 2 apart. A table entry is met by 65 fingerprints at most, whatever the size of a group, so
-    no list of pairs forms: members link to the smallest of their entry, and each link's whole distance
-    is verified.
+    Multi-index hashing: a fingerprint has two segments of 32 bits, and a table for each is keyed by the segment's exact value. Of
+    two fingerprints at a distance of 2 or less one segment differs by 1 bit at most, so the Hamming ball of radius 1 around that
+    segment of the one has the other's; all 33 values of the ball are probed in the table, and the whole distance of each match
+    is verified. Copies with the same segment can fill an entry. One that meets more than ``full`` rows is indexed again by the
+    other segment's two halves of 16 bits in the same way, then of 8: there, an entry can't hold more than 256 fingerprints.
     """
-    spread = fps.repartition(shuffle_partitions(fps.sparkSession))  # each row becomes 65
-    probes = spread.select("fp", F.explode(_ball(F.col("fp"), segments)).alias("entry"))
-    met = probes.groupBy("entry").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z")
-    found = met.select("a", F.explode(_ball(F.col("entry"), segments)).alias("fp"))
-    verified = F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= 2
-    return found.join(fps, "fp", "left_semi").where((F.col("a") != F.col("fp")) & verified).select("a", F.col("fp").alias("b")).distinct()
+    n = shuffle_partitions(fps.sparkSession)
+    rows = fps.select(F.lit(0).cast("long").alias("key"), "fp", F.lit(0).alias("free"), F.lit(True).alias("own"))
+    found = None
+    for level in range(LEVELS):
+        placed = dealt = _deal(rows.repartition(n), level)  # each row becomes 66, or fewer on the levels below
+        crowded = 0
+        if level < LEVELS - 1:
+            met = dealt.groupBy("key").agg(F.count("*").alias("met"), F.count_if("own").alias("held"))
+            large = cut(met.where((F.col("met") > full) & (F.col("held") > 0)).select("key"))
+            crowded = large.count()
+        if crowded:
+            large = F.broadcast(large) if crowded <= BROADCAST_KEYS else large
+            placed = dealt.join(large, "key", "left_anti")
+        edges = _matched(placed.select("key", "fp", "own").repartition(n, "key").sortWithinPartitions("key"))
+        found = edges if found is None else found.unionByName(edges)
+        if not crowded:
+            break
+        rows = cut(dealt.join(large, "key", "left_semi"), narrow=False)
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -325,24 +388,12 @@ def _hub_pairs(members: DataFrame, least: float) -> DataFrame:
         ok = (cid != cid[hub]) & may_be_similar(f, f[hub], n, n[hub], least)
         return pa.RecordBatch.from_arrays([pa.array(cid[hub[ok]]), pa.array(cid[ok])], names=["a", "b"])
 
+    def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [*(batch.column(i).to_numpy() for i in range(3)), _words(batch.column(3))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []  # pieces of the last entry, which the next batch may go on with
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [*(batch.column(i).to_numpy() for i in range(3)), _words(batch.column(3))]
-            cut_at = int(np.searchsorted(now[0], now[0][-1]))
-            if cut_at == 0 and held and held[0][0][0] == now[0][0]:
-                held.append(now)
-                continue
-            if cut_at:
-                done = [np.concatenate(c) for c in zip(*held, [c[:cut_at] for c in now])]
-                yield pairs(*done)
-            elif held:
-                yield pairs(*(np.concatenate(c) for c in zip(*held)))
-            held = [[c[cut_at:].copy() for c in now]]
-        if held:
-            yield pairs(*(np.concatenate(c) for c in zip(*held)))
+        for one in whole_runs(batches, arrays):
+            yield pairs(*one)
         release_memory()
 
     return small_batches(members).mapInArrow(run, "a bigint, b bigint")

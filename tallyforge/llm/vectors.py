@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import connected_components, cut, map_batches, shuffle_partitions
+from tallyforge.llm.common import connected_components, cut, least_roots, map_batches, shuffle_partitions
 
 #: Passes, hashes that one pass concatenates, neighbours that a vector is compared with on either side.
 PASSES, HASHES, WINDOW = 8, 60, 48
@@ -93,19 +93,6 @@ def _numbered(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, fields + ", seq bigint")
 
 
-def _local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    root = np.arange(n)
-    while True:
-        least = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
-        new = new[new]
-        if np.array_equal(new, root):
-            return root
-        root = new
-
-
 def _block_edges(table: pa.Table, cosine: float, kind: str) -> pa.Table:
     """Edges that connect what links verified among all pairs of one block, of the same pass and label."""
     key = np.array(table["pass"].to_pylist()), np.array(table["label"].to_pylist(), object)
@@ -124,7 +111,7 @@ def _block_edges(table: pa.Table, cosine: float, kind: str) -> pa.Table:
             a.append(i[same])
             b.append(j[same])
     i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-    root = _local_components(len(cid), i, j) if len(i) else np.arange(len(cid))
+    root = least_roots(len(cid), i, j) if len(i) else np.arange(len(cid))
     moved = np.nonzero(root != np.arange(len(cid)))[0]
     return pa.table({"a": pa.array(cid[root[moved]], pa.int64()), "b": pa.array(cid[moved], pa.int64())})
 

@@ -30,7 +30,7 @@ def test_shared_dir_is_the_sessions_own(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
-@pytest.mark.parametrize("edges", [[], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 40)], [(1, 2), (2, 1), (5, 5), (9, 7), (8, 7)]])
+@pytest.mark.parametrize("edges", [[], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 40)], [(i, 900) for i in range(700)] + [(0, 901), (902, 1)], [(1, 2), (2, 1), (5, 5), (9, 7), (8, 7)]])
 def test_components(spark, edges):
     df = spark.createDataFrame([*edges, (None, 3), (4, None)], "a long, b long")
     got = {r.node: r.component for r in connected_components(df).collect()}
@@ -73,18 +73,36 @@ def test_fingerprints_and_groups(spark, docs):
     assert simhash.near_duplicates(docs([])).count() == 0
 
 
-def test_planted_distances_link(spark):
+@pytest.mark.parametrize("full", [1024, 40, 4])
+def test_planted_distances_link(spark, full):
+    """Entries of more than ``full`` rows go down to the second and third level."""
     r = random.Random(4)
     base = [r.getrandbits(64) for _ in range(50)]
     every = base + [b ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for b in base] + [b ^ 0b111 for b in base[:10]]
+    for shift in (0, 24, 32):  # groups that share a segment, some of them links and some chains of links
+        every += [base[shift] ^ ((1 << r.randrange(32) | 1 << r.randrange(32) | 1 << r.randrange(32)) << shift) for _ in range(60)]
     signed = sorted({x - (1 << 64) if x >> 63 else x for x in every})
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    got = {x.node: x.component for x in connected_components(simhash.link_edges(df)).collect()}
+    got = {x.node: x.component for x in connected_components(simhash.link_edges(df, full)).collect()}
     close = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2]
     want = components(signed, close)
     assert {n: got.get(n, n) for n in signed} == want
 
 
+def test_tables_are_keyed_by_segments(spark):
+    """33 entries for either segment, its own value among them; the halves of a free segment on the next level."""
+    fp = 0x0123456789ABCDEF
+    df = spark.createDataFrame([(0, fp, 0, True), (0, fp ^ 1, 0, True)], "key long, fp long, free int, own boolean")
+    rows = simhash._deal(df, 0).collect()
+    assert len(rows) == 2 * 66 and sum(x.own for x in rows) == 4
+    entries = {x.key for x in rows if x.fp == fp}
+    assert len(entries) == 66
+    assert len({x.key for x in rows if x.fp == fp and x.own} & {x.key for x in rows if x.fp == fp ^ 1}) == 2
+    assert {x.free for x in rows} == {0, 32}
+    below = simhash._deal(spark.createDataFrame([(7, fp, 32, True), (7, fp, 32, False)], df.schema), 1).collect()
+    assert len(below) == 2 * 34 and sum(x.own for x in below) == 2 and {x.free for x in below} == {32, 48}
+
+
 def edited(words, share, r):
     out = list(words)
     for i in r.sample(range(len(out)), max(1, int(share * len(out)))):

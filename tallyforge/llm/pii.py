@@ -82,7 +82,7 @@ def _confirmed(text: str):
     if not DIGIT.search(text):
         return
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
             yield 1, *m.span()
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12:
@@ -142,7 +142,8 @@ SPAN_TYPE = pa.list_(
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, spans): every span of every whole text, as structs of kind, start, end and score.
 
-    One row per input row, null ids and repeated rows included; a null or empty text has no spans.
+    One row per input row, null ids and repeated rows included; a null or empty text has no spans, an empty table gives an
+    empty one. A text of any length is read whole. Other columns, whatever their names, play no part.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -161,7 +162,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the personal data of its text replaced. All rows and columns stay as they are else."""
+    """``docs`` with the personal data of its text replaced. All rows and columns stay as they are else, whatever their names.
+
+    A null text stays null, an empty one empty; repeated rows stay repeated; an empty table stays empty. Texts are read whole.
+    """
     at = docs.columns.index(text)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

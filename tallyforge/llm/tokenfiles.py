@@ -26,8 +26,8 @@ from tallyforge.llm.pretokens import split
 BLOCK_IDS = 1 << 16
 #: Bytes of text for one shard (a sorted run of blocks, written by one task).
 SHARD_BYTES = 48 << 20
-#: Rows of (doc_id, hash) that the driver draws to place the shard bounds.
-BOUND_SAMPLE = 20_000
+#: Shards at most, and rows (doc_id, hash, number) that the driver draws for each of them to place their bounds: 10^6 rows at most.
+MOST_SHARDS, DRAWN = 50_000, 20
 #: Characters of texts encoded at a time.
 STEP_CHARS = 8 << 20
 
@@ -69,7 +69,7 @@ def unpack(payload: bytes, width: int, first: int, n: int) -> np.ndarray:
 
 
 class Encoder:
-    """A tokenizers file with byte-level words, each distinct one encoded once. Strings of special tokens count as plain text."""
+    """A tokenizers file with byte-level words, each distinct one encoded once. Strings of added tokens get those tokens' ids, as in the library."""
 
     held: dict[str, Encoder] = {}
 
@@ -78,8 +78,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
+        #: texts with one of these are left to the library as a whole
+        self.added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.vocabulary = self.tokenizer.get_vocab_size()
         #: the letter that byte-level vocabularies write for each byte: printable ones for themselves, the others from 256 on
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -110,21 +111,24 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as numbers of type ``small``."""
-        return self.memo.texts(texts)
+        special = [i for i, t in enumerate(texts) if any(x in t for x in self.added)]
+        if not special:
+            return self.memo.texts(texts)
+        apart = set(special)
+        plain = iter(self.memo.texts([t for i, t in enumerate(texts) if i not in apart]))
+        whole = iter(self.tokenizer.encode_batch([texts[i] for i in special], add_special_tokens=False))
+        return [np.array(next(whole).ids, self.small).tobytes() if i in apart else next(plain) for i in range(len(texts))]
 
 
 def _bounds(docs: DataFrame) -> list[tuple]:
-    """Shard bounds over (doc_id, text hash), from a drawn sample of at most about BOUND_SAMPLE rows."""
-    n = docs.count()
-    if not n:
-        return []
-    drawn = docs.where(F.rand(7) < min(1.0, BOUND_SAMPLE / n)).select("doc_id", "h", F.octet_length("text").alias("b")).collect()
-    if not drawn:
+    """Shard bounds over (doc_id, text hash, row), from a drawn sample of about DRAWN rows for each shard."""
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    shards = max(1, min(MOST_SHARDS, round((size or 0) / SHARD_BYTES)))
+    if shards == 1:
         return []
-    size = sum(r.b or 0 for r in drawn) / len(drawn) * n
-    shards = max(1, min(50_000, len(drawn) // 2, round(size / SHARD_BYTES)))
-    keys = sorted((r.doc_id is not None, r.doc_id or 0, r.h) for r in drawn)
-    return [keys[len(keys) * i // shards] for i in range(1, shards)]
+    drawn = docs.where(F.rand(7) < min(1.0, DRAWN * shards / n)).select("doc_id", "h", "r").collect()
+    keys = sorted((r.doc_id is not None, r.doc_id or 0, r.h, r.r) for r in drawn)
+    return sorted({keys[len(keys) * i // shards] for i in range(1, shards)}) if keys else []
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
@@ -133,29 +137,31 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     The tokenizer is a byte-level one that splits texts by ``pretokens.PATTERN``.
 
     Null texts count as empty, null ids come first, rows that share an id follow each other by the hash of
-    their text. An empty table writes an empty file set.
+    their text; equal rows may lie in several shards. Texts of any length are encoded whole, a long one being a block of its own.
+    Other columns, whatever their names, play no part. An empty table writes an empty file set.
     """
-    docs = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("r"))
     docs = docs.withColumn("h", F.xxhash64("text"))
     bounds = _bounds(docs)
 
     def encode(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, texts, hashes = (batch.column(i).to_pylist() for i in range(3))
+        ids, texts, hashes, numbers = (batch.column(i).to_pylist() for i in range(4))
         encoder = Encoder.at(tokenizer)
         end = np.array([end_id], encoder.small).tobytes()
         for a, b in slices([len(t) for t in texts], STEP_CHARS):
             made = [x + end for x in encoder.encode(texts[a:b])]
-            shard = [bisect_right(bounds, (d is not None, d or 0, h)) for d, h in zip(ids[a:b], hashes[a:b])]
+            shard = [bisect_right(bounds, (d is not None, d or 0, h, r)) for d, h, r in zip(ids[a:b], hashes[a:b], numbers[a:b])]
             blobs = [pa.compress(x, codec="zstd", asbytes=True) for x in made]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(shard, pa.int32()),
                     pa.array(ids[a:b], pa.int64()),
                     pa.array(hashes[a:b], pa.int64()),
+                    pa.array(numbers[a:b], pa.int64()),
                     pa.array([len(x) // encoder.small.itemsize for x in made], pa.int64()),
                     pa.array(blobs, pa.binary()),
                 ],
-                names=["shard", "doc_id", "h", "n", "ids"],
+                names=["shard", "doc_id", "h", "r", "n", "ids"],
             )
 
     def encode_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +180,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 [
                     {
                         "shard": state["shard"], "block": state["block"], "first": state["first"], "n_ids": len(flat),
-                        "width": width, "doc_ids": state["docs"], "ends": state["ends"], "payload": pack(flat, width),
+                        "width": width, "low": min((d for d in state["docs"] if d is not None), default=None),
+                        "high": state["docs"][-1], "doc_ids": state["docs"], "ends": state["ends"], "payload": pack(flat, width),
                     }
                 ],
                 schema=BLOCK_SCHEMA,
@@ -183,7 +190,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             return out
 
         for batch in batches:
-            for shard, doc_id, n, blob in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4))):
+            for shard, doc_id, n, blob in zip(*(batch.column(i).to_pylist() for i in (0, 1, 4, 5))):
                 if shard != state["shard"]:
                     if state["held"]:
                         yield close()
@@ -198,19 +205,20 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if state["held"]:
             yield close()
 
-    encoded = docs.select("doc_id", "text", "h").mapInArrow(
-        encode_all, "shard int, doc_id bigint, h bigint, n bigint, ids binary"
+    encoded = docs.select("doc_id", "text", "h", "r").mapInArrow(
+        encode_all, "shard int, doc_id bigint, h bigint, r bigint, n bigint, ids binary"
     )
-    placed = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "h")
+    placed = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "h", "r")
     placed.mapInArrow(
         blocks,
-        "shard int, block int, first bigint, n_ids bigint, width int, doc_ids array<bigint>, ends array<bigint>, payload binary",
+        "shard int, block int, first bigint, n_ids bigint, width int, low bigint, high bigint, doc_ids array<bigint>, ends array<bigint>, payload binary",
     ).write.option("compression", "zstd").parquet(path)
 
 
 BLOCK_SCHEMA = pa.schema(
     [
         ("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()),
+        ("low", pa.int64()), ("high", pa.int64()),
         ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("payload", pa.binary()),
     ]
 )
@@ -253,8 +261,9 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = False) -> DataF
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
-    """The ids of the documents with this id (several if it repeats): only their own bits are unpacked."""
-    hits = spark.read.parquet(path).where(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).orderBy("shard", "block")
+    """The ids of the documents with this id (several if it repeats): only their own bits are unpacked, and of the other blocks no more is read than their least and greatest doc_id."""
+    there = (F.col("low") <= doc_id) & (F.col("high") >= doc_id)
+    hits = spark.read.parquet(path).where(there & F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).orderBy("shard", "block")
     found = []
     for b in hits.toLocalIterator():
         for i, d in enumerate(b.doc_ids):

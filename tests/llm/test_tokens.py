@@ -112,15 +112,18 @@ def test_id_width():
     assert [tokenfiles.id_width(n) for n in (1, 2, 3, 256, 257, 50257, 65536)] == [1, 1, 2, 8, 9, 16, 16]
 
 
-def test_token_files(spark, docs, tmp_path):
+@pytest.mark.parametrize("shard_bytes", [tokenfiles.SHARD_BYTES, 2000])
+def test_token_files(spark, docs, tmp_path, monkeypatch, shard_bytes):
+    monkeypatch.setattr(tokenfiles, "SHARD_BYTES", shard_bytes)
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = [(i * 3, t) for i, t in enumerate(ODD + fuzz(200, 60) + ["long words here " * 3000])] + [(2, None), (None, "first"), (2, "b"), (2, "b")]
+    rows += [(5000 + i, t) for i, t in enumerate(["<|endoftext|>", "a <|endoftext|><|endoftext|> b", "<|endoftext", "x<|endoftext|>y" * 50])]
+    rows += [(7000, "one document many times")] * 300
     random.Random(1).shuffle(rows)
     where = str(tmp_path / "tokens")
     tokenfiles.write_token_files(docs(rows).repartition(3), where, path)
     out = tokenfiles.read_token_files(spark, where, ids=True).orderBy("start").collect()
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     encode = lambda t: tok.encode(t or "", add_special_tokens=False).ids + [0]
     assert [r.doc_id for r in out] == sorted((r[0] for r in rows), key=lambda d: (d is not None, d or 0))
     assert sorted(map(tuple, (r.ids for r in out))) == sorted(tuple(encode(t)) for _, t in rows)
@@ -129,7 +132,11 @@ def test_token_files(spark, docs, tmp_path):
         assert (r.start, r.n_tokens) == (at, len(r.ids)) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
         at += r.n_tokens
     assert tokenfiles.read_document(spark, where, 0) == [encode(ODD[0])] and len(tokenfiles.read_document(spark, where, 2)) == 3
+    assert tokenfiles.read_document(spark, where, 5001) == [encode("a <|endoftext|><|endoftext|> b")] and 50256 in encode("<|endoftext|>")
     blocks = spark.read.parquet(where)
+    assert (blocks.select("shard").distinct().count() == 1) == (shard_bytes != 2000)
+    if shard_bytes == 2000:  # copies of one document are split
+        assert blocks.where("low = 7000 and high = 7000").select("shard").distinct().count() > 1
     assert blocks.where("n_ids > 65536 * 2").count() == 0 and blocks.first().width == 16
     empty = str(tmp_path / "empty")
     tokenfiles.write_token_files(docs([]), empty, path)

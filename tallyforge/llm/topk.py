@@ -18,15 +18,15 @@ SCORES = 1 << 22
 
 
 def whole_numbers(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
-    """Rows (id, v, top): floor(scale * x) of each component as packed 64-bit numbers, and the largest of them.
+    """Rows (id, v, top, row): floor(scale * x) of each component as packed 64-bit numbers, the largest of them, a number for each row.
 
     Rows whose id or vector is null, or whose vector is empty or holds a null or non-finite component, are
-    left out; repeated rows count once.
+    left out; repeated rows are rows like any other.
     """
     x = F.col(vector).cast("array<double>")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     ok = F.col(id_col).isNotNull() & (F.size(x) > 0) & ~bad
-    rows = vectors.where(ok).select(F.col(id_col).cast("long").alias("id"), x.alias("x")).distinct()
+    rows = vectors.where(ok).select(F.col(id_col).cast("long").alias("id"), x.alias("x"), F.monotonically_increasing_id().alias("row"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         col = batch.column(1)
@@ -34,18 +34,19 @@ def whole_numbers(vectors: DataFrame, id_col: str = "vec_id", vector: str = "emb
         flat = np.floor(col.values.to_numpy() * scale).astype(np.int64)
         packed = [flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
         top = [int(np.abs(flat[a:b]).max()) for a, b in zip(ends[:-1], ends[1:])]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(top, pa.int64())], names=["id", "v", "top"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(top, pa.int64()), batch.column(2)], names=["id", "v", "top", "row"])
 
-    return map_batches(rows, run, "id bigint, v binary, top bigint")
+    return map_batches(rows, run, "id bigint, v binary, top bigint, row bigint")
 
 
 class QueryBlock:
     """Query vectors by dimension, and the range in which each one's k-th best score is sought."""
 
     def __init__(self, rows: list, k: int, top: int) -> None:
-        rows = sorted(rows, key=lambda r: (len(r.v), r.id, bytes(r.v)))
+        rows = sorted(rows, key=lambda r: (len(r.v), r.id, r.row))
         self.k = k
         self.ids = np.array([r.id for r in rows], np.int64)
+        self.rows = np.array([r.row for r in rows], np.int64)
         self.dims = np.array([len(r.v) // 8 for r in rows])
         self.groups = {
             int(d): (np.nonzero(self.dims == d)[0], np.array([np.frombuffer(r.v, np.int64) for r in rows if len(r.v) == 8 * d]))
@@ -62,8 +63,8 @@ class QueryBlock:
         self.need = np.full(len(rows), k, np.int64)
 
     def scored(self, batch: pa.RecordBatch):
-        """(query numbers, candidate ids, scores with a row per query), the query's own rows marked by a mask."""
-        ids = batch.column(0).to_numpy()
+        """(query numbers, candidate ids, scores with a row per query, mask that leaves out the query's own row)."""
+        ids, numbers = batch.column(0).to_numpy(), batch.column(3).to_numpy()
         blobs = batch.column(1).to_pylist()
         size = np.array([len(b) // 8 for b in blobs])
         for d, (at, q) in self.groups.items():
@@ -76,7 +77,7 @@ class QueryBlock:
                     s = (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
                 else:
                     s = q @ x.T
-                yield at, ids[some], s, self.ids[at][:, None] != ids[some][None, :]
+                yield at, ids[some], s, self.rows[at][:, None] != numbers[some][None, :]
 
     def histogram(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         """The upper bins of each query's scores in this batch, down to where k of them are reached.
@@ -111,7 +112,7 @@ class QueryBlock:
 
     def best(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         """All scores above the k-th best, and of those equal to it the k with the smallest ids."""
-        out = [], [], []
+        out = [], [], [], []
         for at, ids, s, other in self.scored(batch):
             kth = self.low[at][:, None]
             q, c = np.nonzero((s > kth) & other)
@@ -120,11 +121,11 @@ class QueryBlock:
             eq, ec = eq[order], ec[order]
             first = np.arange(len(eq)) - np.searchsorted(eq, eq) < self.k
             q, c = np.concatenate([q, eq[first]]), np.concatenate([c, ec[first]])
-            for held, new in zip(out, (self.ids[at][q], ids[c], s[q, c])):
+            for held, new in zip(out, (self.rows[at][q], self.ids[at][q], ids[c], s[q, c])):
                 held.append(new)
         if not out[0]:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["query_id", "id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["query", "query_id", "id", "score"])
 
 
 def top_k(
@@ -132,20 +133,20 @@ def top_k(
 ) -> DataFrame:
     """For each row whose id is divisible by ``every``: its k highest integer inner products with all other rows.
 
-    Rows (query_id, rank from 1, id, score), ties by the smaller id. Rows that share the query's id are its
-    own; vectors of another length don't compare; with fewer than k candidates all are given. Queries are
+    Rows (query_id, rank from 1, id, score), ties by the smaller id. Every row but the query's own is a candidate, also one that repeats
+    its id, and rows that repeat a query are queries too; vectors of another length don't compare; with fewer than k candidates all are given. Queries are
     taken in hashed blocks of about QUERY_BLOCK: each block scores all candidates, and rounds of global
     histograms narrow the range of every k-th best score down to one value. An empty table, or
     one without queries, gives an empty result.
     """
     spark = vectors.sparkSession
-    rows = cut(whole_numbers(vectors, id_col, vector))
+    rows = cut(whole_numbers(vectors, id_col, vector))  # so the numbers of rows hold from here on
     queries = rows.where(F.col("id") % every == 0)
     n, top = queries.count(), rows.agg(F.max("top")).first()[0]
     found = spark.createDataFrame([], "query_id long, rank int, id long, score long")
     blocks = -(-n // QUERY_BLOCK)
     for b in range(blocks):
-        mine = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()  # about QUERY_BLOCK rows
+        mine = queries.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).collect()  # about QUERY_BLOCK rows
         if not mine:
             continue
         block = QueryBlock(mine, k, top)
@@ -160,9 +161,9 @@ def top_k(
             if block.done:
                 break
         held = spark.sparkContext.broadcast(block)
-        kept = map_batches(rows, lambda x, h=held: h.value.best(x), "query_id long, id long, score long")
-        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-        ranked = kept.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")
+        kept = map_batches(rows, lambda x, h=held: h.value.best(x), "query long, query_id long, id long, score long")
+        order = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
+        ranked = kept.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").drop("query")
         found = found.unionByName(cut(ranked) if blocks > 1 else ranked)
     return found
 
@@ -173,8 +174,8 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same over the whole table; sums of products stay below 2^53, where doubles are exact.
-ORACLE = """WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+ORACLE = """WITH v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
     WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
-    WHERE q.vec_id % 50 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+    s AS (SELECT q.n AS q, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.n <> c.n AND len(q.v) = len(c.v)
+    WHERE q.vec_id % 50 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""

@@ -257,12 +257,15 @@ def test_top_k(spark, monkeypatch):
     g = np.random.default_rng(1)
     rows = [(i, [float(x) for x in g.standard_normal(8)]) for i in range(200)] + [(200 + i, [0.5] * 8) for i in range(60)]
     rows += [(500, None), (550, [1.0, None]), (600, [float("inf")] * 8), (None, [1.0] * 8), (650, [1.0, 2.0]), (3, rows[3][1])]
+    rows += [(50, rows[50][1]), (100, [1.0] * 8)]  # a repeated query, and another vector with a query's id
     out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 50).collect()
-    whole = {i: np.floor(256 * np.array(v)).astype(np.int64) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()}
-    for q in [i for i in whole if i % 50 == 0]:
-        same = [(-int(whole[q] @ v), i) for i, v in whole.items() if i != q and len(v) == len(whole[q])]
-        want = [(k, i, -s) for k, (s, i) in enumerate(sorted(same)[:5], 1)]
-        assert sorted((r["rank"], r["id"], r["score"]) for r in out if r.query_id == q) == want, q
+    whole = [(i, np.floor(256 * np.array(v)).astype(np.int64)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
+    want = []
+    for a, (q, x) in enumerate(whole):
+        if q % 50 == 0:
+            same = sorted((-int(x @ v), i) for b, (i, v) in enumerate(whole) if b != a and len(v) == len(x))
+            want += [(q, k, i, -s) for k, (s, i) in enumerate(same[:5], 1)]
+    assert sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in out) == sorted(want)
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>"), 5, 50).count() == 0
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import ceil, log2
+from math import acos, ceil, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import connected_components, cut, least_roots, map_batches, shuffle_partitions
 
-#: Passes, hashes that one pass concatenates, neighbours that a vector is compared with on either side.
-PASSES, HASHES, WINDOW = 8, 60, 48
-#: Sorted rows that one comparison block holds, besides the window that follows them.
-BLOCK = 2048
-#: Members of a component that meet in one tile.
+#: Passes, hashes that one pass concatenates to sort by, and further ones that only sift.
+PASSES, HASHES, SIFT = 8, 60, 64
+#: Sorted rows that one comparison block holds; the next one starts at its middle.
+BLOCK = 1024
+#: Rows of a partition of a sorted pass, about.
+PART = 1 << 16
+#: Members of a component, or of a long run, that meet in one tile.
 TILE = 1024
 #: Members of a run of equal signature prefixes, on average, and rows of a block that are compared at once.
 RUN, ROWS_AT_ONCE = 256, 512
@@ -56,48 +58,87 @@ def _rows(vectors: DataFrame, id_col: str, vector: str, label: str, kind: str) -
 
 
 def _signatures(classes: DataFrame, passes: int, seed: int, kind: str) -> DataFrame:
-    """A row for each class and pass: its sign hashes in that pass, concatenated to one number."""
+    """A row (grp, sig, sift, cid) for each class and pass: a number for pass and label, its sign hashes to sort by, and others to sift."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
+        weights = [1 << np.arange(k - 1, -1, -1, dtype=np.uint64) for k in (HASHES, SIFT)]
         for batch in batches:
             blobs = batch.column(2).to_pylist()
             dims = np.array([len(b) // np.dtype(kind).itemsize for b in blobs], np.int64)
             for d in np.unique(dims):
                 mine = np.nonzero(dims == d)[0]
                 if d not in planes:
-                    planes[d] = np.random.default_rng((seed, int(d))).standard_normal((int(d), passes * HASHES))
-                signs = (_unit([blobs[i] for i in mine], kind) @ planes[d] > 0).reshape(len(mine), passes, HASHES)
-                sig = signs.astype(np.int64) @ (1 << np.arange(HASHES - 1, -1, -1, dtype=np.int64))
+                    planes[d] = np.random.default_rng((seed, int(d))).standard_normal((int(d), passes * (HASHES + SIFT)))
+                signs = (_unit([blobs[i] for i in mine], kind) @ planes[d] > 0).reshape(len(mine), passes, HASHES + SIFT).astype(np.uint64)
+                sig, sift = (signs[:, :, a:b] @ w for (a, b), w in zip(((0, HASHES), (HASHES, HASHES + SIFT)), weights))
                 part = batch.take(pa.array(mine))
                 for p in range(passes):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(mine), p), pa.int32()), part.column(1), pa.array(sig[:, p]), part.column(0), part.column(2)],
-                        names=["pass", "label", "sig", "cid", "v"],
+                        [pa.array(np.full(len(mine), p), pa.int32()), part.column(1), *(pa.array(x[:, p].view(np.int64)) for x in (sig, sift)), part.column(0)],
+                        names=["pass", "label", "sig", "sift", "cid"],
                     )
 
-    return classes.select("cid", "label", "v").mapInArrow(run, "pass int, label string, sig bigint, cid bigint, v binary")
+    made = classes.select("cid", "label", "v").mapInArrow(run, "pass int, label string, sig bigint, sift bigint, cid bigint")
+    return made.select(F.xxhash64("pass", "label").alias("grp"), "sig", "sift", "cid")
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """Adds seq, the number of a row within its partition."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+def most_flips(cosine: float) -> int:
+    """Hashes in which two vectors of this cosine differ at most (but for 1 pair in 30000): 4 deviations over the mean."""
+    p = acos(min(1.0, cosine)) / pi
+    return ceil((HASHES + SIFT) * p + 4 * sqrt((HASHES + SIFT) * p * (1 - p)))
+
+
+def _sifted(placed: DataFrame, flips: int) -> DataFrame:
+    """Rows (kind, x, cid) of ``placed`` (grp, sig, sift, cid, sorted) with a row in their block (kind 0, number x) that may be near them.
+
+    All pairs of a block are compared by their hashes. The rows at either end of a partition, which neighbours in the next one may
+    be near to, are given as they are (kind 1, x being the later partition).
+    """
+    half = BLOCK // 2
+
+    def near(rows: np.ndarray) -> np.ndarray:
+        hit = np.zeros(len(rows), bool)
+        grp, sig, sift = rows[:, 0], rows[:, 1], rows[:, 2]
+        for a in range(0, len(rows), ROWS_AT_ONCE):
+            i = slice(a, a + ROWS_AT_ONCE)
+            apart = np.bitwise_count(sig[i, None] ^ sig[None, a:]) + np.bitwise_count(sift[i, None] ^ sift[None, a:])
+            found = np.triu((apart <= flips) & (grp[i, None] == grp[None, a:]), 1)
+            hit[i] |= found.any(axis=1)
+            hit[a:] |= found.any(axis=0)
+        return hit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = 0
-        for b in batches:
-            seq = pa.array(np.arange(at, at + b.num_rows), pa.int64())
-            at += b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, seq], names=[*b.schema.names, "seq"])
+        from pyspark import TaskContext
 
-    return df.mapInArrow(run, fields + ", seq bigint")
+        part = TaskContext.get().partitionId()
+        held, block, begun = np.empty((0, 4), np.uint64), 0, 0
+
+        def out(kind: int, x: int, cid: np.ndarray) -> pa.RecordBatch:
+            n = len(cid)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, kind), pa.int32()), pa.array(np.full(n, x), pa.int64()), pa.array(cid.view(np.int64))], names=["kind", "x", "cid"]
+            )
+
+        for batch in batches:
+            new = np.stack([c.to_numpy().view(np.uint64) for c in batch.columns], axis=1)
+            if part and begun < half and len(new):
+                yield out(1, part, new[: half - begun, 3].copy())
+            begun += len(new)
+            held = np.concatenate([held, new])
+            while len(held) > BLOCK:
+                yield out(0, part << 32 | block, held[:BLOCK][near(held[:BLOCK]), 3])
+                held, block = held[half:], block + 1
+        if len(held):
+            yield out(0, part << 32 | block, held[near(held), 3])
+            yield out(1, part + 1, held[-half:, 3].copy())
+
+    return placed.select("grp", "sig", "sift", "cid").mapInArrow(run, "kind int, x bigint, cid bigint")
 
 
 def _block_edges(table: pa.Table, cosine: float, kind: str) -> pa.Table:
-    """Edges that connect what links verified among all pairs of one block, of the same pass and label."""
-    key = np.array(table["pass"].to_pylist()), np.array(table["label"].to_pylist(), object)
-    cid = table["cid"].to_numpy()
-    blobs = table["v"].to_pylist()
+    """Edges that connect what links verified among all pairs of one block that have the same label."""
+    label, cid, blobs = np.array(table["label"].to_pylist(), object), table["cid"].to_numpy(), table["v"].to_pylist()
     dims = np.array([len(b) for b in blobs])
     a, b = [], []
     for d in np.unique(dims):
@@ -107,48 +148,34 @@ def _block_edges(table: pa.Table, cosine: float, kind: str) -> pa.Table:
             i, j = np.nonzero(x[start : start + ROWS_AT_ONCE] @ x[start:].T >= cosine)
             upper = i < j
             i, j = at[start + i[upper]], at[start + j[upper]]
-            same = (key[0][i] == key[0][j]) & (key[1][i] == key[1][j])
+            same = label[i] == label[j]
             a.append(i[same])
             b.append(j[same])
     i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-    root = least_roots(len(cid), i, j) if len(i) else np.arange(len(cid))
+    root = least_roots(len(cid), i, j)
     moved = np.nonzero(root != np.arange(len(cid)))[0]
     return pa.table({"a": pa.array(cid[root[moved]], pa.int64()), "b": pa.array(cid[moved], pa.int64())})
 
 
-def _passes(classes: DataFrame, cosine: float, passes: int, window: int, seed: int, kind: str) -> DataFrame:
-    """Edges from all passes. Each is sorted over the whole table and dealt in blocks of equal length, all pairs of which are compared.
+def _passes(classes: DataFrame, cosine: float, passes: int, seed: int, kind: str) -> DataFrame:
+    """Edges from all passes, each sorted over the whole table by its hashes and dealt in overlapping blocks.
 
-    So are, in tiles, those of a run of equal signature prefixes that is longer than the window and lies in several blocks.
+    Only hashes are sorted. Vectors go to the blocks in which their hashes are near those of others, and there all pairs are verified.
+    So are, in tiles, the pairs of a run of equal signature prefixes that may be longer than what two blocks share.
     """
-    n = shuffle_partitions(classes.sparkSession)
-    placed = _signatures(classes, passes, seed, kind).repartitionByRange(n, "pass", "label", "sig", "cid")
-    placed = _numbered(placed.sortWithinPartitions("pass", "label", "sig", "cid")).withColumn("part", F.spark_partition_id())
-    placed = cut(placed)
-    counts = dict(placed.groupBy("part").count().collect())  # one number per task
-    before, at = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        before.append(at)
-        at += counts.get(p, 0)
-    if not at:
-        return classes.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
-    rank = F.get(F.array(*map(F.lit, before)), F.col("part")).cast("long") + F.col("seq")
-    ranked = placed.withColumn("rank", rank)
-    block = F.floor(F.col("rank") / BLOCK).cast("long")
-    # a row also follows the block before its own if that block's last rows reach it
-    own = F.when((F.col("rank") % BLOCK < window) & (F.col("rank") >= BLOCK), F.array(block, block - 1)).otherwise(F.array(block))
-    dealt = ranked.withColumn("block", F.explode(own)).select("block", "pass", "label", "cid", "v")
-    edges = dealt.groupBy("block").applyInArrow(lambda t: _block_edges(t, cosine, kind), "a bigint, b bigint")
-    bits = min(HASHES, max(0, ceil(log2(at / passes / RUN))))
-    run = ["pass", "label", "prefix"]
-    ranked = ranked.withColumn("prefix", F.shiftright("sig", HASHES - bits))
-    spans = ranked.groupBy(*run).agg(F.count("*").alias("m"), F.min(block).alias("low"), F.max(block).alias("high"))
-    long = spans.where((F.col("m") > window) & (F.col("high") > F.col("low"))).select(*run, F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    rows = ranked.join(long, run).withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
+    total = passes * classes.count()
+    parts = max(1, min(shuffle_partitions(classes.sparkSession), total // PART))
+    sigs = _signatures(classes, passes, seed, kind)
+    placed = sigs.repartitionByRange(parts, "grp", "sig", "cid").sortWithinPartitions("grp", "sig", "cid")
+    blocks = _sifted(placed, most_flips(cosine)).withColumns({"t1": F.lit(0), "t2": F.lit(0)})
+    bits = min(HASHES, max(0, ceil(log2(max(1, total / passes / RUN)))))
+    runs = sigs.select(F.xxhash64("grp", F.shiftright("sig", HASHES - bits)).alias("x"), "cid")
+    long = runs.groupBy("x").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK // 2).select("x", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
+    rows = runs.join(long, "x").withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.withColumns({"t1": F.least("tile", "other"), "t2": F.greatest("tile", "other")}).select(*run, "t1", "t2", "cid", "v")
-    tiled = rows.groupBy(*run, "t1", "t2").applyInArrow(lambda t: _block_edges(t, cosine, kind), "a bigint, b bigint")
-    return edges.unionByName(tiled).distinct()
+    tiled = rows.select(F.lit(2).alias("kind"), "x", "cid", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"))
+    met = cut(blocks.unionByName(tiled)).join(classes.select("cid", "label", "v"), "cid")
+    return met.groupBy("kind", "x", "t1", "t2").applyInArrow(lambda t: _block_edges(t, cosine, kind), "a bigint, b bigint").distinct()
 
 
 def _counted(table: pa.Table, cosine: float, kind: str) -> pa.Table:
@@ -210,27 +237,26 @@ def near_duplicates(
     vector: str = "embedding",
     label: str = "label",
     passes: int = PASSES,
-    window: int = WINDOW,
     seed: int = 42,
 ) -> DataFrame:
     """Rows (id, n_links, component, kept) for every vector; only vectors with equal labels compare.
 
-    Equal vectors collapse to one class first, so copies never fill a window. Each pass orders
+    Equal vectors collapse to one class first, so copies never fill a block. Each pass orders
     the classes by label and concatenated random hashes and compares all pairs of a block of neighbours and of any
     longer run of equal hashes; verified links of all passes are united. Links are then counted over all pairs
-    of a component, in tiles, so that a group larger than a window loses none.
+    of a component, in tiles, so that a group larger than a block loses none.
 
     Rows whose id, label or vector is null, or whose vector is empty, zero or holds a null or non-finite component,
     link with nothing: n_links 0, their own id as component. Repeated rows are copies of each other. An
     empty table gives an empty one. Vectors of different lengths don't link.
     """
     kind = "<f4" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
-    rows = cut(_rows(vectors, id_col, vector, label, kind), narrow=False)
+    rows = _rows(vectors, id_col, vector, label, kind)
     grouped = rows.where("digest is not null").groupBy("digest").agg(
         F.min("id").alias("least"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")
     )
     classes = cut(grouped.withColumn("cid", F.monotonically_increasing_id()))
-    nodes = connected_components(_passes(classes, cosine, passes, window, seed, kind))
+    nodes = connected_components(_passes(classes, cosine, passes, seed, kind))
     members = cut(classes.join(nodes.withColumnRenamed("node", "cid"), "cid"))
     roots = members.groupBy("component").agg(F.min("least").alias("root"))
     linked = members.select("cid", "component").join(roots, "component").join(_links(members, cosine, kind), "cid", "left")

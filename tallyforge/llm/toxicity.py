@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Each word is seen twice: as a word, and as its character n-grams. Both inputs are codes learned from
-labelled documents (log-odds in hashed tables, cross-fitted while the network is trained). The network
+Each word is seen twice: as a word, and as its character n-grams. Either has an embedding, learned with the
+network by back-propagation (the n-grams' embeddings are averaged), and a code, counted on labelled documents
+(log-odds in hashed tables, cross-fitted while the network is trained). The network
 reads overlapping windows of words in both directions, pools them by attention, and a document's score
 comes from its highest window, over all windows of its whole text.
 """
@@ -24,13 +25,17 @@ from tallyforge.llm.pieces import no_collection, number_words
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 24 << 20
 #: Words of a window, and from one window's start to the next one's.
 WINDOW, STRIDE = 48, 32
-#: Units of each direction, and inputs of a word.
-HIDDEN, INPUTS = 6, 4
-TABLE_BITS = 20
+#: Units of each direction; inputs of a word that are given (codes and a constant), numbers of an embedding, inputs in all.
+HIDDEN, GIVEN, EMBED = 6, 4, 4
+INPUTS = GIVEN + 2 * EMBED
+#: Places of the hashed tables of codes, and of embeddings.
+TABLE_BITS, EMBED_BITS = 20, 13
 #: Training steps at least, where there are few labels.
 LEAST_STEPS = 400
 #: Share of words whose own code is hidden in an epoch of training.
 HIDE_WORDS = 0.3
+#: How fast embeddings are learned, beside the weights, and their pull to zero.
+EMBED_RATE, EMBED_PULL = 0.05, 1e-4
 GRAMS = (3, 4, 5, 6)
 MIN_LOG_ODDS, MAX_LOG_ODDS = -3.0, 6.0
 #: Characters of text, and windows, that are scored at a time.
@@ -98,8 +103,8 @@ class Codes:
         return cls(log_odds(counts[0], counts[1]), log_odds(counts[2], counts[3]))
 
     def inputs(self, words: list[str]) -> np.ndarray:
-        """What the network sees of each word: the word's own code, the highest and mean code of its n-grams, and 1."""
-        out = np.zeros((len(words), INPUTS), np.float32)
+        """What is given of each word: the word's own code, the highest and mean code of its n-grams, and 1."""
+        out = np.zeros((len(words), GIVEN), np.float32)
         out[:, 3] = 1
         for a in range(0, len(words), WORDS_STEP):
             part = words[a : a + WORDS_STEP]
@@ -114,6 +119,47 @@ class Codes:
         return out
 
 
+class Places:
+    """Where the words and their n-grams stand in the tables of embeddings; the n-grams of word i are ``gram[start[i] : start[i + 1]]``."""
+
+    def __init__(self, words: list[str]) -> None:
+        shift = TABLE_BITS - EMBED_BITS
+        own, grams, size = [np.empty(0, np.int32)], [np.empty(0, np.uint16)], [np.empty(0, np.int64)]
+        for a in range(0, len(words), WORDS_STEP):
+            part = words[a : a + WORDS_STEP]
+            codes, owner = gram_codes(part)
+            own.append((word_codes(part) >> shift).astype(np.int32))
+            grams.append((codes >> shift).astype(np.uint16))
+            size.append(np.bincount(owner, minlength=len(part)))
+        self.word, self.gram, self.size = np.concatenate(own), np.concatenate(grams), np.concatenate(size)
+        self.start = np.cumsum(self.size) - self.size
+
+    def grams_of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the n-grams of some words, and the index in ``which`` of each one's word."""
+        n = self.size[which]
+        owner = np.repeat(np.arange(len(which)), n)
+        return self.gram[np.arange(len(owner)) + np.repeat(self.start[which] - np.cumsum(n) + n, n)].astype(np.int64), owner
+
+
+def embedded(p: dict[str, np.ndarray], places: Places, which: np.ndarray) -> np.ndarray:
+    """The embeddings of some words: the word's own, and the mean of its n-grams'."""
+    grams, owner = places.grams_of(which)
+    sums = [np.bincount(owner, p["gram"][grams, k], len(which)) for k in range(EMBED)]
+    mean = np.stack(sums, axis=1) / np.maximum(1, places.size[which])[:, None]
+    return np.concatenate([p["word"][places.word[which]], mean], axis=1).astype(p["word"].dtype)
+
+
+def embedding_gradients(p: dict[str, np.ndarray], places: Places, which: np.ndarray, d_own: np.ndarray, d_mean: np.ndarray) -> dict[str, np.ndarray]:
+    """What the gradients of some words' embeddings say about the tables'."""
+    size = len(p["word"])
+    grams, owner = places.grams_of(which)
+    d_gram = (d_mean / np.maximum(1, places.size[which])[:, None])[owner]
+    return {
+        "word": np.stack([np.bincount(places.word[which], d_own[:, k], size) for k in range(EMBED)], axis=1),
+        "gram": np.stack([np.bincount(grams, d_gram[:, k], size) for k in range(EMBED)], axis=1),
+    }
+
+
 def windows(numbers: np.ndarray, ends: np.ndarray, blank: int) -> tuple[np.ndarray, np.ndarray]:
     """All overlapping windows of each text as rows of word numbers, filled up with ``blank``, and the text of each.
 
@@ -145,6 +191,8 @@ class Network:
         for d in "01":
             self.p["w" + d] = (rng.standard_normal((INPUTS, 3 * h)) * 0.4).astype(f32)
             self.p["u" + d] = (rng.standard_normal((h, 3 * h)) * 0.3).astype(f32)
+        for d in ("word", "gram"):
+            self.p[d] = (rng.standard_normal((1 << EMBED_BITS, EMBED)) * 0.1).astype(f32)
         #: score = sigmoid(scale * highest window + shift); a text without words scores as the share of toxic labels
         self.scale, self.shift, self.share = 1.0, 0.0, 0.0
 
@@ -185,11 +233,12 @@ class Network:
         return (logits, (held, there, states, weight, pooled, saved)) if keep else logits
 
     def gradients(self, table: np.ndarray, rows: np.ndarray, target: np.ndarray, importance: np.ndarray):
-        """The gradients of the mean log loss, by back-propagation through time."""
+        """The gradients of the mean log loss, by back-propagation through time, but for the embeddings'; and those of ``table``."""
         h = HIDDEN
         logits, (held, there, states, weight, pooled, saved) = self.forward(table, rows, keep=True)
         err = ((_sigmoid(logits) - target) * importance / importance.sum()).astype(np.float32)
-        g = {k: np.zeros_like(v) for k, v in self.p.items()}
+        g = {k: np.zeros_like(v) for k, v in self.p.items() if k not in ("word", "gram")}
+        met, at = {"0": [], "1": []}, {"0": [], "1": []}
         g["bias"][0] = err.sum()
         g["out"] = pooled.T @ err
         d_pooled = err[:, None] * self.p["out"][None, :]
@@ -208,9 +257,17 @@ class Network:
             d_gates = np.concatenate([dz, dr, dc], axis=1)
             g[f"u{d}"][:, : 2 * h] += s.T @ d_gates[:, : 2 * h]
             g[f"u{d}"][:, 2 * h :] += (r * s).T @ dc
-            g[f"w{d}"] += table[held[t]].T @ d_gates
+            met[f"{d}"].append(d_gates)
+            at[f"{d}"].append(held[t])
             carried[d] = ds * (1 - z) + d_rs * r + d_gates[:, : 2 * h] @ u[:, : 2 * h].T
-        return g
+        d_table = np.zeros_like(table)
+        for d in "01":
+            if met[d]:
+                words, gates = np.concatenate(at[d]), np.concatenate(met[d])
+                total = np.stack([np.bincount(words, gates[:, k], len(table)) for k in range(3 * h)], axis=1).astype(table.dtype)
+                g[f"w{d}"] += table.T @ total
+                d_table += total @ self.p[f"w{d}"].T
+        return g, d_table
 
     def logits(self, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
         parts = [self.forward(table, rows[a : a + STEP_WINDOWS]) for a in range(0, len(rows), STEP_WINDOWS)]
@@ -225,7 +282,11 @@ class Model:
     def score(self, texts: list[str]) -> np.ndarray:
         """The score of each whole text: all its windows are read."""
         words, numbers, ends = number_words(texts, words_of)
-        table = np.vstack([self.codes.inputs(words), np.zeros((1, INPUTS), np.float32)])
+        table = np.zeros((len(words) + 1, INPUTS), np.float32)
+        for a in range(0, len(words), WORDS_STEP):
+            part = words[a : a + WORDS_STEP]
+            table[a : a + len(part), :GIVEN] = self.codes.inputs(part)
+            table[a : a + len(part), GIVEN:] = embedded(self.network.p, Places(part), np.arange(len(part)))
         rows, owner = windows(numbers, ends, len(words))
         high = np.full(len(texts), -np.inf)
         np.maximum.at(high, owner, self.network.logits(table, rows))
@@ -272,14 +333,14 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, epoc
     inputs = [learn(~half).inputs(words), learn(half).inputs(words)]  # of documents in half, and of the others
     release_memory()
     # one table for both: the words of the second half's documents are numbered after the first's
-    table = np.vstack([*inputs, np.zeros((1, INPUTS), np.float32)])
-    rows, owner = windows(numbers, ends, len(words))
-    blank = rows == len(words)
-    rows = np.where(blank, len(table) - 1, rows + np.where(half[owner], 0, len(words))[:, None]).astype(np.int32)
+    given, n = np.vstack([*inputs, np.zeros((1, GIVEN), np.float32)]), len(words)
+    places = Places(words)
+    rows, owner = windows(numbers, ends, n)
+    rows = np.where(rows == n, 2 * n, rows + np.where(half[owner], 0, n)[:, None]).astype(np.int32)
     order = np.lexsort((rng.random(len(rows)), owner))
     rows, owner = rows[order], owner[order]
     starts = np.nonzero(np.diff(owner, prepend=-1))[0]
-    signal = table[:, 0] + table[:, 1]
+    signal = given[:, 0] + given[:, 1]
     high = np.sort(signal[rows], axis=1)[:, -3:].sum(axis=1)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
     own = labels.mean()
@@ -289,31 +350,47 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, epoc
     batch = int(np.clip(taught // 24, 16, 256))
     epochs = int(np.clip(-(-LEAST_STEPS * batch // taught), epochs, 40))
     balance = (taught - labels.sum()) / labels.sum()  # both classes weigh the same
+
+    def whole_table() -> np.ndarray:
+        e = np.concatenate([embedded(network.p, places, np.arange(a, min(n, a + WORDS_STEP))) for a in range(0, n, WORDS_STEP)] or [np.empty((0, 2 * EMBED))])
+        return np.hstack([given, np.vstack([e, e, np.zeros((1, 2 * EMBED))]).astype(np.float32)])
+
     for epoch in range(epochs):
         if epoch:
-            high = network.logits(table, rows)
+            high = network.logits(whole_table(), rows)
         # per document: its highest window, and for clean ones also a drawn one
         rank = np.lexsort((-high, owner))
         best = rank[starts]
         drawn = starts[labels == 0]  # rows are in drawn order within a document
         chosen = np.concatenate([best, drawn])
         rng.shuffle(chosen)
-        shown = table.copy()  # words unseen so far must be known by their n-grams alone
-        shown[rng.random(len(table)) < HIDE_WORDS, 0] = 0
+        seen = rng.random(2 * n + 1) >= HIDE_WORDS  # words unseen so far must be known by their n-grams alone
         for a in range(0, len(chosen), batch):
             some = chosen[a : a + batch]
             target = labels[owner[some]]
             importance = np.where(target == 1, balance, 1.0)
-            g = network.gradients(shown, rows[some], target, importance)
+            used, local = np.unique(np.append(rows[some].ravel(), 2 * n), return_inverse=True)  # the last one is the blank
+            shown, real = seen[used][:, None], used[:-1] % n
+            table = np.zeros((len(used), INPUTS), np.float32)
+            table[:, :GIVEN] = given[used]
+            table[:-1, GIVEN:] = embedded(network.p, places, real)
+            table[:, [0, *range(GIVEN, GIVEN + EMBED)]] *= shown
+            g, d_table = network.gradients(table, local[:-1].reshape(len(some), -1), target, importance)
+            d_own, d_mean = (d_table[:-1] * shown[:-1])[:, GIVEN : GIVEN + EMBED], d_table[:-1, GIVEN + EMBED :]
+            g |= embedding_gradients(network.p, places, real, d_own, d_mean)
             ticks += 1
             rate = 0.02 * (1 - 0.7 * epoch / epochs)
             for k, v in network.p.items():
                 m, q = moments[k]
+                if k in ("word", "gram"):
+                    g[k] += EMBED_PULL * v
                 m += 0.1 * (g[k] - m)
                 q += 0.01 * (g[k] ** 2 - q)
-                v -= (rate * (m / (1 - 0.9**ticks)) / (np.sqrt(q / (1 - 0.99**ticks)) + 1e-6)).astype(np.float32)
+                step = rate * (EMBED_RATE if k in ("word", "gram") else 1)
+                v -= (step * (m / (1 - 0.9**ticks)) / (np.sqrt(q / (1 - 0.99**ticks)) + 1e-6)).astype(np.float32)
+    table = whole_table()
     top = np.maximum.reduceat(network.logits(table, rows), starts)
-    del table, shown, rows, inputs
+    del table, given, places, rows, inputs
     release_memory()
     network.scale, network.shift = _calibrate(top, labels, np.where(labels == 1, share / own, (1 - share) / (1 - own)))
     return Model(learn(np.ones(len(texts), bool)), network)

@@ -209,9 +209,9 @@ def test_network_gradient():
     table = np.vstack([g.standard_normal((20, toxicity.INPUTS)), np.zeros((1, toxicity.INPUTS))])
     rows = g.integers(0, 21, (6, toxicity.WINDOW))
     y, w = g.integers(0, 2, 6).astype(float), np.ones(6)
-    grads = net.gradients(table, rows, y, w)
+    grads, d_table = net.gradients(table, rows, y, w)
 
-    def loss():
+    def loss(table=table):
         p = toxicity._sigmoid(net.forward(table, rows))
         return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
 
@@ -225,6 +225,27 @@ def test_network_gradient():
         down = loss()
         flat[i] = was
         assert abs((up - down) / (2 * eps) - grads[name].reshape(-1)[i]) < 2e-3, name
+    words = ["alpha", "beta", "a"]  # and on to what the embeddings learn
+    places, which, eps = toxicity.Places(words), np.arange(3), 1e-3
+    at = toxicity.GIVEN, toxicity.GIVEN + toxicity.EMBED
+
+    def filled():
+        out = table.copy()
+        out[:3, at[0] :] = toxicity.embedded(net.p, places, which)
+        return out
+
+    _, d_table = net.gradients(filled(), rows, y, w)
+    made = toxicity.embedding_gradients(net.p, places, which, d_table[:3, at[0] : at[1]], d_table[:3, at[1] :])
+    for name in ("word", "gram"):
+        i = np.unravel_index(np.abs(made[name]).argmax(), made[name].shape)
+        assert abs(made[name][i]) > 1e-4
+        was = net.p[name][i]
+        net.p[name][i] = was + eps
+        up = loss(filled())
+        net.p[name][i] = was - eps
+        down = loss(filled())
+        net.p[name][i] = was
+        assert abs((up - down) / (2 * eps) - made[name][i]) < 2e-3, name
 
 
 def test_models_of_one_class_or_nothing():

@@ -27,21 +27,25 @@ SPELLINGS = (
     ("–", " "),
     ("—", " "),
 )
-COPYRIGHT_LINE = r"(?m)^[\t #*/;-]*(copyright|\(c\)|all rights reserved)[^\n]*$"
 #: Where a notice ends on its line at the latest: the first words of a licence. What may stand before a notice on its line.
 BODIES = (
     "permission is hereby granted", "permission to use, copy", "redistribution and use in", "this software is provided",
     "this is free and unencumbered", "licensed under", "this program is free", "this work is licensed", "released under",
 )
 TITLES = r"(?:the )?(?:mit|isc|zlib|bsd zero clause|bsd [23]-clause) licen[cs]e(?: \(mit\))?"
-#: A real notice: copyright followed by a sign or a year. A body's line that begins with copyright is none.
+#: A real notice: copyright with a sign or a year (or where a template asks for one). A body's line that begins with copyright is none.
 NOTICE = (
-    rf"(?m)^([\t #*/;-]*(?:{TITLES})?)[\t #*/;-]*(?:(?:copyright[\t ]*)?(?:\(c\)|©)|copyright[\t ]+[0-9]{{4}})"
-    rf"[^\n]*?(?=$|{'|'.join(BODIES)})"
+    rf"^([\t #*/;-]*(?:{TITLES})?)[\t #*/;-]*"
+    r"(?:copyright[\t ]*(?:\(c\)|©|[\[<{]?(?:[0-9]{4}|yyyy|year))|(?:\(c\)|©)[\t ]*[0-9]{4})"
+)
+#: Steps after lower-casing: what a pattern matches becomes a text, with groups. Lines end before a line feed only.
+STEPS = (
+    (rf"{NOTICE}[^\n]*?({'|'.join(BODIES)})", r"\1 \2"),
+    (rf"{NOTICE}[^\n]*$", r"\1 "),
+    (r"^[\t #*/;-]*all rights reserved[\t .#*/;-]*", ""),
+    # blanks, and what stands before the words of a comment's next line: spellings of two words are found across it
+    (r"[\t ]*\n[\t\n #*/;-]*|[\t ]+", " "),
 )
-RESERVED = r"(?m)^[\t #*/;-]*all rights reserved[\t .#*/;-]*"
-#: Blanks, and what stands before the words of a comment's next line: spellings of two words are found across it.
-GAP = r"[\t ]*\n[\t\n #*/;-]*|[\t ]+"
 NOT_WORD = r"[^a-z0-9\x{80}-\x{10ffff}]+"
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
@@ -134,16 +138,64 @@ warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Gen
 You should have received a copy of the GNU General Public License along with this program. If not, see
 <https://www.gnu.org/licenses/>."""
 KNOWN = {
-    "MIT": (MIT, "MIT License\n\n" + MIT, "The MIT License (MIT)\n\n" + MIT, "Released under the MIT License."),
+    "MIT": (MIT, "MIT License\n\n" + MIT, "The MIT License (MIT)\n\n" + MIT),
     "ISC": (ISC_GRANT + ISC_CONDITION + ISC_WARRANTY, "ISC License\n\n" + ISC_GRANT + ISC_CONDITION + ISC_WARRANTY),
     "0BSD": (ISC_GRANT + ISC_WARRANTY, "BSD Zero Clause License\n\n" + ISC_GRANT + ISC_WARRANTY),
     "BSD-2-Clause": (BSD_TWO + BSD_WARRANTY, "BSD 2-Clause License\n\n" + BSD_TWO + BSD_WARRANTY),
     "BSD-3-Clause": (BSD_TWO + BSD_THREE + BSD_WARRANTY, "BSD 3-Clause License\n\n" + BSD_TWO + BSD_THREE + BSD_WARRANTY),
     "Unlicense": (UNLICENSE,),
     "Zlib": (ZLIB, "zlib License\n\n" + ZLIB),
-    "Apache-2.0": (APACHE_NOTICE, "Licensed under the Apache License, Version 2.0."),
-    "GPL-3.0": (GPL_NOTICE, "This work is licensed under the GNU General Public License, version 3."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under CC BY-NC 4.0."),
+    "Apache-2.0": (APACHE_NOTICE,),
+    "GPL-3.0-or-later": (GPL_NOTICE,),
+}
+# Digests of the canonical forms of long licences as their authors publish them; the second, where there are two, is
+# of the text up to the end of its terms, without the appendix on how to apply it.
+DIGESTS = {
+    "Apache-2.0": (
+        "ef9aa6097e8b8724e8bedf9a9a264cbc3142b55ef97f3c3f079b7aa1aeac425c",
+        "ed44d69699f98d45c0c3e52ef4574fb05d6045eb6e2cd0e5e3810f6177e87f84",
+    ),
+    "GPL-1.0": (
+        "ecede0ce378cc2fefec4431f4cf508af5338dc8a3e44b5c5a3a7867070db5798",
+        "6c07dfb5e6ddc39fe93ae803d39b67367c21b50207b645111c04cd08cb283d70",
+    ),
+    "GPL-2.0": (
+        "c9150a998ddbe45123303bf71d093beee4baf803b1eaea84b34fd41189285f1f",
+        "f79b9e516923cc213c21d12fd8a51b4067992b2728a442e31fd53d078dd25632",
+    ),
+    "GPL-3.0": (
+        "3a6f6de49cd56a0a453ad94bd5ca976bda893ddceb419833aab39af7bbb91c1c",
+        "2f5326aa8a00f9aaec5990337239231da07ca0fa219229d7bd0c79afd3cfbe60",
+    ),
+    "LGPL-2.0": (
+        "bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e",
+        "7d5246cc24a9d78fffd01a07fbc2e71edd1e94ad8d403f3180a4cf5fef43d389",
+    ),
+    "LGPL-2.1": (
+        "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692",
+        "65484d3c9f900f96945bd4e6c5397aaa24f93bdc8f720eae06fbd377c62cfe97",
+    ),
+    "LGPL-3.0": (
+        "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    ),
+    "MPL-1.1": (
+        "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1",
+    ),
+    "MPL-2.0": (
+        "9eab7902f21bef0326dee4ed0cae1402c781cbf1f8e3dbeed6fbe176d641bb13",
+    ),
+    "CC0-1.0": (
+        "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    ),
+    "Artistic-1.0-Perl": (
+        "64e91f5cc481723b420f8e1ecf131ec7eba02da96cf0a78bb4b764fb30984f7a",
+    ),
+    "GFDL-1.2": (
+        "f490b9a0ee194b2afc97a09d9e54d699936337efc6fbb57dc8675171ab1d18d3",
+    ),
+    "GFDL-1.3": (
+        "b66b2d6c8267f57ea3f6cd5318832fecb9cd453d95411d4dbd65be7f9936fada",
+    ),
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -151,17 +203,10 @@ PY_NOT_WORD = re.compile("[^a-z0-9\x80-\U0010ffff]+")
 
 
 def canonical_text(text: str) -> str:
-    """What a text is compared by: case, copyright lines, spellings and punctuation made equal."""
-    text = re.sub(COPYRIGHT_LINE, "", text.translate(str.maketrans(UPPER, LOWER)).replace("\r", "\n"))
-    for a, b in SPELLINGS:
-        text = text.replace(a, b)
-    return PY_NOT_WORD.sub(" ", text).strip(" ")
-
-
-def unwrapped_text(text: str) -> str:
-    """What a text is compared by wherever its lines end: as ``canonical_text``, but only real notices are dropped."""
+    """What a text is compared by, wherever its lines end: case, copyright notices, spellings and punctuation made equal."""
     text = text.translate(str.maketrans(UPPER, LOWER)).replace("\r", "\n")
-    text = re.sub(GAP, " ", re.sub(RESERVED, "", re.sub(NOTICE, r"\1 ", text)))
+    for pattern, to in STEPS:
+        text = re.sub("(?m)" + pattern, to, text)
     for a, b in SPELLINGS:
         text = text.replace(a, b)
     return PY_NOT_WORD.sub(" ", text).strip(" ")
@@ -172,46 +217,31 @@ def digest(text: str) -> str:
 
 
 def known_digests() -> dict[str, str]:
-    return {digest(t): name for name, texts in KNOWN.items() for t in texts}
-
-
-def unwrapped_digests() -> dict[str, str]:
-    return {hashlib.sha256(unwrapped_text(t).encode()).hexdigest(): name for name, texts in KNOWN.items() for t in texts}
-
-
-def _plain(text: Column) -> Column:
-    for a, b in SPELLINGS:
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(text, NOT_WORD, " "))
+    held = {digest(t): name for name, texts in KNOWN.items() for t in texts}
+    return held | {d: name for name, digests in DIGESTS.items() for d in digests}
 
 
 def canonical(text: Column) -> Column:
     """``canonical_text`` as Spark functions."""
     text = F.translate(text, UPPER + "\r", LOWER + "\n")
-    return _plain(F.regexp_replace(text, COPYRIGHT_LINE, ""))
-
-
-def unwrapped(text: Column) -> Column:
-    """``unwrapped_text`` as Spark functions."""
-    text = F.translate(text, UPPER + "\r", LOWER + "\n")
-    return _plain(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, NOTICE, "$1 "), RESERVED, ""), GAP, " "))
+    for pattern, to in STEPS:
+        text = F.regexp_replace(text, "(?md)" + pattern, to.replace("\\", "$"))
+    for a, b in SPELLINGS:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return F.trim(F.regexp_replace(text, NOT_WORD, " "))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, digest, license): the digest of every whole text and the licence whose text it is, else null.
 
-    The licence is looked up by the digest and, since that depends on which words begin a line, by one of the text
-    without its lines, from which only real notices are dropped. One row per input row. A null text counts as empty, with the digest
-    of nothing and no licence. Null ids, repeated rows and other columns of any name are harmless. The known digests are a fixed
-    list of a few dozen, and so are broadcast.
+    One row per input row. A null text counts as empty, with the digest of nothing and no licence. Texts of any length are
+    read whole; an empty table gives an empty one. Null ids, repeated rows and other columns of any name are harmless. The known
+    digests are a fixed list of a few dozen, and so are broadcast.
     """
-    spark = docs.sparkSession
-    known = spark.createDataFrame(sorted(known_digests().items()), "digest string, by_line string")
-    other = spark.createDataFrame(sorted(unwrapped_digests().items()), "whole string, by_words string")
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(id_col), F.sha2(canonical(body), 256).alias("digest"), F.sha2(unwrapped(body), 256).alias("whole"))
-    found = rows.join(F.broadcast(known), "digest", "left").join(F.broadcast(other), "whole", "left")
-    return found.select(id_col, "digest", F.coalesce("by_line", "by_words").alias("license"))
+    known = docs.sparkSession.createDataFrame(sorted(known_digests().items()), "digest string, license string")
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col), F.sha2(canonical(body), 256).alias("digest"))
+    return rows.join(F.broadcast(known), "digest", "left").select(id_col, "digest", "license")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +254,8 @@ def _quoted(s: str) -> str:
 
 def oracle() -> str:
     text = f"translate(coalesce(text, ''), {_quoted(UPPER)} || chr(13), {_quoted(LOWER)} || chr(10))"
-    text = f"regexp_replace({text}, {_quoted(COPYRIGHT_LINE)}, '', 'g')"
+    for pattern, to in STEPS:
+        text = f"regexp_replace({text}, {_quoted('(?m)' + pattern)}, {_quoted(to)}, 'g')"
     for a, b in SPELLINGS:
         text = f"replace({text}, {_quoted(a)}, {_quoted(b)})"
     text = f"trim(regexp_replace({text}, {_quoted(NOT_WORD)}, ' ', 'g'), ' ')"

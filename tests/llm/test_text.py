@@ -1,5 +1,6 @@
 """Mixing, personal data, licences, models, and the pipeline, on small tables with known answers."""
 
+import pathlib
 import random
 import re
 import textwrap
@@ -132,14 +133,14 @@ def test_scan_and_redact(docs):
 
 def test_licences(spark, docs):
     texts = [
-        "Copyright (c) 2020 Me & You\nAll rights reserved.\n\n" + licenses.MIT.upper(), "The MIT Licence (MIT)\r\n# Copyright X\r\n" + licenses.MIT.replace('"', "“"),
-        licenses.BSD_TWO + licenses.BSD_WARRANTY, licenses.BSD_TWO + licenses.BSD_THREE + licenses.BSD_WARRANTY.replace("HOLDER", "OWNER"), "Released under the MIT licence",
+        "Copyright (c) 2020 Me & You\nAll rights reserved.\n\n" + licenses.MIT.upper(), "The MIT Licence (MIT)\r\n# Copyright 2020 X\r\n" + licenses.MIT.replace('"', "“"),
+        licenses.BSD_TWO + licenses.BSD_WARRANTY, licenses.BSD_TWO + licenses.BSD_THREE + licenses.BSD_WARRANTY.replace("HOLDER", "OWNER"), "ISC Licence\nCopyright © X\n\n" + licenses.ISC_GRANT + licenses.ISC_CONDITION + licenses.ISC_WARRANTY,
         licenses.MIT + " And more.", "", None, "Ünïcode text © x", licenses.ZLIB.replace("acknowledgment", "acknowledgement"),
     ]
     rows = list(enumerate(texts)) + [(None, texts[0]), (4, texts[4])]
     out = licenses.scan(docs(rows)).collect()
     named = {r.doc_id: r.license for r in out}
-    assert [named[i] for i in range(10)] == ["MIT", "MIT", "BSD-2-Clause", "BSD-3-Clause", "MIT", None, None, None, None, "Zlib"] and len(out) == len(rows)
+    assert [named[i] for i in range(10)] == ["MIT", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", None, None, None, None, "Zlib"] and len(out) == len(rows)
     duck = duckdb.connect()
     documents = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]})
     duck.register("documents", documents)
@@ -165,7 +166,52 @@ def test_licences_in_any_wrap(docs):
         rows.append((len(rows), text))
     assert {r.doc_id: r.license for r in licenses.scan(docs(rows)).collect()} == want
     for _, text in rows[:8]:
-        assert licenses.unwrapped_text(text) == licenses.unwrapped_text(licenses.MIT)
+        assert licenses.canonical_text(text) == licenses.canonical_text(licenses.MIT)
+
+
+#: As the ISC and Apache texts are usually laid out: lines that begin with "copyright" or "(c)" and are no notices.
+USUAL_ISC = """ISC License
+
+Copyright (c) 2004, Someone Else
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.
+"""
+
+
+def test_real_lines_are_no_notices(docs):
+    body = "You may copy it if:\n(a) it is whole\n(c) you keep the\ncopyright notice\u2028copyright lines\nCOPYRIGHT HOLDERS AGREE"
+    assert licenses.canonical_text(body) == "you may copy it if a it is whole c you keep the copyright notice\u2028copyright lines copyright owners agree"
+    rows = [(1, body), (2, USUAL_ISC), (3, USUAL_ISC.replace("copyright notice", "notice"))]
+    out = {r.doc_id: (r.digest, r.license) for r in licenses.scan(docs(rows)).collect()}
+    assert {i: x for i, (x, _) in out.items()} == {i: licenses.digest(t) for i, t in rows}
+    assert [out[i][1] for i in (1, 2, 3)] == [None, "ISC", None]
+
+
+def test_whole_long_licences(docs):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    if not folder.is_dir():
+        pytest.skip("no texts of long licences on this machine")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-3.0": "GPL-3", "GPL-2.0": "GPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows, want = [], []
+    for name, file in files.items():
+        text = (folder / file).read_text(errors="replace")
+        wrapped = "\n\n".join(x if "(C)" in x or "<year>" in x else textwrap.fill(x, 50) for x in text.split("\n\n"))
+        for t, found in ((text, name), (text.upper().replace("\n", "\r\n"), name), (wrapped, name), (text[:-200], None), ("Foreword. " + text, None)):
+            rows.append((len(rows), t))
+            want.append(found)
+    cut = rows[0][1].split("END OF TERMS AND CONDITIONS")[0] + "END OF TERMS AND CONDITIONS"
+    got = {r.doc_id: r.license for r in licenses.scan(docs([*rows, (999, cut)])).collect()}
+    assert [got[i] for i in range(len(rows))] == want and got[999] == "Apache-2.0"
 
 
 def labelled(n, mark, seed):

@@ -20,7 +20,7 @@ from tallyforge.llm.pretokens import split
 
 #: Maps that the rank literal is made of: a rank is found in the map that the crc32 of its bytes names (a power of 2).
 MAPS = 4096
-#: Words of more bytes merge all pairs of the lowest rank at each step, not the first one only; the cuts of others fit 7 bits.
+#: Words of more bytes merge all pairs of the lowest rank at each step, where the ranks allow it; the cuts of others fit 7 bits.
 LONG = 96
 #: Characters of consecutive documents whose distinct words are numbered together.
 BLOCK_CHARS = 4 << 20
@@ -34,6 +34,25 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def merges_in_order(ranks: dict[bytes, int]) -> bool:
+    """Whether a merge of these ranks never makes a pair of a lower rank than its own.
+
+    If one did, in some word, the bytes of that pair would be a token. What happens within those bytes is the same when they stand alone, since nothing
+    has merged across their ends. So it is enough to merge the bytes of each token, and to see that the ranks only rise.
+    """
+    for token in ranks:
+        parts, last = [token[i : i + 1] for i in range(len(token))], -1
+        while len(parts) > 1:
+            found = [(ranks[pair], i) for i in range(len(parts) - 1) if (pair := parts[i] + parts[i + 1]) in ranks]
+            if not found:
+                break
+            rank, i = min(found)
+            if rank < last:
+                return False
+            parts[i : i + 2], last = [parts[i] + parts[i + 1]], rank
+    return True
+
+
 Rank = Callable[[Column], Column]
 
 
@@ -45,6 +64,7 @@ class RankMap:
         for token, rank in ranks.items():
             maps[zlib.crc32(token) % MAPS][token.hex().upper()] = rank
         self.text = json.dumps(maps, separators=(",", ":"))
+        self.in_order = merges_in_order(ranks)
 
     def bind(self, kind: str, body: Callable[[Rank], Column]) -> Column:
         """``body``, of type ``kind``, given a function that finds the rank of some bytes (null if they are no token).
@@ -122,12 +142,11 @@ def _fold_first(word: Column, rank: Rank) -> Column:
     return F.aggregate(F.sequence(F.lit(1), 2 * n - 2), start, step, lambda state: _ids(word, state["cuts"], rank))
 
 
-def _fold_all(word: Column, rank: Rank) -> Column:
-    """Merge at each step all pairs of the lowest rank, from the left and without overlap.
+def _fold_all(word: Column, rank: Rank, in_order: bool) -> Column:
+    """Merge at each step all pairs of the lowest rank, from the left and without overlap, if merges are ``in_order``; else the first pair.
 
-    Gives the same ids wherever every token is what its own bytes merge to, as in any trained vocabulary: a merge then
-    never makes a pair of a lower rank. The number of steps is that of the different ranks that occur, not of
-    the bytes, so very long words stay feasible.
+    The former gives the same ids where a merge never makes a pair of a lower rank, which ``merges_in_order`` finds out. The
+    number of steps then is that of the different ranks that occur, not of the bytes, so very long words stay feasible.
     """
 
     def step(cuts: Column, _: Column) -> Column:
@@ -136,6 +155,9 @@ def _fold_all(word: Column, rank: Rank) -> Column:
 
         def merge(cuts: Column, found: Column) -> Column:
             def marked(cuts: Column, least: Column) -> Column:
+                if not in_order:
+                    first = F.array_position(found, least)
+                    return F.when(least.isNull(), cuts).otherwise(F.filter(cuts, lambda c, i: i != first))
                 marks = F.array_join(F.transform(found, lambda r: F.when(r.eqNullSafe(least), "1").otherwise("0")), "")
                 taken = F.split(F.regexp_replace(marks, "11", "10"), "")
 
@@ -160,7 +182,7 @@ def _fold_all(word: Column, rank: Rank) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), start, guarded, lambda state: _ids(word, state["cuts"], rank))
 
 
-def encode_word(word: Column, rank: Rank) -> Column:
+def encode_word(word: Column, rank: Rank, in_order: bool = False) -> Column:
     """The ids of one word's bytes (a match of the pattern), as array<int>; of null or no bytes: empty."""
     whole = rank(word)
     n = F.length(word)
@@ -168,7 +190,7 @@ def encode_word(word: Column, rank: Rank) -> Column:
         F.when(F.coalesce(n, F.lit(0)) == 0, F.array().cast("array<int>"))
         .when(whole.isNotNull(), F.array(whole))
         .when(n <= LONG, _fold_first(word, rank))
-        .otherwise(_fold_all(word, rank))
+        .otherwise(_fold_all(word, rank, in_order))
     )
 
 
@@ -239,7 +261,7 @@ def common_words(narrow: DataFrame, table: RankMap, most_bytes: int = COMMON_BYT
             yield pa.RecordBatch.from_arrays([pa.array([len(names)], pa.int64()), pa.array([len(flat)], pa.int64()), *columns], names=["n", "m", "h", "s", "f"])
 
     distinct = part.select("__id", "__text").mapInArrow(words, "word binary").distinct()
-    folded = distinct.select("word", table.bind("array<int>", lambda rank: encode_word(F.col("word"), rank)).alias("made"))
+    folded = distinct.select("word", table.bind("array<int>", lambda rank: encode_word(F.col("word"), rank, table.in_order)).alias("made"))
     rows = folded.mapInArrow(packed, "n bigint, m bigint, h binary, s binary, f binary").collect()
     if not rows:  # the draw can miss all of a few long documents
         return Words(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint32))
@@ -257,7 +279,8 @@ def encode(
     """Rows (id, ids, decoded) for each whole text: its token ids as little-endian unsigned 32-bit numbers, and the bytes they decode to.
 
     With ``digests``: (id, n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256). One row per
-    input row; a null text counts as empty and has no ids. Null ids and repeated rows are kept. Special
+    input row; a null text counts as empty and has no ids. Null ids and repeated rows are kept; an empty table gives an empty
+    one; texts and words of any length are read whole. Special
     tokens are not known, so their strings are ordinary text. Texts are split by ``pretokens.PATTERN``.
 
     Documents are taken in blocks, whose distinct words are numbered. Words that a drawn part of the corpus
@@ -325,7 +348,7 @@ def encode(
                 yield pa.RecordBatch.from_arrays([id_values, *out], names=[id_col, *(("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))])
 
     blocks = narrow.mapInArrow(numbered, f"ids array<{kind}>, ends binary, bytes bigint, numbers binary, size binary, flat binary, rest array<binary>")
-    folded = blocks.withColumn("made", table.bind("array<array<int>>", lambda rank: F.transform("rest", lambda w: encode_word(w, rank)))).drop("rest")
+    folded = blocks.withColumn("made", table.bind("array<array<int>>", lambda rank: F.transform("rest", lambda w: encode_word(w, rank, table.in_order)))).drop("rest")
     result = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded binary"
     return folded.mapInArrow(spelt, f"`{id_col}` {kind}, {result}")
 

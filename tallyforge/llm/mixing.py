@@ -148,7 +148,8 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
     """One row per document: id, size, source_size, target, times and taken words.
 
     Null texts have size 0; size 0 is taken 0 times. Null sources form a source of their own. Null
-    ids and repeated rows are documents like any other. An empty table gives an empty one. Only the
+    ids and repeated rows are documents like any other. Ties of the finish time go by source, then by a hash of the row, then by id;
+    rows that agree in all are taken together. Texts of any length are counted whole. An empty table gives an empty one. Only the
     three named columns are read, so others may have any name.
     """
     mix = plan(docs, id_col, text, source)

@@ -184,8 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """Rows (id, score) of every whole text, one per input row.
 
-    A null text counts as empty and is scored as such, a null n_chars as the text's own length. Null ids and repeated
-    rows are kept; other columns of any name are not read.
+    A null text counts as empty and is scored as such, a null n_chars as the text's own length. Texts of any length are read
+    whole. Null ids and repeated rows are kept; an empty table gives an empty one; other columns of any name are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     One row per input row. Exact copies collapse to one fingerprint before anything is compared. A null
     id keeps its row and is never a smallest id (a component of null ids only has none). An empty table
-    gives an empty one. Ties and repeated rows get the same answer.
+    gives an empty one. Ties and repeated rows get the same answer. Texts of any length are read whole; other columns play no part.
     """
     rows = cut(with_fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), width=width, to="fp"), narrow=False)
     classes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))

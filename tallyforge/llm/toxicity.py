@@ -419,7 +419,8 @@ def labelled_sample(
     """(sample, share of label 1 among all admitted labels). The sample has at most ``rows`` labelled documents of each class, as rows (text, y, extra...), and at most about ``limit_bytes`` of text.
 
     Drawn by a hash of the id among the labelled ids that ``keep`` admits, in a fixed order. An id with
-    several labels takes the highest, documents that share an id take its label. Null ids, labels and texts are left out. The ids (a bounded number) are broadcast to find the texts.
+    several labels takes the highest, documents that share an id take its label. Null ids, labels and texts are left out. Where the
+    drawn texts hold more than ``limit_bytes``, a hash of the text says which of them stay. The ids (a bounded number) are broadcast to find the texts.
     """
     spark = docs.sparkSession
     asked = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & keep(F.col(id_col)))
@@ -459,7 +460,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 def with_scores(docs: DataFrame, model, to: str = "score", id_only: str | None = None, text: str = "text") -> DataFrame:
     """``docs`` (or only its column ``id_only``) with the score of every whole text in column ``to``.
 
-    A null text counts as empty and is scored as such. All rows stay; a column that is already named ``to`` is replaced.
+    A null text counts as empty and is scored as such. All rows stay, repeated ones and those without an id too; an empty table gives
+    an empty one. Texts of any length are read in all their windows. A column that is already named ``to`` is replaced (choose
+    another name to keep it); the others may have any names.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in docs.schema.fields if f.name != to and (id_only is None or f.name == id_only)]
@@ -480,7 +483,10 @@ def with_scores(docs: DataFrame, model, to: str = "score", id_only: str | None =
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose whole text scores ``threshold`` or more. Columns stay as they are."""
+    """``docs`` without the rows whose whole text scores ``threshold`` or more. Columns stay as they are, whatever their names.
+
+    A null text counts as empty; equal texts share their fate; an empty table stays empty; every window of a long text is read.
+    """
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

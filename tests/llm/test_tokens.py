@@ -67,10 +67,22 @@ def test_both_folds_agree(spark):
     words = [w for w in pretokens.split(fuzz(400, seed=5) + ["internationalisation queleque stbleing"])[0] if 1 < len(w) <= bpe.LONG]
     df = spark.createDataFrame([(bytearray(w),) for w in words], "w binary")
     first = table.bind("array<int>", lambda rank: bpe._fold_first(F.col("w"), rank))
-    every = table.bind("array<int>", lambda rank: bpe._fold_all(F.col("w"), rank))
+    every = table.bind("array<int>", lambda rank: bpe._fold_all(F.col("w"), rank, True))
     assert df.where(first != every).count() == 0
 
 
+def test_ranks_out_of_order_fold_one_by_one(spark):
+    """A merge of rank 9 that makes a pair of rank 5: merging all pairs of rank 9 at once would not be the same."""
+    ranks = {bytes([b]): 20 + b for b in range(256)} | {b"ab": 9, b"aba": 5}
+    assert not bpe.merges_in_order(ranks) and bpe.merges_in_order({bytes([b]): b for b in range(256)} | {b"ab": 300, b"aba": 301})
+    words = [b"ab" * 60, b"abab" * 40 + b"c", b"aab" * 50]
+    lib = tiktoken.Encoding("t", pat_str="[a-z]+", mergeable_ranks=ranks, special_tokens={})
+    table = bpe.RankMap(ranks)
+    df = spark.createDataFrame([(bytearray(w),) for w in words], "w binary")
+    made = df.select(table.bind("array<int>", lambda rank: bpe.encode_word(F.col("w"), rank, table.in_order)).alias("x")).collect()
+    assert all(len(w) > bpe.LONG for w in words) and [r.x for r in made] == [lib.encode_ordinary(w.decode()) for w in words]
+
+
 def test_documents_encode_and_decode(spark, docs, tik):
     rows = list(enumerate(ODD + fuzz(300, 40))) + [(7, None), (None, "null id"), (1, "again"), (1, "again")]
     ranks = bpe.load_ranks(RANKS)

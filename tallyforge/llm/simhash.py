@@ -221,6 +221,22 @@ def parity(unique: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * WORDS) & 1, bitorder="little").view("<u8").copy()
 
 
+def long_parity(unique: np.ndarray) -> bytes:
+    """As ``parity``, in 2 bits or more for each member: a power of 2, so that a longer one folds to a shorter one's length."""
+    width = max(64, 1 << int(2 * len(unique) - 1).bit_length()) if len(unique) else 64
+    at = (mixed(unique, 6) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=width) & 1, bitorder="little").tobytes()
+
+
+def parities_differ(a: bytes, b: bytes) -> int:
+    """The bits in which two long parities differ: no more than the members in which their sets do, and not many fewer."""
+    x, y, shorter = int.from_bytes(a, "little"), int.from_bytes(b, "little"), min(len(a), len(b))
+    for longer in range(max(len(a), len(b)).bit_length() - 1, shorter.bit_length() - 1, -1):
+        half = 8 << (longer - 1)
+        x, y = ((v >> half) ^ (v & ((1 << half) - 1)) for v in (x, y))
+    return (x ^ y).bit_count()
+
+
 def most_apart(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     """Members in which sets of ``a`` and ``b`` members may differ at most, at a Jaccard similarity of ``least`` or more."""
     return np.floor((a + b) * (1 - least) / (1 + least) + 1e-9).astype(np.int64)
@@ -237,7 +253,7 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (row, id, cid, n, bits) of docs (row, id, text): the number of each text's set, its size and parity bits."""
+    """Rows (row, id, cid, n, bits, long) of docs (row, id, text): the number of each text's set, its size and parity bits."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(x.as_py(), width) for x in batch.column(2)]
@@ -248,11 +264,12 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 pa.array([set_id(s) for s in sets], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([parity(s.astype(np.uint64)).tobytes() for s in sets], pa.binary()),
+                pa.array([long_parity(s.astype(np.uint64)) for s in sets], pa.binary()),
             ],
-            names=["row", "id", "cid", "n", "bits"],
+            names=["row", "id", "cid", "n", "bits", "long"],
         )
 
-    return map_batches(docs, run, "row bigint, id bigint, cid bigint, n bigint, bits binary")
+    return map_batches(docs, run, "row bigint, id bigint, cid bigint, n bigint, bits binary, long binary")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -470,8 +487,22 @@ def _wanted(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return cut(found.groupBy("cid").agg(F.first("shingles").alias("shingles")), narrow=False)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+def _not_too_far(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Of ``pairs`` (a, b) those whose long parities don't rule out that their sets are similar."""
+    left = classes.select(F.col("cid").alias("a"), F.col("n").alias("n"), F.col("long").alias("p"))
+    right = classes.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("long").alias("q"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        apart = np.array([parities_differ(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())])
+        ok = apart <= most_apart(batch.column(2).to_numpy(), batch.column(3).to_numpy(), least)
+        return batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return cut(map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "p", "q"), run, "a bigint, b bigint"))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """Of ``pairs`` (a, b) those whose whole shingle sets are similar enough."""
+    pairs = _not_too_far(pairs, classes, least)
     sets = _wanted(pairs, texts, width)
     left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("s"))
     right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("t"))
@@ -485,7 +516,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> D
 
 
 def _components(classes: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """Components (node, component) of classes (cid, n, bits) linked where their sets are similar; those without a link are left out.
+    """Components (node, component) of classes (cid, n, bits, long) linked where their sets are similar; those without a link are left out.
 
     A first round links each set to the hub that it meets most often. What is not in one component then is compared pair by pair.
     """
@@ -495,13 +526,13 @@ def _components(classes: DataFrame, texts: DataFrame, width: int, least: float)
     members = shared.join(seen, "cid").select("entry", "cid", "n", "bits")
     met = _hub_pairs(members.repartition(n, "entry").sortWithinPartitions("entry", "cid"), least).groupBy("a", "b").count()
     pairs = cut(met.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select("best.a", "b"))
-    edges = _verified(pairs, texts, width, least)
+    edges = _verified(pairs, classes, texts, width, least)
     nodes = cut(connected_components(edges))
     labelled = shared.join(nodes.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid"))
     others = cut(_other_pairs(cut(labelled.select("entry", "cid", "label")), seen, least))
     if others.isEmpty():
         return nodes
-    more = _verified(others, texts, width, least)
+    more = _verified(others, classes, texts, width, least)
     return nodes if more.isEmpty() else connected_components(edges.unionByName(more))
 
 
@@ -518,7 +549,7 @@ def distinct_documents(docs: DataFrame, width: int = 5, least: float = 0.8, id_c
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     rows = cut(_sets(slim, width), narrow=False)
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
-    classes = cut(rows.groupBy("cid").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    classes = cut(rows.groupBy("cid").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("long").alias("long")))
     nodes = _components(classes, slim.select("text"), width, least).withColumnRenamed("node", "cid")
     grouped = classes.select("cid", "first").join(nodes, "cid", "left").select(F.coalesce("component", "cid").alias("component"), "first")
     kept = grouped.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))

@@ -195,6 +195,24 @@ def test_whole_sets_decide():
         assert (simhash.similarity(a, b) >= 0.8) == near
 
 
+def test_long_parities_rule_out_no_similar_sets():
+    g = np.random.default_rng(3)
+    told = 0
+    for n in (1, 3, 31, 32, 33, 250, 511, 513, 6000):
+        for share in (0.0, 0.05, 0.1, 0.2, 0.5, 1.0):
+            a = np.unique(g.integers(0, 1 << 32, n)).astype(np.uint64)
+            out = int(share * len(a))
+            b = np.unique(np.concatenate([a[out:], g.integers(0, 1 << 32, g.integers(0, 2 * out + 1)).astype(np.uint64)]))
+            apart = len(np.setxor1d(a, b))
+            differ = simhash.parities_differ(simhash.long_parity(a), simhash.long_parity(b))
+            assert differ <= apart and simhash.parities_differ(simhash.long_parity(b), simhash.long_parity(a)) == differ
+            limit = simhash.most_apart(np.array(len(a)), np.array(len(b)), 0.8)
+            if n >= 250 and apart > 2 * limit:
+                told += 1
+                assert differ > limit
+    assert told >= 6
+
+
 def test_sketch_similarity():
     a, b = np.arange(100, dtype="<u4"), np.arange(20, 120, dtype="<u4")
     assert simhash.similarity(a, b) == 80 / 120 and simhash.similarity(a[:0], b) == 0 and simhash.similarity(a[:0], a[:0]) == 1

@@ -547,7 +547,7 @@ def distinct_documents(docs: DataFrame, width: int = 5, least: float = 0.8, id_c
     """
     numbered = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    rows = cut(_sets(slim, width), narrow=False)
+    rows = _sets(slim, width)
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
     classes = cut(rows.groupBy("cid").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("long").alias("long")))
     nodes = _components(classes, slim.select("text"), width, least).withColumnRenamed("node", "cid")

@@ -37,10 +37,12 @@ def contract(spark: SparkSession, paths: Sequence[str], as_json: bool = False) -
             failed = 1
             parts.append(f"# {path}\n\n无法读取：{e}")
             continue
-        columns = profile.profile(t.df.drop(ROW))
+        columns = profile.profile(t.df)
+        exported = profile.suggest(t.df)["export_time"]
         grains = profile.grain(columns)
         day = names.file_date(t.name)
         notes = t.notes + ([f"文件名日期：{day}"] if day else [])
+        notes += [f"「{c}」是导出或快照时间，不是业务发生时间" for c in exported]
         parts.append(sinks.to_json({"table": t.name, "columns": columns, "grain": grains}) if as_json else report.contract_report(t.name, columns, grains, notes, profile.answers(columns, grains)))
     return "\n\n".join(parts), failed
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime
 import re
 
+#: The column that keeps the order of a file's rows.
+ROW = "__rid"
 # Words in column names.
 TIME = re.compile(r"(时间|日期|date|time|datetime|timestamp|年份|月份|年度|季度)|(?:日|月|年)$", re.I)
 ID = re.compile(

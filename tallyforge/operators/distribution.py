@@ -50,6 +50,12 @@ def head_concentration(df: DataFrame, key: str, value: Column, top: int = 5) ->
     return head.join(total).withColumn("share", F.try_divide(F.col("head").cast("double"), F.col("total").cast("double")))
 
 
+def point_change(current: Column, base: Column) -> Column:
+    """The change of a share in percentage points, exact: from 4% to 5% is 1 point. NULL if either is missing."""
+    places = "decimal(20,9)"
+    return ((current.cast(places) - base.cast(places)) * 100).cast("decimal(24,7)")
+
+
 def changes(df: DataFrame, order: str, value: str) -> DataFrame:
     """Each row's value against the one before it in order, of a table of a few aggregated rows."""
     before = F.lag(value).over(Window.orderBy(order))

@@ -20,8 +20,12 @@ def _real(c: Column) -> Column:
 
 
 def looks_like_time(df: DataFrame, columns: list[str], order: list[str] = ()) -> dict[str, bool]:
-    """Columns of whose first 200 values (3 at least) 80% are times."""
-    first = (df.orderBy(*order) if order else df).limit(SAMPLE_ROWS)
+    """Columns of whose first 200 values (3 at least) 80% are times.
+
+    First by ``order``; without one by the row number of a file, else by a hash of all columns, so that reruns agree.
+    """
+    by = list(order) or ([names.ROW] if names.ROW in df.columns else [F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))])
+    first = df.orderBy(*by).limit(SAMPLE_ROWS)
     sums = []
     for i, name in enumerate(columns):
         c = F.col(f"`{name}`").cast("string")
@@ -148,10 +152,11 @@ def partial_last_day(df: DataFrame, ts: Column, value: Column) -> DataFrame:
 
 def profile(df: DataFrame, order: list[str] = ()) -> list[dict]:
     """Every column's counts and kind, from one wide aggregate and one pass over the first rows."""
-    guessed = looks_like_time(df, [c for c in df.columns if names.kind(c) in ("数量", "文本")], order)
-    kinds = {c: names.kind(c, guessed.get(c, False)) for c in df.columns}
+    headers = [c for c in df.columns if c != names.ROW]
+    guessed = looks_like_time(df, [c for c in headers if names.kind(c) in ("数量", "文本")], order)
+    kinds = {c: names.kind(c, guessed.get(c, False)) for c in headers}
     parsed, sums = [], [F.count("*").alias("n_rows")]
-    for i, name in enumerate(df.columns):
+    for i, name in enumerate(headers):
         text = F.col(f"`{name}`").cast("string")
         parsed.append(text.alias(f"c{i}"))
         c = F.col(f"c{i}")
@@ -172,12 +177,30 @@ def profile(df: DataFrame, order: list[str] = ()) -> list[dict]:
             sums += [F.count_if(v.rlike(SCIENTIFIC)).alias(f"scientific{i}"), F.count_if(v.rlike("^0[0-9]+$")).alias(f"leading_zero{i}")]
     r = df.select(*parsed).agg(*sums).first().asDict()
     out = []
-    for i, name in enumerate(df.columns):
+    for i, name in enumerate(headers):
         own = {k.removesuffix(str(i)): v for k, v in r.items() if k.endswith(str(i)) and k.removesuffix(str(i)).isidentifier() and not k.removesuffix(str(i))[-1].isdigit()}
         out.append({"column": name, "kind": kinds[name], "n_rows": r["n_rows"], **own, "unique": own["distinct"] == r["n_rows"]})
     return out
 
 
+def suggest(df: DataFrame, order: list[str] = ()) -> dict[str, list[str]]:
+    """Columns to use as times, ids and amounts, and times that say when a table was made, by which nothing should be filtered.
+
+    Times go by name; only where no name says so, by values, ids left out.
+    """
+    headers = [c for c in df.columns if c != names.ROW]
+    times = [c for c in headers if names.TIME.search(c)]
+    if not times:
+        guessed = looks_like_time(df, [c for c in headers if not names.ID.search(c)], order)
+        times = [c for c, is_time in guessed.items() if is_time]
+    return {
+        "time": times,
+        "id": [c for c in headers if names.ID.search(c)],
+        "money": [c for c in headers if names.is_money(c)],
+        "export_time": [c for c in times if names.EXPORT_TIME.search(c)],
+    }
+
+
 def grain(columns: list[dict]) -> list[dict]:
     """What one row may stand for, from unique columns and what their names say; always to be confirmed by a person."""
     rules = (("一行一张券", names.COUPON), ("一行一个售后单", names.AFTER_SALE), ("一行一个订单", names.ORDER), ("一行一个素材", names.MATERIAL), ("一行一个计划", names.PLAN))

@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.cells import is_missing, key_date, key_shape, norm_key, strict_number
-from tallyforge.functions.names import agg_method
+from tallyforge.functions.names import ROW, agg_method
 
 EPS = "0.01"
+#: Characters of the runs by which labels are indexed.
+GRAM = 3
 SUM = "decimal(28,4)"
 RELATIONS = ("一对一", "一对多", "多对一", "多对多")
 PASS, WARN, FAIL = "通过", "警告", "失败-禁止使用该结果"
+# Labels of rows that sum up others.
 SUMMARY_LABELS = ("合计", "总计", "汇总", "全店", "全部", "所有", "total", "sum", "整体", "小计", "综合")
 
 
@@ -133,10 +136,12 @@ AGG_METHODS = ("sum", "max", "min", "first", "last", "count", "nunique", "list")
 def aggregate(df: DataFrame, key: Column, plan: dict[str, str], order: Sequence[str] = (), number=None) -> DataFrame:
     """One row per normalised key (a blank one is a group too); ``plan`` names a method for each column.
 
-    first and last go by ``order``; sum, max and min by the numbers that parse; list joins distinct values in order.
+    first and last go by ``order`` (without one by the row number of a file, else by all columns); sum, max and min by the numbers that parse; list
+    joins distinct values in order. What counts or lists distinct values first makes one row of each (key, value), so that
+    no key's rows are held together and no row is multiplied by the number of such columns.
     """
     number = number or (lambda c: strict_number(c)["value"])
-    by = F.struct(*order) if order else F.monotonically_increasing_id()
+    by = F.struct(*(order or ([ROW] if ROW in df.columns else sorted(df.columns))))
     rows = df.withColumns({"__key": norm_key(key), "__by": by})
 
     def one(name: str, method: str) -> Column:
@@ -155,15 +160,26 @@ def aggregate(df: DataFrame, key: Column, plan: dict[str, str], order: Sequence[
                 return F.max_by(F.when(there, c), F.when(there, F.col("__by")))
             case "count":
                 return F.count("*")
-            case "nunique":
-                return F.count_distinct(F.when(there, norm_key(c)))
-            case "list":
-                inner = F.array_sort(F.collect_list(F.when(there, F.struct(F.col("__by").alias("b"), c.cast("string").alias("v")))))
-                return F.array_join(F.array_distinct(F.transform(inner, lambda x: x["v"])), "/")
         raise ValueError(f"no method {method!r}; there are {AGG_METHODS}")
 
-    made = [one(name, method).alias(name) for name, method in plan.items()]
-    return rows.groupBy(F.col("__key").alias("key")).agg(F.count("*").alias("n_rows"), *made)
+    def distinct(name: str, method: str) -> DataFrame:
+        c = F.col(name)
+        value = norm_key(c) if method == "nunique" else c.cast("string")
+        there = rows.where(~is_missing(c, "reconcile"))
+        if method == "nunique":
+            return there.select("__key", value.alias("v")).distinct().groupBy("__key").agg(F.count("*").alias(name))
+        seen = there.groupBy("__key", value.alias("v")).agg(F.min("__by").alias("b"))
+        inner = F.array_sort(F.collect_list(F.struct("b", "v")))
+        return seen.groupBy("__key").agg(F.array_join(F.transform(inner, lambda x: x["v"]), "/").alias(name))
+
+    apart = {name: method for name, method in plan.items() if method in ("nunique", "list")}
+    made = [one(name, method).alias(name) for name, method in plan.items() if name not in apart]
+    out = rows.groupBy("__key").agg(F.count("*").alias("n_rows"), *made)
+    for name, method in apart.items():
+        out = out.join(distinct(name, method), "__key", "left")
+    nothing = {"nunique": F.lit(0).cast("long"), "list": F.lit("")}
+    shown = [F.coalesce(name, nothing[apart[name]]).alias(name) if name in apart else F.col(name) for name in plan]
+    return out.select(F.col("__key").alias("key"), "n_rows", *shown)
 
 
 def infer_plan(columns: Sequence[str]) -> dict[str, str]:
@@ -178,14 +194,43 @@ def aggregate_then_join(left: DataFrame, right: DataFrame, left_key: Column, rig
 
 
 def object_table(objects: DataFrame, events: DataFrame, object_key: Column, event_key: Column, event_time: Column, out: str = "event_time") -> DataFrame:
-    """Every object row with the first and last event time and the number of events of its key; without any: NULL and 0."""
-    many = events.groupBy(norm_key(event_key).alias("__key")).agg(
-        F.min(event_time).alias(f"{out}_first"), F.max(event_time).alias(f"{out}_last"), F.count("*").alias(f"{out}_count")
+    """Every object row with the first and last event time of its key and the number of events that have a time; without any: NULL and 0.
+
+    A key that is a missing mark is none: such objects have no events, such events no object.
+    """
+    many = events.groupBy(_real_key(event_key).alias("__key")).agg(
+        F.min(event_time).alias(f"{out}_first"), F.max(event_time).alias(f"{out}_last"), F.count(event_time).alias(f"{out}_count")
     )
-    joined = objects.withColumn("__key", norm_key(object_key)).join(many.where("__key <> ''"), "__key", "left").drop("__key")
+    joined = objects.withColumn("__key", _real_key(object_key)).join(many.where("__key <> ''"), "__key", "left").drop("__key")
     return joined.withColumn(f"{out}_count", F.coalesce(f"{out}_count", F.lit(0)))
 
 
+def _real_key(key: Column) -> Column:
+    """A normalised key, blank where it is a missing mark."""
+    return F.when(is_missing(key), "").otherwise(norm_key(key))
+
+
+def object_audit(objects: DataFrame, events: DataFrame, object_key: Column, event_key: Column, event_time: Column, raw_time: Column) -> DataFrame:
+    """One row about what ``object_table`` joined: rows of both sides, objects among the events, those with several
+    events and the most, objects with and without events, and events whose time is missing or can't be read."""
+    per_key = events.groupBy(_real_key(event_key).alias("key")).agg(
+        F.count("*").alias("n"),
+        F.count_if(is_missing(raw_time)).alias("missing"),
+        F.count_if(~is_missing(raw_time) & event_time.isNull()).alias("bad"),
+    )
+    real = F.col("key") != ""
+    about = per_key.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("event_rows"), F.count_if(real).alias("event_objects"),
+        F.count_if(real & (F.col("n") > 1)).alias("repeated_objects"), F.coalesce(F.max(F.when(real, F.col("n"))), F.lit(0)).alias("most_events"),
+        F.coalesce(F.sum(F.when(real, F.col("missing"))), F.lit(0)).alias("missing_times"), F.coalesce(F.sum(F.when(real, F.col("bad"))), F.lit(0)).alias("bad_times"),
+    )
+    held = objects.groupBy(_real_key(object_key).alias("key")).agg(F.count("*").alias("o"))
+    met = held.join(per_key.where(real).select("key", "n"), "key", "left").agg(
+        F.coalesce(F.sum("o"), F.lit(0)).alias("object_rows"), F.coalesce(F.sum(F.when(F.col("n").isNotNull(), F.col("o"))), F.lit(0)).alias("matched_rows")
+    )
+    return about.join(met).withColumn("unmatched_rows", F.col("object_rows") - F.col("matched_rows"))
+
+
 def group_sums(df: DataFrame, group: Column, values: dict[str, Column]) -> DataFrame:
     """Per trimmed group: rows, sums, and cells that are missing; a blank group is one too."""
     sums = [F.sum(v).cast(SUM).alias(f"sum_{n}") for n, v in values.items()]
@@ -204,17 +249,24 @@ def additivity(df: DataFrame, group: Column, value: Column, total: Column | None
 def partition_labels(df: DataFrame, group: Column) -> DataFrame:
     """Rows (label, is_summary, is_multi, contained_in): labels that may overlap others.
 
-    Contained labels are found by equi-joining every label's words, so no pair of unrelated labels is made; a label
-    is contained in another if the other has all its words in a row.
+    A label is contained in another wherever the other has all its characters in a row; words need not be set apart. Labels
+    are indexed by their runs of up to GRAM characters, and each is looked up by the rarest of its own, so that few unrelated
+    pairs are made even where all labels begin alike.
     """
     labels = df.select(F.trim(F.coalesce(group.cast("string"), F.lit(""))).alias("label")).distinct().where("label <> ''")
-    word = F.explode(F.array_distinct(F.split("label", "[\\s/、,，;；|]+")))
-    head = F.element_at(F.split("label", "[\\s/、,，;；|]+"), 1)
-    outer = labels.select(F.col("label").alias("outer"), word.alias("w")).where("w <> ''")
-    inner = labels.select(F.col("label").alias("inner_label"), head.alias("w"))
-    pairs = inner.join(outer, "w").where("inner_label <> `outer` and contains(`outer`, inner_label)")
+    size = F.length("label")
+
+    def grams(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col("label"), i, n))
+
+    every = F.flatten(F.transform(F.sequence(F.lit(1), F.least(size, F.lit(GRAM))), grams))
+    outer = labels.select(F.col("label").alias("outer"), F.explode(F.array_distinct(every)).alias("gram"))
+    often = outer.groupBy("gram").agg(F.count("*").alias("often"))
+    own = labels.select(F.col("label").alias("inner_label"), F.explode(F.array_distinct(grams(F.least(size, F.lit(GRAM))))).alias("gram"))
+    rarest = own.join(often, "gram").groupBy("inner_label").agg(F.min(F.struct("often", "gram")).alias("g")).select("inner_label", "g.gram")
+    pairs = rarest.join(outer, "gram").where("inner_label <> `outer` and contains(`outer`, inner_label)")
     held = pairs.groupBy(F.col("inner_label").alias("label")).agg(F.count_distinct("outer").alias("contained_in"))
-    marks = labels.withColumns({"is_summary": F.lower("label").isin(*SUMMARY_LABELS), "is_multi": F.col("label").rlike("[/、,，;；|]")})
+    marks = labels.withColumns({"is_summary": F.lower(norm_key(F.col("label"))).isin(*SUMMARY_LABELS), "is_multi": F.col("label").rlike("[/、,，;；|]")})
     return marks.join(held, "label", "left").withColumn("contained_in", F.coalesce("contained_in", F.lit(0)))
 
 

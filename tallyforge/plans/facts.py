@@ -58,6 +58,13 @@ def rate_fact(rate: dict, label: str = "", source: str = "") -> dict:
     return {**one, "label": label or one.get("label", ""), "source": source, "as_percent": percent}
 
 
+def value_fact(value: str, label: str = "", as_percent: bool = False, **about: str) -> dict:
+    """A fact from a value that is told as it stands, with what is told about it: unit, numerator, denominator, formula, scope, source, note."""
+    held = {k: about.get(k) or "" for k in ("unit", "formula", "scope", "source", "note")}
+    counts = {k: about.get(k) for k in ("numerator", "denominator")}
+    return {"label": label or "未命名指标", "value": value, **held, **counts, "as_percent": as_percent}
+
+
 def fact_line(fact: dict) -> str:
     """One line of a report: value or reason, at most four places, then where it comes from."""
     label, value = fact.get("label") or "(未命名)", fact.get("value")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import cells
@@ -121,6 +121,16 @@ def changes(spark, sf_dir):
     return nums(distribution.changes(y, "y", "v").select("y", "v", "delta", "relative"), ["v", "delta", "relative"], ["y"])
 
 
+@query("""WITH y AS (SELECT year(o_orderdate) AS y, count(*) FILTER (o_orderstatus = 'F') AS k, count(*) AS n FROM orders GROUP BY 1),
+    s AS (SELECT y, CAST(k * 10000 // n AS DECIMAL(12,4)) / 10000 AS share FROM y)
+    SELECT CAST(y AS BIGINT) AS y, round(CAST(share AS DOUBLE), 6) AS share, round(CAST((share - lag(share) OVER (ORDER BY y)) * 100 AS DOUBLE), 4) AS points, '个百分点' AS unit FROM s""")
+def point_changes(spark, sf_dir):
+    y = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("y")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("k"), F.count("*").alias("n"))
+    shares = y.select("y", (F.expr("k * 10000 div n").cast("decimal(12,4)") / 10000).cast("decimal(12,6)").alias("share"))
+    base = F.lag("share").over(Window.orderBy("y"))  # a row per year
+    return shares.select(whole("y").alias("y"), num("share").alias("share"), num(distribution.point_change(F.col("share"), base), 4).alias("points"), F.lit("个百分点").alias("unit"))
+
+
 @query("""WITH g AS (SELECT p_brand, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS k FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand),
     w AS (SELECT *, CAST(k AS DOUBLE) / n AS p, 1.96 * 1.96 AS zz FROM g)
     SELECT p_brand, k, n, round(p, 6) AS rate,
@@ -326,6 +336,23 @@ def key_report(spark, sf_dir):
     return columns.key_report(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("订单ID")), "订单ID")
 
 
+@query("""SELECT * FROM (VALUES ('time', '下单时间'), ('time', '导出日期'), ('id', '订单编号'), ('money', '实付金额'), ('export_time', '导出日期')) t(role, "column")""")
+def suggested_columns(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("订单编号"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("下单时间"), dec("o_totalprice").cast("string").alias("实付金额"),
+        F.col("o_orderstatus").alias("订单状态"), F.lit("2024-08-01").alias("导出日期"), F.lit("2").alias("退款笔数"),
+    )
+    rows = [(role, c) for role, found in profile.suggest(o).items() for c in found]
+    return spark.createDataFrame(rows, "role string, column string")
+
+
+@query("""SELECT 'time' AS role, 'seen' AS "column" UNION ALL SELECT 'id', '用户ID'""")
+def suggested_by_value(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("用户ID"), F.date_format("ts", "yyyy/M/d H:mm:ss").alias("seen"), F.col("event_type").alias("what"))
+    rows = [(role, c) for role, found in profile.suggest(e).items() for c in found]
+    return spark.createDataFrame(rows, "role string, column string")
+
+
 # --- joins -------------------------------------------------------------------------------------------------------------
 
 
@@ -412,14 +439,33 @@ def aggregate_then_join(spark, sf_dir):
     )
 
 
+def _shipped(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Orders and lines with a key that is "-" in one of 40 orders, and lines without a time."""
+    key = lambda c: F.when(F.col(c) % 40 == 0, "-").otherwise(F.col(c).cast("string")).alias("k")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", key("o_orderkey"))
+    raw = F.when(F.col("l_linenumber") % 5 == 0, "无").when(F.col("l_linenumber") % 5 == 1, "soon").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
+    return orders, table(spark, sf_dir, "lineitem").select(key("l_orderkey"), raw.alias("raw"))
+
+
 @query("""SELECT o_orderkey, strftime(min(l_shipdate), '%Y-%m-%d') AS first_ship, strftime(max(l_shipdate), '%Y-%m-%d') AS last_ship, count(l_orderkey) AS n_lines
-    FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
+    FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND o_orderkey % 40 <> 0 AND l_linenumber % 5 > 1 GROUP BY o_orderkey""")
 def object_left_join(spark, sf_dir):
-    out = reconcile.object_table(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), F.col("o_orderkey"), F.col("l_orderkey"), F.col("l_shipdate"), "ship")
+    orders, lines = _shipped(spark, sf_dir)
+    out = reconcile.object_table(orders, lines, F.col("k"), F.col("k"), cells.parse_time(F.col("raw")), "ship")
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     return out.select("o_orderkey", day("ship_first").alias("first_ship"), day("ship_last").alias("last_ship"), F.col("ship_count").alias("n_lines"))
 
 
+@query("""WITH e AS (SELECT l_orderkey AS k, l_linenumber % 5 AS m FROM lineitem WHERE l_orderkey % 40 <> 0), c AS (SELECT k, count(*) AS n FROM e GROUP BY 1)
+    SELECT (SELECT count(*) FROM lineitem) AS event_rows, (SELECT count(*) FROM c) AS event_objects, (SELECT count(*) FROM c WHERE n > 1) AS repeated_objects,
+    (SELECT max(n) FROM c) AS most_events, (SELECT count(*) FROM e WHERE m = 0) AS missing_times, (SELECT count(*) FROM e WHERE m = 1) AS bad_times,
+    (SELECT count(*) FROM orders) AS object_rows, (SELECT count(*) FROM orders WHERE o_orderkey IN (SELECT k FROM c)) AS matched_rows,
+    (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT k FROM c)) AS unmatched_rows""")
+def object_audit(spark, sf_dir):
+    orders, lines = _shipped(spark, sf_dir)
+    return reconcile.object_audit(orders, lines, F.col("k"), F.col("k"), cells.parse_time(F.col("raw")), F.col("raw"))
+
+
 @query("""WITH r AS (SELECT *, (l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS o FROM lineitem)
     SELECT CAST(l_orderkey AS VARCHAR) AS key, count(*) AS n_rows, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total, CAST(max(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS most,
     CAST(min(CAST(l_tax AS DECIMAL(18,2))) AS DOUBLE) AS least, arg_min(l_returnflag, o) AS first_flag, arg_max(l_linestatus, o) AS last_status, count(DISTINCT l_suppkey) AS n_suppliers FROM r GROUP BY l_orderkey""")
@@ -457,14 +503,14 @@ def additivity(spark, sf_dir):
     return nums(reconcile.additivity(table(spark, sf_dir, "customer"), F.col("c_mktsegment"), dec("c_acctbal")), ["group_total", "table_total", "diff"])
 
 
-@query("""WITH l AS (SELECT DISTINCT p_type AS label FROM part UNION SELECT DISTINCT split_part(p_type, ' ', 1) FROM part UNION SELECT '合计' UNION SELECT 'a/b')
-    SELECT label, label = '合计' AS is_summary, label LIKE '%/%' AS is_multi, (SELECT count(*) FROM l o WHERE o.label <> l.label AND contains(o.label, l.label)
-    AND list_contains(regexp_split_to_array(o.label, '[ /]+'), regexp_split_to_array(l.label, '[ /]+')[1])) AS contained_in FROM l""")
+@query("""WITH l AS (SELECT DISTINCT p_type AS label FROM part UNION SELECT DISTINCT split_part(p_type, ' ', 1) FROM part UNION SELECT DISTINCT '门店' || p_partkey FROM part
+    UNION SELECT unnest(['合计', '全店合计', '总 计', '新客', '新客优惠券', '老客/新客', 'a/b', 'a', '券']))
+    SELECT label, label IN ('合计', '总 计') AS is_summary, label LIKE '%/%' AS is_multi, (SELECT count(*) FROM l o WHERE o.label <> l.label AND contains(o.label, l.label)) AS contained_in FROM l""")
 def partition_check(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    labels = p.select(F.col("p_type").alias("g")).unionByName(p.select(F.substring_index("p_type", " ", 1).alias("g")))
-    extra = spark.createDataFrame([("合计",), ("a/b",)], "g string")
-    return reconcile.partition_labels(labels.unionByName(extra), F.col("g"))
+    every = [F.col("p_type"), F.substring_index("p_type", " ", 1), F.concat(F.lit("门店"), F.col("p_partkey").cast("string"))]
+    extra = spark.createDataFrame([(x,) for x in ("合计", "全店合计", "总 计", "新客", "新客优惠券", "老客/新客", "a/b", "a", " 券 ", "")], "g string")
+    return reconcile.partition_labels(p.select(F.explode(F.array(*every)).alias("g")).unionByName(extra), F.col("g"))
 
 
 @query("""SELECT count(*) AS n_rows, count(*) FILTER (p_type = split_part(p_type, ' ', 1)) AS n_same, count(*) AS n_related, true AS is_related FROM part""")

@@ -7,6 +7,7 @@ every cell as text, blanks as blanks, with a row number that keeps the order of
 from __future__ import annotations
 
 import csv
+import datetime
 import io
 import math
 import re
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyforge.functions.names import ROW
+
 # Extensions, encodings in the order they are tried, delimiters.
 TEXT = (".csv", ".tsv", ".txt", ".tab", ".dat")
 SHEETS = (".xlsx", ".xlsm")
@@ -26,7 +29,6 @@ HEAD_BYTES = 1 << 20
 HEADER_ROWS = 50
 #: Columns beyond the widest row of the head that later rows may have.
 SPARE_COLUMNS = 16
-ROW = "__rid"
 
 
 @dataclass
@@ -162,15 +164,18 @@ def _shaped(raw: DataFrame, header: list[str], width: int, out: Table) -> Table:
 
 
 def sheet_text(value: object) -> str:
-    """A spreadsheet cell as text: whole numbers without a point, large floats with their exponent, so that damaged ids show."""
+    """A spreadsheet cell as text: whole numbers without a point, large floats with their exponent, so that damaged ids show.
+
+    Truth values are TRUE and FALSE; a time stamp at midnight is its date; a time of day stays one.
+    """
     if value is None:
         return ""
     if isinstance(value, bool):
-        return str(value)
+        return str(value).upper()
     if isinstance(value, float) and abs(value) < 1e16 and value == int(value):
         return str(int(value))
-    if hasattr(value, "strftime"):
-        return value.strftime("%Y-%m-%d %H:%M:%S" if hasattr(value, "hour") else "%Y-%m-%d")
+    if isinstance(value, datetime.datetime):
+        return value.strftime("%Y-%m-%d" if value.time() == datetime.time() else "%Y-%m-%d %H:%M:%S")
     return repr(value) if isinstance(value, float) else str(value)
 
 

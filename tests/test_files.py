@@ -1,5 +1,6 @@
 """Loading messy files, facts, reports, commands."""
 
+import datetime
 import json
 from decimal import Decimal
 
@@ -58,7 +59,9 @@ def test_refused_files(spark, tmp_path, name, data):
 
 
 def test_sheet_cells():
-    assert [tables.sheet_text(v) for v in (None, 12.0, 7.00123e17, 1.5, True)] == ["", "12", "7.00123e+17", "1.5", "True"]
+    assert [tables.sheet_text(v) for v in (None, 12.0, 7.00123e17, 1.5, True, False)] == ["", "12", "7.00123e+17", "1.5", "TRUE", "FALSE"]
+    stamps = (datetime.datetime(2024, 8, 1), datetime.datetime(2024, 8, 1, 9, 5), datetime.date(2024, 8, 1), datetime.time(9, 5), datetime.time())
+    assert [tables.sheet_text(v) for v in stamps] == ["2024-08-01", "2024-08-01 09:05:00", "2024-08-01", "09:05:00", "00:00:00"]
 
 
 def test_profile_of_a_file(spark, tmp_path):
@@ -107,3 +110,19 @@ def test_commands(spark, tmp_path, capsys):
     assert cli.main(["report", str(tmp_path / "facts.json")], spark) == 0 and "核销率：50%" in capsys.readouterr().out
     status = ["cohort", orders, "--key", "订单ID", "--t0", "支付时间", "--event", "订单状态", "--cutoff", "2024-08-25", "--curve", "24"]
     assert cli.main(status, spark) == 2
+
+
+def test_value_fact():
+    fact = facts.value_fact("3,120.50", unit="元", source="订单表")
+    assert (fact["label"], fact["value"], fact["unit"], fact["numerator"], fact["as_percent"]) == ("未命名指标", "3,120.50", "元", None, False)
+    assert facts.fact_line(fact) == "- 未命名指标：3,120.50　[来源：订单表]"
+    assert facts.value_fact("0.05", "退款率", as_percent=True, numerator="1", denominator="20")["denominator"] == "20"
+
+
+def test_suggestions(spark):
+    from tallyforge.operators import profile
+
+    df = spark.createDataFrame([("1", "2024-08-01", "x", i) for i in range(5)], "`券码` string, made string, note string, __rid long")
+    assert profile.suggest(df) == {"time": ["made"], "id": ["券码"], "money": [], "export_time": []}
+    named = spark.createDataFrame([("1", "a")], "`生成时间` string, `实付金额` string")
+    assert profile.suggest(named) == {"time": ["生成时间"], "id": [], "money": ["实付金额"], "export_time": ["生成时间"]}

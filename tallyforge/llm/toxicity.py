@@ -170,10 +170,10 @@ def windows(numbers: np.ndarray, ends: np.ndarray, blank: int) -> tuple[np.ndarr
     many = np.maximum(1, -(-np.maximum(n - (WINDOW - STRIDE), 0) // STRIDE))
     owner = np.repeat(np.arange(len(ends)), many)
     step = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-    at = begins[owner][:, None] + step[:, None] * STRIDE + np.arange(WINDOW)[None, :]
-    inside = at < ends[owner][:, None]
-    padded = np.append(numbers, blank)
-    return padded[np.where(inside, at, len(numbers))], owner
+    kind = np.int32 if len(numbers) < 1 << 30 else np.int64  # of some millions of windows, half the memory
+    at = (begins[owner] + step * STRIDE).astype(kind)[:, None] + np.arange(WINDOW, dtype=kind)[None, :]
+    at[at >= ends[owner].astype(kind)[:, None]] = len(numbers)
+    return np.append(numbers, blank).astype(np.int32)[at], owner
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -336,7 +336,10 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, epoc
     given, n = np.vstack([*inputs, np.zeros((1, GIVEN), np.float32)]), len(words)
     places = Places(words)
     rows, owner = windows(numbers, ends, n)
-    rows = np.where(rows == n, 2 * n, rows + np.where(half[owner], 0, n)[:, None]).astype(np.int32)
+    blank = rows == n
+    rows += np.where(half[owner], 0, n).astype(np.int32)[:, None]
+    rows[blank] = 2 * n
+    del blank
     order = np.lexsort((rng.random(len(rows)), owner))
     rows, owner = rows[order], owner[order]
     starts = np.nonzero(np.diff(owner, prepend=-1))[0]
@@ -351,13 +354,24 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, epoc
     epochs = int(np.clip(-(-LEAST_STEPS * batch // taught), epochs, 40))
     balance = (taught - labels.sum()) / labels.sum()  # both classes weigh the same
 
-    def whole_table() -> np.ndarray:
-        e = np.concatenate([embedded(network.p, places, np.arange(a, min(n, a + WORDS_STEP))) for a in range(0, n, WORDS_STEP)] or [np.empty((0, 2 * EMBED))])
-        return np.hstack([given, np.vstack([e, e, np.zeros((1, 2 * EMBED))]).astype(np.float32)])
+    def numbered(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of some windows: the words that occur, the windows in numbers of these, and the inputs of each, the blank being the last one."""
+        used, local = np.unique(np.append(some.ravel(), 2 * n), return_inverse=True)
+        table = np.zeros((len(used), INPUTS), np.float32)
+        table[:, :GIVEN] = given[used]
+        table[:-1, GIVEN:] = embedded(network.p, places, used[:-1] % n)
+        return used, local[:-1].reshape(some.shape), table
+
+    def logits() -> np.ndarray:
+        parts = []
+        for a in range(0, len(rows), STEP_WINDOWS):
+            _, local, table = numbered(rows[a : a + STEP_WINDOWS])
+            parts.append(network.forward(table, local))
+        return np.concatenate(parts)
 
     for epoch in range(epochs):
         if epoch:
-            high = network.logits(whole_table(), rows)
+            high = logits()
         # per document: its highest window, and for clean ones also a drawn one
         rank = np.lexsort((-high, owner))
         best = rank[starts]
@@ -369,13 +383,10 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, epoc
             some = chosen[a : a + batch]
             target = labels[owner[some]]
             importance = np.where(target == 1, balance, 1.0)
-            used, local = np.unique(np.append(rows[some].ravel(), 2 * n), return_inverse=True)  # the last one is the blank
+            used, local, table = numbered(rows[some])
             shown, real = seen[used][:, None], used[:-1] % n
-            table = np.zeros((len(used), INPUTS), np.float32)
-            table[:, :GIVEN] = given[used]
-            table[:-1, GIVEN:] = embedded(network.p, places, real)
             table[:, [0, *range(GIVEN, GIVEN + EMBED)]] *= shown
-            g, d_table = network.gradients(table, local[:-1].reshape(len(some), -1), target, importance)
+            g, d_table = network.gradients(table, local, target, importance)
             d_own, d_mean = (d_table[:-1] * shown[:-1])[:, GIVEN : GIVEN + EMBED], d_table[:-1, GIVEN + EMBED :]
             g |= embedding_gradients(network.p, places, real, d_own, d_mean)
             ticks += 1
@@ -388,9 +399,8 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, epoc
                 q += 0.01 * (g[k] ** 2 - q)
                 step = rate * (EMBED_RATE if k in ("word", "gram") else 1)
                 v -= (step * (m / (1 - 0.9**ticks)) / (np.sqrt(q / (1 - 0.99**ticks)) + 1e-6)).astype(np.float32)
-    table = whole_table()
-    top = np.maximum.reduceat(network.logits(table, rows), starts)
-    del table, given, places, rows, inputs
+    top = np.maximum.reduceat(logits(), starts)
+    del given, places, rows, inputs
     release_memory()
     network.scale, network.shift = _calibrate(top, labels, np.where(labels == 1, share / own, (1 - share) / (1 - own)))
     return Model(learn(np.ones(len(texts), bool)), network)

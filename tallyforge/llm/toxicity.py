@@ -295,6 +295,21 @@ class Model:
         return scores
 
 
+def _numbered_in_steps(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """As ``number_words``, some of the texts at a time."""
+    known: dict[str, int] = {}
+    parts, ends, at = [np.empty(0, np.int32)], [np.empty(0, np.int64)], 0
+    for a, b in slices([len(t) for t in texts], STEP_CHARS):
+        words, numbers, upto = number_words(texts[a:b], words_of)
+        here = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words))
+        parts.append(here[numbers])
+        ends.append(upto + at)
+        at += len(numbers)
+        del words, numbers
+        release_memory()
+    return list(known), np.concatenate(parts), np.concatenate(ends)
+
+
 def _holders(words: list[str], numbers: np.ndarray, ends: np.ndarray, mine: np.ndarray) -> np.ndarray:
     """For each word the documents among ``mine`` that hold it."""
     owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
@@ -320,8 +335,7 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, epoc
         network.scale, network.shift = 0.0, -3.0 if not labels.any() else 3.0
         network.share = float(_sigmoid(np.float64(network.shift)))
         return Model(Codes(np.zeros(size, np.float32), np.zeros(size, np.float32)), network)
-    words, numbers, ends = number_words(texts, words_of)
-    release_memory()
+    words, numbers, ends = _numbered_in_steps(texts)
     half = rng.random(len(texts)) < 0.5
 
     def learn(mine: np.ndarray) -> Codes:

@@ -31,6 +31,13 @@ def pooled_ratio(df: DataFrame, numerator: Column, denominator: Column, by: list
     )
 
 
+def excluded_groups(df: DataFrame, by: list[str], numerator: Column, denominator: Column, zero: bool = False) -> DataFrame:
+    """The groups that a pooled ratio leaves out, with the reason: a side is missing, or with ``zero`` the denominator is 0,
+    for which a standardised ratio has no ratio of the group either."""
+    left_out = numerator.isNull() | denominator.isNull() | (F.lit(zero) & (denominator == 0))
+    return df.where(left_out).select(*by, div_reason(numerator, denominator).alias("reason"))
+
+
 def pooled_roi(df: DataFrame, spend: Column, gmv: Column, roi: Column, by: list[str] | None = None) -> DataFrame:
     """Pooled return on spend: the amount sold, or spend times its ratio where only that is known."""
     return pooled_ratio(df, F.coalesce(gmv, spend * roi).cast(SUM), spend, by)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.cells import is_missing, key_date, key_shape, norm_key, strict_number
+from tallyforge.functions.cells import bare, is_missing, key_date, key_shape, norm_key, strict_number
 from tallyforge.functions.names import ROW, agg_method
 
 EPS = "0.01"
@@ -231,11 +231,24 @@ def object_audit(objects: DataFrame, events: DataFrame, object_key: Column, even
     return about.join(met).withColumn("unmatched_rows", F.col("object_rows") - F.col("matched_rows"))
 
 
-def group_sums(df: DataFrame, group: Column, values: dict[str, Column]) -> DataFrame:
-    """Per trimmed group: rows, sums, and cells that are missing; a blank group is one too."""
+def group_sums(df: DataFrame, group: Column, values: dict[str, Column], cells: dict[str, Column] | None = None) -> DataFrame:
+    """Per group, without white space at its ends: rows, sums and cells without a value; a blank group is one too.
+
+    ``cells`` holds the text that a value was read from. Cells that aren't missing and still have no value are then counted
+    as bad, apart from missing ones, and the least and the greatest of them shown. ``only_space_differs`` marks groups that
+    would be one if all white space went.
+    """
     sums = [F.sum(v).cast(SUM).alias(f"sum_{n}") for n, v in values.items()]
-    gone = [F.count_if(v.isNull()).alias(f"missing_{n}") for n, v in values.items()]
-    return df.groupBy(F.trim(F.coalesce(group.cast("string"), F.lit(""))).alias("grp")).agg(F.count("*").alias("n_rows"), *sums, *gone)
+    for name, v in values.items():
+        text = (cells or {}).get(name)
+        bad = F.lit(False) if text is None else v.isNull() & ~is_missing(text, "reconcile")
+        sums.append(F.count_if(v.isNull() & ~bad).alias(f"missing_{name}"))
+        if text is not None:
+            seen = F.when(bad, text)
+            sums += [F.count_if(bad).alias(f"bad_{name}"), F.min(seen).alias(f"least_bad_{name}"), F.max(seen).alias(f"greatest_bad_{name}")]
+    groups = df.groupBy(bare(F.coalesce(group.cast("string"), F.lit(""))).alias("grp")).agg(F.count("*").alias("n_rows"), *sums)
+    alike = Window.partitionBy(norm_key(F.col("grp")))  # a row per group by now
+    return groups.withColumn("only_space_differs", F.count("*").over(alike) > 1)
 
 
 def additivity(df: DataFrame, group: Column, value: Column, total: Column | None = None, tolerance: str = EPS) -> DataFrame:

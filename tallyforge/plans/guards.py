@@ -36,11 +36,20 @@ def net_revenue(reconciled: Column, fulfilment_cost: Column, fee_policy: Column)
 
 
 def independent_units(records: Column, periods: Column, units: Column) -> dict[str, Column]:
-    """Records aren't independent samples: inference needs 10 units, counted by periods where units aren't given."""
+    """Records aren't independent samples: inference needs 10 units, counted by periods where units aren't given.
+
+    ``reasons`` says what stands against inference, joined by semicolons, and is blank where nothing does.
+    """
     n = F.coalesce(units, periods)
     infer = F.coalesce(n >= 10, F.lit(False))
     usable = ~F.coalesce(records > n, F.lit(False))
-    return {"n_units": n, "ok_to_infer": infer, "records_usable": usable, "label": F.when(infer, DIFFERENCE).otherwise(INSUFFICIENT)}
+    against = F.concat_ws(
+        "；",
+        F.when(records > n, F.concat(records.cast("long").cast("string"), F.lit(" 条记录来自 "), n.cast("long").cast("string"), F.lit(" 个单位，组内相关"))),
+        F.when(periods < 3, F.concat(F.lit("干预周期只有 "), periods.cast("long").cast("string"), F.lit(" 个"))),
+        F.when(n < 10, F.concat(F.lit("独立单位只有 "), n.cast("long").cast("string"), F.lit(" 个，仅供探索"))),
+    )
+    return {"n_units": n, "ok_to_infer": infer, "records_usable": usable, "label": F.when(infer, DIFFERENCE).otherwise(INSUFFICIENT), "reasons": against}
 
 
 def multiple_comparisons(n_tests: Column) -> Column:

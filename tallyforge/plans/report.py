@@ -7,12 +7,35 @@ from collections.abc import Sequence
 from tallyforge.functions.cells import cell_text
 from tallyforge.operators.reconcile import FAIL, PASS, WARN
 from tallyforge.plans.facts import fact_line
+from tallyforge.plans.guards import LABELS
 
 SECTIONS = ("结论", "数据范围与口径", "关键数字", "对账结果", "观察与差异", "限制与风险", "下一步")
+# The twelve questions of the checklist, and the sentences that no report may hold.
 CHECKLIST = (
-    "分子分母先汇总再相除", "分母为零写明无法计算", "缺失不等于零", "金额用十进制", "关联前先按对象聚合", "关联前后总额一致",
-    "空键不参与关联", "同期群已成熟", "曲线各节点分母相同", "解析失败已计数", "证据标签齐全", "未把归因当新增",
-)
+    "金额合计能否由原始记录独立复算。",
+    "日、商品、渠道等互斥完整分组能否回加总量。",
+    "状态类别是否互斥；不互斥时不能强行相加。",
+    "关联是否造成重复累计。",
+    "每个比例的分母是否匹配。",
+    "日期是否包含部分日或跨期记录。",
+    "退款、核销状态是否处理撤销和后续变更。",
+    "缺失是否被错误当成零。",
+    "极端值是否核实。",
+    "用户口述与表格结果是否混为一谈。",
+    "抽样检验是否误当成全量验证。",
+    "每项重要结论是否能追溯到字段、筛选和公式。",
+)
+RED_LINES = (
+    "「今天核销额 ÷ 今天成交额 = 真实核销率」",
+    "「整体 ROI = 各组 ROI 的平均」",
+    "「核销率 0%」（当分母为 0 时 —— 应该说「不可计算」）",
+    "「广告新增 ROI = 总成交额 ÷ 消耗」",
+    "「3000 个订单 = 3000 个独立样本」",
+    "「提升 1%」（当实际是 1 个百分点时）",
+    "「净收入 = 用户实付 － 退款」（未对账时）",
+    "「剔除已退款订单后核销率提升到 XX%」",
+    "「A 素材比 B 素材好」（当两者观察年龄或批次不同时）",
+)
 
 
 def md_table(headers: Sequence[str], rows: Sequence[Sequence[object]]) -> str:
@@ -62,7 +85,7 @@ def cohort_report(rate: dict, curve: list[dict], semantics: str) -> str:
 
 
 def scaffold(facts: list[dict], meta: dict | None = None) -> str:
-    """Seven sections, the key numbers filled in, and a checklist."""
+    """Seven sections, the key numbers filled in, then the evidence labels to choose from, the checklist and the red lines."""
     meta = meta or {}
     parts = [f"# {meta.get('title', '经营数据核对报告')}"]
     for i, name in enumerate(SECTIONS, 1):
@@ -71,4 +94,5 @@ def scaffold(facts: list[dict], meta: dict | None = None) -> str:
             parts += [fact_line(f) for f in facts] or ["（没有可引用的数字）"]
         else:
             parts.append(meta.get(name, "（待填写）"))
-    return "\n\n".join([*parts, "## 附录：检查清单", "\n".join(f"- [ ] {x}" for x in CHECKLIST)])
+    parts += ["## 附录：证据标签", "、".join(LABELS), "## 附录：检查清单", "\n".join(f"- [ ] {x}" for x in CHECKLIST)]
+    return "\n\n".join([*parts, "## 附录：红线（报告中不得出现）", "\n".join(f"- {x}" for x in RED_LINES)])

@@ -113,6 +113,18 @@ def standardized_ratio(spark, sf_dir):
     return ratios.standardised_ratio(g, weight, F.col("n"), F.col("d")).select(num("ratio", 8).alias("ratio"))
 
 
+@query("""WITH g AS (SELECT n_nationkey AS nation, CASE WHEN n_nationkey % 4 <> 1 THEN 1 END AS n, CASE WHEN n_nationkey % 5 <> 2 THEN n_nationkey % 3 END AS d FROM nation),
+    r AS (SELECT *, CASE WHEN n IS NULL THEN '分子缺失' WHEN d IS NULL THEN '分母缺失' WHEN d = 0 THEN '分母为零' END AS reason FROM g)
+    SELECT 'pooled' AS kind, CAST(nation AS BIGINT) AS nation, reason FROM r WHERE n IS NULL OR d IS NULL
+    UNION ALL SELECT 'standardised', CAST(nation AS BIGINT), reason FROM r WHERE reason IS NOT NULL""")
+def excluded_groups(spark, sf_dir):
+    k = F.col("n_nationkey")
+    g = table(spark, sf_dir, "nation").select(whole(k).alias("nation"), F.when(k % 4 != 1, 1).alias("n"), F.when(k % 5 != 2, k % 3).alias("d"))
+    both = (("pooled", False), ("standardised", True))
+    parts = [ratios.excluded_groups(g, ["nation"], F.col("n"), F.col("d"), zero).withColumn("kind", F.lit(kind)) for kind, zero in both]
+    return parts[0].unionByName(parts[1])
+
+
 @query("""WITH y AS (SELECT year(o_orderdate) AS y, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS v FROM orders GROUP BY 1)
     SELECT CAST(y AS BIGINT) AS y, CAST(v AS DOUBLE) AS v, CAST(v - lag(v) OVER (ORDER BY y) AS DOUBLE) AS delta,
     round(CAST(v - lag(v) OVER (ORDER BY y) AS DOUBLE) / CAST(lag(v) OVER (ORDER BY y) AS DOUBLE), 6) AS relative FROM y""")
@@ -489,12 +501,19 @@ def agg_list(spark, sf_dir):
 # --- groups and duplicates ---------------------------------------------------------------------------------------------
 
 
-@query("""SELECT c_mktsegment AS grp, count(*) AS n_rows, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS sum_balance, count(*) FILTER (c_custkey % 6 = 0) AS missing_flag FROM customer GROUP BY 1""")
+@query("""WITH c AS (SELECT c_mktsegment || CASE WHEN c_custkey % 7 = 0 AND c_mktsegment < 'G' THEN ' A' ELSE 'A' END AS grp, c_custkey AS k, CAST(c_acctbal AS DECIMAL(18,2)) AS v FROM customer),
+    t AS (SELECT *, k % 6 = 0 AS gone, k % 6 <> 0 AND k % 5 = 0 AS bad FROM c),
+    g AS (SELECT grp, count(*) AS n_rows, CAST(sum(CASE WHEN NOT gone AND NOT bad THEN v END) AS DOUBLE) AS sum_balance, count(*) FILTER (gone) AS missing_balance, count(*) FILTER (bad) AS bad_balance,
+    min(CASE WHEN bad THEN 'x' || k END) AS least_bad_balance, max(CASE WHEN bad THEN 'x' || k END) AS greatest_bad_balance, count(*) FILTER (k % 6 = 0) AS missing_flag FROM t GROUP BY 1)
+    SELECT *, count(*) OVER (PARTITION BY replace(grp, ' ', '')) > 1 AS only_space_differs FROM g""")
 def group_sums(spark, sf_dir):
-    values = {"balance": dec("c_acctbal"), "flag": F.when(F.col("c_custkey") % 6 != 0, F.lit(1).cast("decimal(4,0)"))}
-    group = F.concat(F.lit(" "), F.col("c_mktsegment"))
-    out = reconcile.group_sums(table(spark, sf_dir, "customer"), group, values)
-    return out.select("grp", "n_rows", num("sum_balance").alias("sum_balance"), "missing_flag")
+    k = F.col("c_custkey")
+    text = F.when(k % 6 == 0, "-").when(k % 5 == 0, F.concat(F.lit("x"), k.cast("string"))).otherwise(dec("c_acctbal").cast("string"))
+    values = {"balance": cells.strict_number(text)["value"], "flag": F.when(k % 6 != 0, F.lit(1).cast("decimal(4,0)"))}
+    tail = F.when((k % 7 == 0) & (F.col("c_mktsegment") < "G"), " A").otherwise("A")
+    group = F.concat(F.lit(" "), F.col("c_mktsegment"), tail, F.lit("\u3000"))
+    out = reconcile.group_sums(table(spark, sf_dir, "customer"), group, values, {"balance": text})
+    return out.drop("sum_flag").withColumn("sum_balance", num("sum_balance"))
 
 
 @query("""SELECT CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS group_total, count(DISTINCT c_mktsegment) AS n_groups,
@@ -658,7 +677,9 @@ def day_range(spark, sf_dir):
 
 
 @query("""WITH g AS (SELECT event_type, count(*) AS n_records, count(DISTINCT CAST(ts AS DATE)) AS n_units FROM events GROUP BY 1)
-    SELECT event_type, n_records, n_units, n_units >= 10 AS ok_to_infer, n_records <= n_units AS records_usable, CASE WHEN n_units >= 10 THEN '观察性差异' ELSE '数据不足' END AS label FROM g""")
+    SELECT event_type, n_records, n_units, n_units >= 10 AS ok_to_infer, n_records <= n_units AS records_usable, CASE WHEN n_units >= 10 THEN '观察性差异' ELSE '数据不足' END AS label,
+    concat_ws('；', CASE WHEN n_records > n_units THEN n_records || ' 条记录来自 ' || n_units || ' 个单位，组内相关' END, CASE WHEN n_units < 3 THEN '干预周期只有 ' || n_units || ' 个' END,
+    CASE WHEN n_units < 10 THEN '独立单位只有 ' || n_units || ' 个，仅供探索' END) AS reasons FROM g""")
 def units_guard(spark, sf_dir):
     g = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n_records"), F.count_distinct(F.to_date("ts")).alias("periods"))
     return g.withColumns(guards.independent_units(F.col("n_records"), F.col("periods"), F.lit(None).cast("long"))).drop("periods")

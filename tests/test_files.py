@@ -8,7 +8,7 @@ import pytest
 
 from tallyforge import cli
 from tallyforge.operators import profile, reconcile
-from tallyforge.plans import facts, report
+from tallyforge.plans import facts, guards, report
 from tallyforge.sources import sinks, tables
 
 ORDERS = """订单ID,下单时间,支付时间,实收金额,订单状态
@@ -83,6 +83,7 @@ def test_facts_and_report(tmp_path):
     assert [f["label"] for f in sinks.load_facts(str(tmp_path / "g.json"))] == ["核销率", "b"]
     text = report.scaffold(sinks.load_facts(str(tmp_path / "g.json")))
     assert "核销率：50%" in text and text.count("- [ ]") == 12
+    assert all(x in text for x in (*report.RED_LINES, *guards.LABELS))
     r = facts.Result(None, reason="分母为零")
     assert not r.ok and "0.00" not in r.display() and facts.Result(Decimal("0.25")).display(as_percent=True) == "25.00%"
 

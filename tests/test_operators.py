@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.functions import cells
 from tallyforge.functions.cells import parse_time, strict_number
 from tallyforge.operators import cohort, distribution, profile, ratios, reconcile
 from tallyforge.plans import guards
@@ -185,8 +186,20 @@ def test_profile_blocks(spark):
     assert [str(r.day) for r in profile.missing_days(days, F.to_date("d")).orderBy("day").collect()] == ["2024-08-03", "2024-08-04"]
 
 
-@pytest.mark.parametrize(("records", "periods", "units", "infer", "usable"), [(2000, 1, None, False, False), (50, None, 60, True, True), (None, None, None, False, True)])
-def test_units_guard(spark, records, periods, units, infer, usable):
+@pytest.mark.parametrize(
+    ("records", "periods", "units", "infer", "usable", "reasons"), [(2000, 1, None, False, False, 3), (50, None, 60, True, True, 0), (None, None, None, False, True, 0), (60, 5, 60, True, True, 0)]
+)
+def test_units_guard(spark, records, periods, units, infer, usable, reasons):
     df = spark.createDataFrame([(records, periods, units)], "r int, p int, u int")
     r = df.select(*(c.alias(n) for n, c in guards.independent_units(F.col("r"), F.col("p"), F.col("u")).items())).first()
     assert (r.ok_to_infer, r.records_usable) == (infer, usable)
+    assert len([x for x in r.reasons.split("；") if x]) == reasons
+
+
+def test_group_sums_tell_bad_from_missing(spark):
+    df = spark.createDataFrame([("a", "1"), ("a ", "-"), ("a", "zz"), ("a", "yy"), ("a b", "2"), ("ab", None), (None, "3")], "g string, v string")
+    out = {r.grp: r for r in reconcile.group_sums(df, F.col("g"), {"v": cells.strict_number(F.col("v"))["value"]}, {"v": F.col("v")}).collect()}
+    assert (out["a"].n_rows, out["a"].missing_v, out["a"].bad_v, out["a"].least_bad_v, out["a"].greatest_bad_v) == (4, 1, 2, "yy", "zz")
+    assert out["a b"].only_space_differs and out["ab"].only_space_differs and not out["a"].only_space_differs
+    assert out[""].sum_v == 3 and out["ab"].missing_v == 1 and out["ab"].bad_v == 0
+    assert reconcile.group_sums(df.limit(0), F.col("g"), {"v": F.lit(1)}).count() == 0

@@ -27,6 +27,13 @@ def _money(name: str):
     return strict_number(F.col(f"`{name}`"))["value"]
 
 
+def _gap_notes(gaps: DataFrame | None) -> list[str]:
+    if gaps is None:
+        return []
+    r = gaps.agg(F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("last")).first()
+    return [f"【警告】{r['n']} 天没有数据，最早 {r['first']}，最晚 {r['last']}"] if r["n"] else []
+
+
 def contract(spark: SparkSession, paths: Sequence[str], as_json: bool = False) -> tuple[str, int]:
     """Profiles of files; one that can't be read is told of and doesn't stop the others."""
     parts, failed = [], 0
@@ -40,8 +47,8 @@ def contract(spark: SparkSession, paths: Sequence[str], as_json: bool = False) -
         columns = profile.profile(t.df)
         exported = profile.suggest(t.df)["export_time"]
         grains = profile.grain(columns)
-        day = names.file_date(t.name)
-        notes = t.notes + ([f"文件名日期：{day}"] if day else [])
+        _, dated = profile.file_date_note(names.file_date(t.name), columns)
+        notes = t.notes + ([dated] if dated else []) + _gap_notes(profile.daily_gaps(t.df, columns))
         notes += [f"「{c}」是导出或快照时间，不是业务发生时间" for c in exported]
         parts.append(sinks.to_json({"table": t.name, "columns": columns, "grain": grains}) if as_json else report.contract_report(t.name, columns, grains, notes, profile.answers(columns, grains)))
     return "\n\n".join(parts), failed

@@ -26,6 +26,7 @@ AFTER_SALE = re.compile(r"(退款|售后|退货).*(单号|编号|ID|id|券码)|(
 MATERIAL = re.compile(r"素材|视频ID|视频id|作品")
 PLAN = re.compile(r"计划|广告|推广|投放|单元")
 STORE = re.compile(r"门店|店铺|门店名称|门店ID|门店id|poi", re.I)
+DIMENSION = re.compile(r"门店|店铺|商品|素材|计划|活动|达人|视频|渠道|账号|区域")
 EXPORT_TIME = re.compile(r"导出|下载|生成|拉取|统计时间|快照|更新时间")
 DATE_COLUMN = re.compile(r"日期|时间|月份|年月|期间|周期|date|time|month|week")
 AUDIT_QUANTITY = re.compile(r"数量|件数|张数|份数|人数|个数|笔数|台数|次数|购买数|券数|单数|qty|quantity", re.I)

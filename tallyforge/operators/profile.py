@@ -5,6 +5,8 @@ All columns are profiled by one wide aggregate; only what needs a grouping of it
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,6 +185,31 @@ def profile(df: DataFrame, order: list[str] = ()) -> list[dict]:
     return out
 
 
+def daily_gaps(df: DataFrame, columns: list[dict]) -> DataFrame | None:
+    """Days without rows, by the first time column of a table whose rows are days of something.
+
+    None for a table without times, and for one with an ID of events (orders, coupons): its days may well be empty.
+    """
+    times = [c["column"] for c in columns if c["kind"] == "时间"]
+    events = [c for c in columns if c["kind"] == "ID" and not names.DIMENSION.search(c["column"])]
+    if events or not times:
+        return None
+    return missing_days(df, parse_time_format(F.col(f"`{times[0]}`").cast("string"))["value"])
+
+
+def file_date_note(day: datetime.date | None, columns: list[dict]) -> tuple[bool | None, str]:
+    """Whether the date in a file's name lies within the times of its columns, export times left out, and what to say of it."""
+    spans = [c for c in columns if c["kind"] == "时间" and c["parsed"] and not names.EXPORT_TIME.search(c["column"])]
+    if day is None:
+        return None, ""
+    if not spans:
+        return None, f"文件名日期 {day}，表内没有时间列可供核对"
+    first, last = min(c["first"] for c in spans).date(), max(c["last"] for c in spans).date()
+    inside = first <= day <= last
+    said = "在数据时间之内，但仍不能当作业务日期过滤" if inside else "【警告】不在数据时间之内，请按表内时间列过滤"
+    return inside, f"文件名日期 {day}（数据 {first} ~ {last}）：{said}"
+
+
 def suggest(df: DataFrame, order: list[str] = ()) -> dict[str, list[str]]:
     """Columns to use as times, ids and amounts, and times that say when a table was made, by which nothing should be filtered.
 

@@ -127,3 +127,21 @@ def test_suggestions(spark):
     assert profile.suggest(df) == {"time": ["made"], "id": ["券码"], "money": [], "export_time": []}
     named = spark.createDataFrame([("1", "a")], "`生成时间` string, `实付金额` string")
     assert profile.suggest(named) == {"time": ["生成时间"], "id": [], "money": ["实付金额"], "export_time": ["生成时间"]}
+
+
+def test_dates_of_files_and_gaps(spark, tmp_path):
+    day = datetime.date(2024, 8, 9)
+    columns = [{"column": "日期", "kind": "时间", "parsed": 2, "first": datetime.datetime(2024, 8, 1), "last": datetime.datetime(2024, 8, 9, 12)}]
+    assert profile.file_date_note(day, columns)[0] is True and profile.file_date_note(datetime.date(2024, 8, 10), columns)[0] is False
+    assert profile.file_date_note(None, columns) == (None, "") and profile.file_date_note(day, [])[0] is None
+    exported = [{**columns[0], "column": "导出时间"}]
+    assert profile.file_date_note(day, exported)[0] is None
+
+    df = spark.createDataFrame([("2024-08-01",), ("2024/8/2",), ("2024-08-05",)], "`日期` string")
+    assert profile.daily_gaps(df, columns).count() == 2
+    store, order = {"column": "门店ID", "kind": "ID"}, {"column": "订单ID", "kind": "ID"}
+    assert profile.daily_gaps(df, [*columns, store]).count() == 2 and profile.daily_gaps(df, [*columns, order]) is None and profile.daily_gaps(df, []) is None
+
+    daily = put(tmp_path / "spend_20240901.csv", "日期,消耗\n2024-08-01,1\n2024-08-02,2\n2024-08-05,3\n")
+    text, failed = cli.contract(spark, [daily])
+    assert not failed and "不在数据时间之内" in text and "2 天没有数据，最早 2024-08-03，最晚 2024-08-04" in text

@@ -190,7 +190,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fingerprint_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-# --- groups of similar documents: signatures of parts of shingle sets, every pair that shares one, whole sets ---------
+# --- groups of similar documents: fingerprints by the tables above, then parts of shingle sets, every pair that shares one, whole sets ---
+
+#: Words of the shingles that make a fingerprint, as in ``op3_simhash``.
+FINGERPRINT_WIDTH = 3
 
 #: 64-bit words of the parity bits of a set.
 WORDS = 4
@@ -252,24 +255,26 @@ def set_id(shingles: np.ndarray) -> int:
     return int.from_bytes(blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (row, id, cid, n, bits, long) of docs (row, id, text): the number of each text's set, its size and parity bits."""
+def _sets(docs: DataFrame, width: int, by_fingerprint: bool) -> DataFrame:
+    """Rows (row, id, fp, cid, n, bits, long) of docs (row, id, text): each text's fingerprint (else 0), the number of its set, its size and parity bits."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(x.as_py(), width) for x in batch.column(2)]
+        prints = [fingerprint(shingle_hashes(x.as_py(), FINGERPRINT_WIDTH)) if by_fingerprint else 0 for x in batch.column(2)]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 batch.column(1),
+                pa.array(np.array(prints, np.uint64).view(np.int64)),
                 pa.array([set_id(s) for s in sets], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([parity(s.astype(np.uint64)).tobytes() for s in sets], pa.binary()),
                 pa.array([long_parity(s.astype(np.uint64)) for s in sets], pa.binary()),
             ],
-            names=["row", "id", "cid", "n", "bits", "long"],
+            names=["row", "id", "fp", "cid", "n", "bits", "long"],
         )
 
-    return map_batches(docs, run, "row bigint, id bigint, cid bigint, n bigint, bits binary, long binary")
+    return map_batches(docs, run, "row bigint, id bigint, fp bigint, cid bigint, n bigint, bits binary, long binary")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -515,8 +520,20 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int
     return cut(map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t"), run, "a bigint, b bigint"))
 
 
-def _components(classes: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """Components (node, component) of classes (cid, n, bits, long) linked where their sets are similar; those without a link are left out.
+def _fingerprint_edges(marked: DataFrame) -> DataFrame:
+    """Edges (a, b) between sets of ``marked`` (cid, fp) that connect those whose fingerprints are equal or linked by multi-index hashing.
+
+    The least set of each fingerprint stands for it. A set that occurs with several fingerprints connects them.
+    """
+    hubs = cut(marked.groupBy("fp").agg(F.min("cid").alias("hub")))
+    left, right = (hubs.select(F.col("fp").alias(end), F.col("hub").alias(f"hub_{end}")) for end in "ab")
+    between = link_edges(hubs.select("fp")).join(left, "a").join(right, "b").select(F.col("hub_a").alias("a"), F.col("hub_b").alias("b"))
+    copies = marked.join(hubs, "fp").select(F.col("hub").alias("a"), F.col("cid").alias("b"))
+    return cut(copies.unionByName(between).where("a <> b"))
+
+
+def _components(classes: DataFrame, texts: DataFrame, width: int, least: float, linked: DataFrame | None = None) -> DataFrame:
+    """Components (node, component) of classes (cid, n, bits, long) that are ``linked`` (a, b) or have similar sets; those without a link are left out.
 
     A first round links each set to the hub that it meets most often. What is not in one component then is compared pair by pair.
     """
@@ -527,6 +544,7 @@ def _components(classes: DataFrame, texts: DataFrame, width: int, least: float)
     met = _hub_pairs(members.repartition(n, "entry").sortWithinPartitions("entry", "cid"), least).groupBy("a", "b").count()
     pairs = cut(met.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select("best.a", "b"))
     edges = _verified(pairs, classes, texts, width, least)
+    edges = edges if linked is None else linked.unionByName(edges)
     nodes = cut(connected_components(edges))
     labelled = shared.join(nodes.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid"))
     others = cut(_other_pairs(cut(labelled.select("entry", "cid", "label")), seen, least))
@@ -536,10 +554,13 @@ def _components(classes: DataFrame, texts: DataFrame, width: int, least: float)
     return nodes if more.isEmpty() else connected_components(edges.unionByName(more))
 
 
-def distinct_documents(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def distinct_documents(
+    docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text: str = "text", by_fingerprint: bool = False
+) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one with the smallest id (null ids last).
 
-    Documents are linked if the whole sets of their ``width``-word shingles have a Jaccard similarity of ``least`` or more. Shingles
+    Documents are linked if the whole sets of their ``width``-word shingles have a Jaccard similarity of ``least`` or more; ``by_fingerprint``, those
+    whose SimHash fingerprints differ in 2 bits or fewer are linked first, found by multi-index hashing as in ``near_duplicates``. Shingles
     are 32-bit hashes. Each set is dealt in more parts than two similar sets can differ in members, so similar ones have an equal part;
     of those that share one, all pairs that links don't connect yet are compared. Equal sets are one class, so texts without words
     (null, empty) are one group; of repeated rows one stays. All columns are kept, whatever their names. An empty
@@ -547,10 +568,15 @@ def distinct_documents(docs: DataFrame, width: int = 5, least: float = 0.8, id_c
     """
     numbered = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    rows = _sets(slim, width)
+    rows = _sets(slim, width, by_fingerprint)
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
-    classes = cut(rows.groupBy("cid").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("long").alias("long")))
-    nodes = _components(classes, slim.select("text"), width, least).withColumnRenamed("node", "cid")
+    alike = [F.first(c).alias(c) for c in ("n", "bits", "long")]
+    marked = rows.withColumn("first", order)
+    if by_fingerprint:
+        marked = cut(marked.groupBy("cid", "fp").agg(F.min("first").alias("first"), *alike))
+    classes = cut(marked.groupBy("cid").agg(F.min("first").alias("first"), *alike))
+    linked = _fingerprint_edges(marked.select("cid", "fp")) if by_fingerprint else None
+    nodes = _components(classes, slim.select("text"), width, least, linked).withColumnRenamed("node", "cid")
     grouped = classes.select("cid", "first").join(nodes, "cid", "left").select(F.coalesce("component", "cid").alias("component"), "first")
     kept = grouped.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     return numbered.join(kept, "row", "left_semi").select("doc.*")

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tallyforge.llm import simhash, topk, vectors
 from tallyforge.llm.common import connected_components, shared_dir
 
@@ -156,6 +157,19 @@ def test_star_of_near_copies_is_one_group(spark, docs):
     assert sorted(x.doc_id for x in simhash.distinct_documents(docs(list(enumerate(texts)))).collect()) == want
 
 
+def test_fingerprints_group_documents_too(spark, docs):
+    """Texts whose fingerprints multi-index hashing links, some with sets that are far apart: one of each such group stays."""
+    r = random.Random(21)
+    tail = lambda: " ".join(f"t{r.randrange(10**6)}" for _ in range(12))
+    texts = [f"{'one line again and again ' * 200}{tail()}" for _ in range(5)]  # 5 of 21 and more 5-word shingles in common
+    texts += [f"{'some other words ' * 200}{tail()}", tail(), "a b c", "A b C d", *corpus(40)[:60]]
+    table = docs(list(enumerate(texts)))
+    groups = {x.doc_id: x.component_id for x in simhash.near_duplicates(table).collect()}
+    assert len({groups[i] for i in range(5)}) == 1 and len(kept_by_brute_force(texts[:7])) == 7
+    kept = [x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, table, "").collect()]
+    assert len({groups[i] for i in kept}) == len(kept) and {0, 5, 6} <= set(kept)
+
+
 def test_large_entries_meet_in_tiles(spark, docs, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 16)
     r = random.Random(11)

@@ -231,6 +231,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.A
         release_memory()
 
 
+def _alone(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """``batch``, once what it was made of is given back to the system: a task waits here while the JVM works on what it yields."""
+    release_memory()
+    return batch
+
+
 def _lists(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """Sizes and joined numbers of a column of number lists."""
     offsets = lists.offsets.to_numpy()
@@ -250,7 +256,7 @@ def common_words(narrow: DataFrame, table: RankMap, most_bytes: int = COMMON_BYT
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _blocks(batches, BLOCK_CHARS):
-            yield pa.RecordBatch.from_arrays([pa.array(split(texts)[0], pa.binary())], names=["word"])
+            yield _alone(pa.RecordBatch.from_arrays([pa.array(split(texts)[0], pa.binary())], names=["word"]))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,56 +302,62 @@ def encode(
     context = docs.sparkSession.sparkContext
     shared, spelling = context.broadcast(common_words(narrow, table)), context.broadcast(pieces)
 
+    def number(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
+        with no_collection():
+            words, numbers, ends = split(texts)
+            size, flat = shared.value.find(words, spelling.value)
+            rest = [words[i] for i in np.nonzero(size == 0)[0].tolist()]
+        raw = numbers.astype("<i4").tobytes()
+        offsets = pa.array([0, len(ids)], pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.ListArray.from_arrays(offsets, ids),
+                pa.array([ends.astype("<i8").tobytes()], pa.binary()),
+                pa.array([len(raw)], pa.int64()),
+                pa.array([pa.compress(raw, codec="lz4", asbytes=True)], pa.binary()),
+                pa.array([size.astype("<i4").tobytes()], pa.binary()),
+                pa.array([flat.astype("<u4").tobytes()], pa.binary()),
+                pa.array([rest], pa.list_(pa.binary())),
+            ],
+            names=["ids", "ends", "bytes", "numbers", "size", "flat", "rest"],
+        )
+
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _blocks(batches, BLOCK_CHARS):
-            with no_collection():
-                words, numbers, ends = split(texts)
-                size, flat = shared.value.find(words, spelling.value)
-                rest = [words[i] for i in np.nonzero(size == 0)[0].tolist()]
-            raw = numbers.astype("<i4").tobytes()
-            offsets = pa.array([0, len(ids)], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.ListArray.from_arrays(offsets, ids),
-                    pa.array([ends.astype("<i8").tobytes()], pa.binary()),
-                    pa.array([len(raw)], pa.int64()),
-                    pa.array([pa.compress(raw, codec="lz4", asbytes=True)], pa.binary()),
-                    pa.array([size.astype("<i4").tobytes()], pa.binary()),
-                    pa.array([flat.astype("<u4").tobytes()], pa.binary()),
-                    pa.array([rest], pa.list_(pa.binary())),
-                ],
-                names=["ids", "ends", "bytes", "numbers", "size", "flat", "rest"],
-            )
+            block = number(ids, texts)
+            del ids, texts
+            yield _alone(block)
+
+    def spell_block(ids: pa.Array, made: pa.ListArray, ends: bytes, bytes_: int, numbers: bytes, size: bytes, flat: bytes, spell: Strings, decimal: Strings) -> pa.RecordBatch:
+        size = np.frombuffer(size, "<i4").astype(np.int64)
+        new = size == 0
+        size[new], made = _lists(made)
+        every = np.empty(int(size.sum()), "<u4")
+        mine = np.repeat(new, size)
+        every[~mine] = np.frombuffer(flat, "<u4")
+        every[mine] = made
+        sequence = np.frombuffer(pa.decompress(numbers, bytes_, codec="lz4", asbytes=True), "<i4")
+        tokens = list(Strings(every, size).join(sequence, np.frombuffer(ends, "<i8")))
+        flat_tokens = np.concatenate(tokens) if tokens else every
+        until = np.cumsum([len(x) for x in tokens])
+        if digests:
+            out = [
+                pa.array([len(x) for x in tokens], pa.int64()),
+                pa.array([hashlib.sha256(x.tobytes()[:-1]).hexdigest() for x in decimal.join(flat_tokens, until)]),
+                pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in spell.join(flat_tokens, until)]),
+            ]
+        else:
+            out = [pa.array([x.tobytes() for x in tokens], pa.binary()), pa.array([x.tobytes() for x in spell.join(flat_tokens, until)], pa.binary())]
+        return pa.RecordBatch.from_arrays([ids, *out], names=[id_col, *(("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))])
 
     def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell = Strings.of_bytes(spelling.value)
         decimal = Strings.of_bytes([b"%d," % i for i in range(len(spelling.value))])
         for batch in batches:
             column = lambda name, held=batch: held.column(held.schema.get_field_index(name))
-            for row, (bytes_, numbers, ends, size, flat) in enumerate(
-                zip(*(column(c).to_pylist() for c in ("bytes", "numbers", "ends", "size", "flat")))
-            ):
-                size = np.frombuffer(size, "<i4").astype(np.int64)
-                new = size == 0
-                size[new], made = _lists(column("made")[row].values)
-                every = np.empty(int(size.sum()), "<u4")
-                mine = np.repeat(new, size)
-                every[~mine] = np.frombuffer(flat, "<u4")
-                every[mine] = made
-                sequence = np.frombuffer(pa.decompress(numbers, bytes_, codec="lz4", asbytes=True), "<i4")
-                tokens = list(Strings(every, size).join(sequence, np.frombuffer(ends, "<i8")))
-                flat_tokens = np.concatenate(tokens) if tokens else every
-                until = np.cumsum([len(x) for x in tokens])
-                id_values = column("ids")[row].values
-                if digests:
-                    out = [
-                        pa.array([len(x) for x in tokens], pa.int64()),
-                        pa.array([hashlib.sha256(x.tobytes()[:-1]).hexdigest() for x in decimal.join(flat_tokens, until)]),
-                        pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in spell.join(flat_tokens, until)]),
-                    ]
-                else:
-                    out = [pa.array([x.tobytes() for x in tokens], pa.binary()), pa.array([x.tobytes() for x in spell.join(flat_tokens, until)], pa.binary())]
-                yield pa.RecordBatch.from_arrays([id_values, *out], names=[id_col, *(("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))])
+            for row in range(batch.num_rows):
+                told = (column(c)[row].as_py() for c in ("ends", "bytes", "numbers", "size", "flat"))
+                yield _alone(spell_block(column("ids")[row].values, column("made")[row].values, *told, spell, decimal))
 
     blocks = narrow.mapInArrow(numbered, f"ids array<{kind}>, ends binary, bytes bigint, numbers binary, size binary, flat binary, rest array<binary>")
     folded = blocks.withColumn("made", table.bind("array<array<int>>", lambda rank: F.transform("rest", lambda w: encode_word(w, rank, table.in_order)))).drop("rest")

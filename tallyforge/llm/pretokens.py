@@ -36,6 +36,7 @@ def split(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     raw = "".join(texts).encode("utf-8", "replace")
     whole = raw.decode("utf-8")  # what can't be encoded has become a question mark, one for one
     code = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+    del whole
     n = len(code)
     stops = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
     if not n:
@@ -53,13 +54,12 @@ def split(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     # apostrophes that begin a word: cuts, not after a blank (which would have joined)
     quote = np.nonzero((code == 39) & cut[:n])[0]
     if len(quote):
-        padded = np.append(code, np.zeros(2, code.dtype))
         at, after = np.searchsorted(stops, quote, side="right"), None
         room = stops[at] - quote  # characters to the end of the text, with the apostrophe
         for ending in ENDINGS:
             after = np.ones(len(quote), bool)
             for i, c in enumerate(ending, 1):
-                after &= padded[np.minimum(quote + i, n + 1)] == ord(c)
+                after &= code[np.minimum(quote + i, n - 1)] == ord(c)  # what lies past the end has no room
             hit = quote[after & (room > len(ending))]
             cut[hit + 1] = False
             cut[hit + 1 + len(ending)] = True

@@ -30,6 +30,8 @@ SHARD_BYTES = 48 << 20
 MOST_SHARDS, DRAWN = 50_000, 20
 #: Characters of texts encoded at a time.
 STEP_CHARS = 8 << 20
+#: Rows of texts, or of blocks of about BLOCK_IDS ids, that a Parquet reader decodes at a time on the heap.
+READ_ROWS = 64
 
 
 def id_width(vocabulary: int) -> int:
@@ -120,6 +122,12 @@ class Encoder:
         return [np.array(next(whole).ids, self.small).tobytes() if i in apart else next(plain) for i in range(len(texts))]
 
 
+def short_reads(df: DataFrame) -> DataFrame:
+    """``df``, with its session set to decode READ_ROWS rows of Parquet at a time: the usual 4096 rows of texts or blocks are large arrays that fill the heap."""
+    df.sparkSession.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+    return df
+
+
 def _bounds(docs: DataFrame) -> list[tuple]:
     """Shard bounds over (doc_id, text hash, row), from a drawn sample of about DRAWN rows for each shard."""
     n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
@@ -140,7 +148,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     their text; equal rows may lie in several shards. Texts of any length are encoded whole, a long one being a block of its own.
     Other columns, whatever their names, play no part. An empty table writes an empty file set.
     """
-    docs = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("r"))
+    docs = short_reads(small_batches(docs)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("r"))
     docs = docs.withColumn("h", F.xxhash64("text"))
     bounds = _bounds(docs)
 
@@ -230,7 +238,7 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = False) -> DataF
     ``start`` counts the ids of all documents before. The totals of the shards (a few numbers
     each, as many as there are files) are summed in order and broadcast.
     """
-    blocks = spark.read.parquet(path)
+    blocks = short_reads(spark.read.parquet(path))
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()  # one row per file
     base, at = {}, 0
     for r in sorted(totals):

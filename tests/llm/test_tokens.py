@@ -165,3 +165,15 @@ def test_a_waiting_task_holds_no_split_texts():
     before = held()
     batch = bpe._alone(pa.RecordBatch.from_arrays([pa.array([len(pretokens.split(texts)[0])])], names=["n"]))
     assert batch.column(0)[0].as_py() > 100_000 and held() < before + 40
+
+
+def test_token_files_are_read_a_few_blocks_at_a_time(spark, docs, tmp_path):
+    """No array of the reader holds more than READ_ROWS blocks, whose payloads are 128 KiB each."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.unset(name)
+    where = str(tmp_path / "tokens")
+    tokenfiles.write_token_files(docs([(i, f"text {i}") for i in range(300)]), where, public_tokenizers.path("byte_bpe_50k.json"))
+    assert tokenfiles.read_token_files(spark, where).count() == 300
+    most = int(spark.conf.get(name)) * tokenfiles.BLOCK_IDS * 2
+    spark.conf.unset(name)
+    assert most <= 8 << 20

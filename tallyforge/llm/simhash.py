@@ -203,6 +203,8 @@ TILE = 1024
 PACK = 16384
 #: Shingles whose parts are summed at once.
 PARTS_AT_ONCE = 1 << 20
+#: Bits that a folded parity keeps at least, where a set's long one has more.
+SKETCH_BITS = 2048
 #: Bits of the map that says which sets are compared.
 MARKS = 1 << 22
 
@@ -231,6 +233,14 @@ def long_parity(unique: np.ndarray) -> bytes:
     return np.packbits(np.bincount(at, minlength=width) & 1, bitorder="little").tobytes()
 
 
+def folded(long: bytes, n: int) -> bytes:
+    """A set's long parity, in no more bits than tell it from unrelated sets of its size: SKETCH_BITS, or 1 for two members if that is more."""
+    keep, words = max(SKETCH_BITS, 1 << (max(n, 2) // 2 - 1).bit_length()) // 8, np.frombuffer(long, np.uint8)
+    while len(words) > keep:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words.tobytes()
+
+
 def parities_differ(a: bytes, b: bytes) -> int:
     """The bits in which two long parities differ: no more than the members in which their sets do, and not many fewer."""
     x, y, shorter = int.from_bytes(a, "little"), int.from_bytes(b, "little"), min(len(a), len(b))
@@ -256,11 +266,15 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, width: int, by_fingerprint: bool) -> DataFrame:
-    """Rows (row, id, fp, cid, n, bits, long) of docs (row, id, text): each text's fingerprint (else 0), the number of its set, its size and parity bits."""
+    """Rows (row, id, fp, cid, n, bits, long, sketch) of docs (row, id, text): each text's fingerprint (else 0), the number of its set, its size and
+    parity bits. The sketch is the folded parity, or null where that is the long one.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(x.as_py(), width) for x in batch.column(2)]
         prints = [fingerprint(shingle_hashes(x.as_py(), FINGERPRINT_WIDTH)) if by_fingerprint else 0 for x in batch.column(2)]
+        longs = [long_parity(s.astype(np.uint64)) for s in sets]
+        sketches = [folded(x, len(s)) for x, s in zip(longs, sets)]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
@@ -269,12 +283,13 @@ def _sets(docs: DataFrame, width: int, by_fingerprint: bool) -> DataFrame:
                 pa.array([set_id(s) for s in sets], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([parity(s.astype(np.uint64)).tobytes() for s in sets], pa.binary()),
-                pa.array([long_parity(s.astype(np.uint64)) for s in sets], pa.binary()),
+                pa.array(longs, pa.binary()),
+                pa.array([None if len(x) == len(y) else x for x, y in zip(sketches, longs)], pa.binary()),
             ],
-            names=["row", "id", "fp", "cid", "n", "bits", "long"],
+            names=["row", "id", "fp", "cid", "n", "bits", "long", "sketch"],
         )
 
-    return map_batches(docs, run, "row bigint, id bigint, fp bigint, cid bigint, n bigint, bits binary, long binary")
+    return map_batches(docs, run, "row bigint, id bigint, fp bigint, cid bigint, n bigint, bits binary, long binary, sketch binary")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -421,18 +436,47 @@ def _hub_pairs(members: DataFrame, least: float) -> DataFrame:
     return small_batches(members).mapInArrow(run, "a bigint, b bigint")
 
 
-def _tile_pairs(table: pa.Table, least: float) -> pa.Table:
-    """The pairs within the entries of one group of small entries, or between two tiles of a large one, that have different labels and may be similar."""
+def nearest_labels(a: np.ndarray, b: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Places of the pairs of labels (a, b) that are the nearest, by ``off``, for either label: no more than there are labels."""
+    ends, at = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+    order = np.lexsort((at, off[at], ends))
+    return np.unique(at[order[np.diff(ends[order], prepend=-1) != 0]])
+
+
+def _tile_pairs(table: pa.Table, least: float, nearest: bool) -> pa.Table:
+    """The pairs within the entries of one group of small entries, or between two tiles of a large one, that have different labels and may be similar.
+
+    The folded parities have the last word here. ``nearest`` leaves for each label only its pair of least distance for the sizes.
+    """
     table = table.sort_by([("entry", "ascending"), ("cid", "ascending")])
-    entry, cid, label, n, tile, left = (table[c].to_numpy() for c in ("entry", "cid", "label", "n", "tile", "t1"))
-    f, a, b = _words(table["bits"]), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    entry, cid, n, tile, left = (table[c].to_numpy() for c in ("entry", "cid", "n", "tile", "t1"))
+    label = np.unique(table["label"].to_numpy(), return_inverse=True)[1]
+    f, sketch = _words(table["bits"]), table["sketch"].to_pylist()
+    number, width = [int.from_bytes(x, "little") for x in sketch], np.array([len(x) for x in sketch])
+    found, held, most = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], 0, PAIRS_AT_ONCE
+
+    def thinned() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j, off = (np.concatenate(c) for c in zip(*found))
+        keep = nearest_labels(label[i], label[j], off) if nearest else np.unique(np.stack([cid[i], cid[j]], axis=1), axis=0, return_index=True)[1]
+        return i[keep], j[keep], off[keep]
 
     def add(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal found, held, most
         apart = label[i] != label[j]
         i, j = i[apart], j[apart]
         ok = may_be_similar(f[i], f[j], n[i], n[j], least)
-        a.append(cid[i[ok]])
-        b.append(cid[j[ok]])
+        i, j = i[ok], j[ok]
+        equal = (width[i] == width[j]).tolist()
+        off = [(number[x] ^ number[y]).bit_count() if e else parities_differ(sketch[x], sketch[y]) for x, y, e in zip(i.tolist(), j.tolist(), equal)]
+        off = np.array(off, np.int64)
+        ok = off <= most_apart(n[i], n[j], least)
+        i, j, off = i[ok], j[ok], off[ok]
+        found.append((i, j, off / (n[i] + n[j])))
+        held += len(i)
+        if held > most:
+            found = [thinned()]
+            held = len(found[0][0])
+            most = 2 * held + PAIRS_AT_ONCE
 
     if (table["t2"].to_numpy() != left).any():
         first, second = np.nonzero(tile == left)[0], np.nonzero(tile != left)[0]
@@ -443,19 +487,27 @@ def _tile_pairs(table: pa.Table, least: float) -> pa.Table:
         while len(i := i[i + step < len(entry)]) and len(i := i[entry[i] == entry[i + step]]):
             add(i, i + step)
             step += 1
-    return pa.Table.from_batches([_pair_batch(np.concatenate(a), np.concatenate(b))])
+    i, j, _ = thinned()
+    return pa.Table.from_batches([_pair_batch(cid[i], cid[j])])
+
 
+def _unsettled(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (entry, cid, label, m) of the entries of ``members`` (entry, cid) whose m sets aren't all of one component of ``nodes``."""
+    labels = nodes.withColumnRenamed("node", "cid").withColumnRenamed("component", "label")
+    labelled = cut(members.select("entry", "cid").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")))
+    sizes = labelled.groupBy("entry").agg(F.count("*").alias("m"), F.min("label").alias("l"), F.max("label").alias("h"))
+    return cut(labelled.join(sizes.where("l <> h").select("entry", "m"), "entry").select("entry", "cid", "label", "m"))
 
-def _other_pairs(members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of all members (entry, cid, label) that share an entry, have different labels and may be similar.
 
-    Entries of more than TILE members are dealt in hashed tiles that meet by twos, so a task holds no more than two.
+def _other_pairs(members: DataFrame, classes: DataFrame, least: float, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of all members (entry, cid, label, m) that share an entry, have different labels and may be similar.
+
+    Entries of more than TILE members are dealt in hashed tiles that meet by twos, so a task holds no more than two. ``nearest`` thins
+    the pairs of a task to the nearest one of each label.
     """
-    sizes = cut(
-        members.groupBy("entry").agg(F.count("*").alias("m"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("entry", "m")
-    )
-    total = sizes.agg(F.sum("m")).first()[0] or 0
-    rows = members.join(sizes, "entry").join(classes, "cid").withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
+    total = members.count()
+    seen = classes.select("cid", "n", "bits", F.coalesce("sketch", "long").alias("sketch"))
+    rows = members.join(seen, "cid").withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns(
         {
@@ -466,8 +518,8 @@ def _other_pairs(members: DataFrame, classes: DataFrame, least: float) -> DataFr
             "pack": F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("entry"), F.lit(max(1, -(-total // PACK))))).otherwise(F.col("entry")),
         }
     )
-    narrow = rows.select("kind", "pack", "t1", "t2", "tile", "entry", "cid", "label", "n", "bits")
-    return narrow.groupBy("kind", "pack", "t1", "t2").applyInArrow(lambda t: _tile_pairs(t, least), "a bigint, b bigint").distinct()
+    narrow = rows.select("kind", "pack", "t1", "t2", "tile", "entry", "cid", "label", "n", "bits", "sketch")
+    return narrow.groupBy("kind", "pack", "t1", "t2").applyInArrow(lambda t: _tile_pairs(t, least, nearest), "a bigint, b bigint").distinct()
 
 
 def _wanted(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -505,9 +557,8 @@ def _not_too_far(pairs: DataFrame, classes: DataFrame, least: float) -> DataFram
     return cut(map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "p", "q"), run, "a bigint, b bigint"))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """Of ``pairs`` (a, b) those whose whole shingle sets are similar enough."""
-    pairs = _not_too_far(pairs, classes, least)
     sets = _wanted(pairs, texts, width)
     left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("s"))
     right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("t"))
@@ -533,9 +584,11 @@ def _fingerprint_edges(marked: DataFrame) -> DataFrame:
 
 
 def _components(classes: DataFrame, texts: DataFrame, width: int, least: float, linked: DataFrame | None = None) -> DataFrame:
-    """Components (node, component) of classes (cid, n, bits, long) that are ``linked`` (a, b) or have similar sets; those without a link are left out.
+    """Components (node, component) of classes (cid, n, bits, long, sketch) that are ``linked`` (a, b) or have similar sets; those without a link are left out.
 
-    A first round links each set to the hub that it meets most often. What is not in one component then is compared pair by pair.
+    A first round links each set to the hub that it meets most often. A second one compares what is not in one component then pair by pair, and
+    links each component to its nearest ones, since groups are large and one link is enough. What that leaves apart is compared once more, and every
+    pair that may be similar is verified.
     """
     n = shuffle_partitions(classes.sparkSession)
     shared = cut(_shared(_entries(texts, width, least).repartition(n, "entry").sortWithinPartitions("entry", "cid")))
@@ -543,15 +596,20 @@ def _components(classes: DataFrame, texts: DataFrame, width: int, least: float,
     members = shared.join(seen, "cid").select("entry", "cid", "n", "bits")
     met = _hub_pairs(members.repartition(n, "entry").sortWithinPartitions("entry", "cid"), least).groupBy("a", "b").count()
     pairs = cut(met.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select("best.a", "b"))
-    edges = _verified(pairs, classes, texts, width, least)
+    edges = _verified(_not_too_far(pairs, classes, least), texts, width, least)
     edges = edges if linked is None else linked.unionByName(edges)
     nodes = cut(connected_components(edges))
-    labelled = shared.join(nodes.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid"))
-    others = cut(_other_pairs(cut(labelled.select("entry", "cid", "label")), seen, least))
-    if others.isEmpty():
-        return nodes
-    more = _verified(others, classes, texts, width, least)
-    return nodes if more.isEmpty() else connected_components(edges.unionByName(more))
+    members = shared
+    for nearest in (True, False):
+        members = _unsettled(members, nodes)
+        others = cut(_other_pairs(members, classes, least, nearest))
+        if others.isEmpty():
+            break
+        more = _verified(others, texts, width, least)
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            nodes = cut(connected_components(edges))
+    return nodes
 
 
 def distinct_documents(
@@ -570,7 +628,7 @@ def distinct_documents(
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     rows = _sets(slim, width, by_fingerprint)
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
-    alike = [F.first(c).alias(c) for c in ("n", "bits", "long")]
+    alike = [F.first(c).alias(c) for c in ("n", "bits", "long", "sketch")]
     marked = rows.withColumn("first", order)
     if by_fingerprint:
         marked = cut(marked.groupBy("cid", "fp").agg(F.min("first").alias("first"), *alike))

@@ -181,6 +181,45 @@ def test_large_entries_meet_in_tiles(spark, docs, monkeypatch):
     assert sorted(x.doc_id for x in simhash.distinct_documents(docs(list(enumerate(texts)))).collect()) == want
 
 
+def test_pairs_to_verify_follow_the_documents(spark, docs, monkeypatch):
+    """Few pairs of a group go on to the whole sets: long texts with a passage in common, and near copies that lie apart from their hub."""
+    r = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    passage = r.choices(vocabulary, k=250)
+    long = [" ".join([*passage, *r.choices(vocabulary, k=450)]) for _ in range(150)]
+    base = r.choices(vocabulary, k=400)
+    copies = [edited(base, share, r) for share in (0.005, 0.01, 0.02, 0.025, 0.03) for _ in range(30)]
+    texts = [" ".join(base), *copies, *long]
+    seen, verified = [], simhash._verified
+
+    def counted(pairs, *more):
+        seen.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    want = kept_by_brute_force(texts)
+    assert 151 <= len(want) < 290
+    assert sorted(x.doc_id for x in simhash.distinct_documents(docs(list(enumerate(texts)))).collect()) == want
+    assert sum(seen) < 4 * len(texts)
+
+
+def test_nearest_pair_of_each_label():
+    a, b, off = np.array([0, 0, 2, 3, 0]), np.array([1, 2, 1, 4, 1]), np.array([0.3, 0.2, 0.1, 0.4, 0.1])
+    assert simhash.nearest_labels(a, b, off).tolist() == [2, 3, 4]
+    assert not len(simhash.nearest_labels(a[:0], b[:0], off[:0]))
+
+
+def test_folded_parities_rule_out_no_similar_sets():
+    g = np.random.default_rng(5)
+    for n in (0, 1, 400, 1025, 3000, 4097, 20000):
+        a = np.unique(g.integers(0, 1 << 32, n)).astype(np.uint64)
+        b, other = a[len(a) // 10 :], np.unique(g.integers(0, 1 << 32, n)).astype(np.uint64)
+        x, y, z = (simhash.folded(simhash.long_parity(s), len(s)) for s in (a, b, other))
+        assert simhash.parities_differ(x, y) <= len(a) // 10 and len(x) <= max(256, n)
+        if n >= 400:
+            assert simhash.parities_differ(x, z) > simhash.most_apart(np.array(len(a)), np.array(len(other)), 0.8)
+
+
 def test_similar_sets_always_share_an_entry():
     g = np.random.default_rng(3)
     tried = 0

@@ -30,6 +30,15 @@ def key_counts(df: DataFrame, key: Column, values: dict[str, Column] | None = No
     return df.groupBy(norm_key(key).alias("key")).agg(F.count("*").alias("n"), *sums)
 
 
+def side_counts(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column) -> DataFrame:
+    """Rows (key, ln, rn): of each normalised key of either side (blank kept) the rows on both.
+
+    Both sides' rows are grouped at once: a task then holds one table of keys, not one of each side and their sorted copies for a join.
+    """
+    rows = left.select(norm_key(left_key).alias("key"), F.lit(True).alias("is_left")).union(right.select(norm_key(right_key).alias("key"), F.lit(False).alias("is_left")))
+    return rows.groupBy("key").agg(F.count_if("is_left").alias("ln"), F.count_if(~F.col("is_left")).alias("rn"))
+
+
 def multiplicity(df: DataFrame, key: Column) -> DataFrame:
     """How many keys have how many rows."""
     return key_counts(df, key).groupBy(F.col("n").alias("rows_per_key")).agg(F.count("*").alias("n_keys"))
@@ -99,10 +108,9 @@ def join_audit(
 
 def unmatched(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column) -> DataFrame:
     """Rows (side, key, n) of keys that the other side doesn't have; a blank key is always unmatched."""
-    lk, rk = key_counts(left, left_key), key_counts(right, right_key)
-    real = F.col("key") != ""
-    only = lambda a, b, side: a.join(b.where(real).select("key"), "key", "left_anti").select(F.lit(side).alias("side"), "key", "n")
-    return only(lk, rk, "left").unionByName(only(rk, lk, "right"))
+    both = side_counts(left, right, left_key, right_key)
+    only = lambda n, other, side: both.where(f"{n} > 0 and ({other} = 0 or key = '')").select(F.lit(side).alias("side"), "key", F.col(n).alias("n"))
+    return only("ln", "rn", "left").unionByName(only("rn", "ln", "right"))
 
 
 def unmatched_reasons(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column) -> DataFrame:

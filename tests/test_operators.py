@@ -114,6 +114,15 @@ def test_masked_growth_is_seen(spark):
     assert not r.left_amplified and r.matched_amplified and r.row_amplified and r.verdict == reconcile.FAIL
 
 
+def test_unmatched_groups_both_sides_at_once(spark):
+    left = spark.createDataFrame([("1",), ("1",), (" 2",), (None,), ("",)], "k string")
+    right = spark.createDataFrame([("2",), ("3",), ("3",), (" ",)], "k string")
+    out = reconcile.unmatched(left, right, F.col("k"), F.col("k"))
+    assert sorted(tuple(r) for r in out.collect()) == [("left", "", 2), ("left", "1", 2), ("right", "", 1), ("right", "3", 2)]
+    # no join, for which a task would hold the keys of both sides, sorted once more
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_unmatched_reasons(spark):
     left = spark.createDataFrame([("1",), ("2",), ("",), ("门店",), ("2024-01-01",)], "k string")
     right = spark.createDataFrame([("1",), ("9",)], "k string")

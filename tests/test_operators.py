@@ -138,6 +138,14 @@ def test_unmatched_numbers_that_read_as_dates(spark):
     assert out == {"100001": number, "20240801": number, "SKU100001": ("字母数字", "其他")}
 
 
+def test_time_formats_reads_a_time_once(spark):
+    df = spark.createDataFrame([("2024/8/1",), ("20240801",), ("20240802",), ("soon",), (None,)], "t string")
+    out = profile.time_formats(df, "t")
+    assert {tuple(r) for r in out.collect()} == {("yyyy/M/d", 1), ("yyyyMMdd", 2)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Filter") == 1 and plan.index("Filter") < plan.index("Aggregate")
+
+
 def test_additivity_and_dedupe(spark):
     df = spark.createDataFrame([(1, "a", "10"), (2, " a", "5"), (3, "b", "-"), (3, "b", "7")], "i int, g string, v string")
     number = strict_number(F.col("v"))["value"]

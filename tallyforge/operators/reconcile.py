@@ -206,9 +206,8 @@ def object_table(objects: DataFrame, events: DataFrame, object_key: Column, even
 
     A key that is a missing mark is none: such objects have no events, such events no object.
     """
-    many = events.groupBy(_real_key(event_key).alias("__key")).agg(
-        F.min(event_time).alias(f"{out}_first"), F.max(event_time).alias(f"{out}_last"), F.count(event_time).alias(f"{out}_count")
-    )
+    times = events.select(_real_key(event_key).alias("__key"), event_time.alias("__time"))
+    many = times.groupBy("__key").agg(F.min("__time").alias(f"{out}_first"), F.max("__time").alias(f"{out}_last"), F.count("__time").alias(f"{out}_count"))
     joined = objects.withColumn("__key", _real_key(object_key)).join(many.where("__key <> ''"), "__key", "left").drop("__key")
     return joined.withColumn(f"{out}_count", F.coalesce(f"{out}_count", F.lit(0)))
 

@@ -146,6 +146,15 @@ def test_time_formats_reads_a_time_once(spark):
     assert plan.count("Filter") == 1 and plan.index("Filter") < plan.index("Aggregate")
 
 
+def test_object_table_reads_a_time_once(spark):
+    objects = spark.createDataFrame([("a",), ("b",), ("-",)], "k string")
+    events = spark.createDataFrame([("a", "2024-8-2"), (" a", "2024/8/1 9:05"), ("a", "soon"), ("-", "2024-8-1"), ("b", None)], "k string, t string")
+    out = reconcile.object_table(objects, events, F.col("k"), F.col("k"), parse_time(F.col("t")))
+    assert {tuple(r) for r in out.collect()} == {("a", datetime(2024, 8, 1, 9, 5), datetime(2024, 8, 2), 2), ("b", None, None, 0), ("-", None, None, 0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("yyyy-M-d'T'H:m:s") == 1  # not once for each of first, last and count
+
+
 def test_additivity_and_dedupe(spark):
     df = spark.createDataFrame([(1, "a", "10"), (2, " a", "5"), (3, "b", "-"), (3, "b", "7")], "i int, g string, v string")
     number = strict_number(F.col("v"))["value"]
